@@ -80,7 +80,7 @@ def pf4(spark, sf):
     "pf5_price_position",
     with_views(
         """SELECT product_code, round(r, 6) AS relative_price_ratio,
-        CASE WHEN r < 0.8 THEN 'Below Average' WHEN r > 1.2 THEN 'Above Average' ELSE 'Average' END AS price_position
+        CASE WHEN r < 0.8 THEN 'Cheaper than Avg' WHEN r > 1.2 THEN 'More Expensive than Avg' ELSE 'Average' END AS price_position
         FROM (SELECT product_code, price / avg(price) OVER (PARTITION BY category_2) AS r FROM products)""",
         "products",
     ),

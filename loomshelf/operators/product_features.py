@@ -85,8 +85,8 @@ def with_price_position(
     relative = ratio("price", "category_price")
     return joined.drop("_cat").withColumn("relative_price_ratio", relative).withColumn(
         "price_position",
-        F.when(F.col("relative_price_ratio") < low, "Below Average")
-        .when(F.col("relative_price_ratio") > high, "Above Average")
+        F.when(F.col("relative_price_ratio") < low, "Cheaper than Avg")
+        .when(F.col("relative_price_ratio") > high, "More Expensive than Avg")
         .otherwise("Average"),
     )
 
