@@ -41,7 +41,7 @@ def pf1(spark, sf):
 
 @query(
     "pf2_engagement_score",
-    with_views("SELECT product_code, round(engagement_score, 6) AS engagement_score FROM scored", "products", "reviews", **stack("scored")),
+    with_views("SELECT product_code, round(engagement_score, 8) AS engagement_score FROM scored", "products", "reviews", **stack("scored")),
 )
 def pf2(spark, sf):
     return rounded(scored(spark, sf).select("product_code", "engagement_score"), "engagement_score")
@@ -54,10 +54,10 @@ METRICS = ("likes", "shares", "review_count")
     "pf3_weight_diagnostics",
     with_views(
         " UNION ALL ".join(
-            f"""SELECT '{m}' AS metric, count({m}) AS n, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std,
-            CAST(min({m}) AS DOUBLE) AS min, CAST(max({m}) AS DOUBLE) AS max, round(stddev_samp({m}) / avg({m}), 6) AS cv,
-            round(var_samp({m}) / pow(max({m}) - min({m}), 2), 6) AS scaled_var, """
-            + ", ".join(f"round(corr({m}, {o}), 6) AS corr_{o}" for o in METRICS)
+            f"""SELECT '{m}' AS metric, count({m}) AS n, round(avg({m}), 8) AS mean, round(stddev_samp({m}), 8) AS std,
+            CAST(min({m}) AS DOUBLE) AS min, CAST(max({m}) AS DOUBLE) AS max, round(stddev_samp({m}) / avg({m}), 8) AS cv,
+            round(var_samp({m}) / pow(max({m}) - min({m}), 2), 8) AS scaled_var, """
+            + ", ".join(f"round(corr({m}, {o}), 8) AS corr_{o}" for o in METRICS)
             + " FROM counted"
             for m in METRICS
         ),
@@ -79,7 +79,7 @@ def pf4(spark, sf):
 @query(
     "pf5_price_position",
     with_views(
-        """SELECT product_code, round(r, 6) AS relative_price_ratio,
+        """SELECT product_code, round(r, 8) AS relative_price_ratio,
         CASE WHEN r < 0.8 THEN 'Cheaper than Avg' WHEN r > 1.2 THEN 'More Expensive than Avg' ELSE 'Average' END AS price_position
         FROM (SELECT product_code, price / avg(price) OVER (PARTITION BY category_2) AS r FROM products)""",
         "products",
@@ -93,7 +93,7 @@ def pf5(spark, sf):
 @query(
     "pf6_value_index",
     with_views(
-        "SELECT product_code, round(cp_index, 6) AS cp_index, is_god_sung_bi FROM valued", "products", "reviews", **stack("valued")
+        "SELECT product_code, round(cp_index, 8) AS cp_index, is_god_sung_bi FROM valued", "products", "reviews", **stack("valued")
     ),
 )
 def pf6(spark, sf):
@@ -104,8 +104,8 @@ def pf6(spark, sf):
 @query(
     "pf7_review_density",
     with_views(
-        """SELECT product_code, round(CASE WHEN likes = 0 THEN 0 ELSE review_count / likes END, 6) AS review_density,
-        round(coalesce(review_count / (date_diff('day', first_date, (SELECT max(date) FROM reviews)) + 1), 0), 6) AS daily_density
+        """SELECT product_code, round(CASE WHEN likes = 0 THEN 0 ELSE review_count / likes END, 8) AS review_density,
+        round(coalesce(review_count / (date_diff('day', first_date, (SELECT max(date) FROM reviews)) + 1), 0), 8) AS daily_density
         FROM counted LEFT JOIN (SELECT product_code, min(date) AS first_date FROM reviews GROUP BY 1) USING (product_code)""",
         "products",
         "reviews",
@@ -133,7 +133,7 @@ def pf8(spark, sf):
     "pf8_tier_crosstab_percent",
     with_views(
         "SELECT category_2, "
-        + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (price_tier = '{t}') / count(*), 6) AS {n}" for t, n in TIERS.items())
+        + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (price_tier = '{t}') / count(*), 8) AS {n}" for t, n in TIERS.items())
         + " FROM tiered GROUP BY 1",
         "products",
         "reviews",
@@ -148,9 +148,9 @@ def pf8p(spark, sf):
 @query(
     "pf9_value_shares",
     with_views(
-        """SELECT 'all' AS scope, price_tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM valued GROUP BY 2
+        """SELECT 'all' AS scope, price_tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM valued GROUP BY 2
         UNION ALL
-        SELECT 'top value', price_tier, count(*), round(count(*) / sum(count(*)) OVER (), 6) FROM valued WHERE is_god_sung_bi GROUP BY 2""",
+        SELECT 'top value', price_tier, count(*), round(count(*) / sum(count(*)) OVER (), 8) FROM valued WHERE is_god_sung_bi GROUP BY 2""",
         "products",
         "reviews",
         **stack("valued"),
@@ -166,8 +166,8 @@ def pf9(spark, sf):
 @query(
     "pf10_top_products",
     with_views(
-        """SELECT product_code, name, round(engagement_score, 6) AS engagement_score
-        FROM scored ORDER BY round(scored.engagement_score, 6) DESC, product_code LIMIT 10""",
+        """SELECT product_code, name, round(engagement_score, 8) AS engagement_score
+        FROM scored ORDER BY round(scored.engagement_score, 8) DESC, product_code LIMIT 10""",
         "products",
         "reviews",
         **stack("scored"),

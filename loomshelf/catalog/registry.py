@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *cols: str, places: int = 8) -> DataFrame:
     """Round measures whose last bits depend on summation order."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in cols})

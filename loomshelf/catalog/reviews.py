@@ -115,7 +115,7 @@ def rf7(spark, sf):
 @query(
     "rf8_rating_tendency",
     with_views(
-        """SELECT user_id, round(m, 6) AS user_avg_rating_reorder, CASE WHEN m IS NULL THEN 'No Reorder' WHEN m >= 4.8 THEN 'Always Positive'
+        """SELECT user_id, round(m, 8) AS user_avg_rating_reorder, CASE WHEN m IS NULL THEN 'No Reorder' WHEN m >= 4.8 THEN 'Always Positive'
         WHEN m >= 4.0 THEN 'Mostly Positive' WHEN m >= 3.0 THEN 'Balanced' ELSE 'Critical' END AS user_rating_tendency
         FROM (SELECT user_id, avg(rating) FILTER (is_reorder) AS m FROM reviews GROUP BY 1)""",
         "reviews",
@@ -238,7 +238,7 @@ def rf14_range(spark, sf):
 @query(
     "rf15_promo_day",
     with_views(
-        """SELECT is_promo_day, count(*) AS n_reviews, round(avg(rating), 6) AS avg_rating
+        """SELECT is_promo_day, count(*) AS n_reviews, round(avg(rating), 8) AS avg_rating
         FROM (SELECT rating, date IN (SELECT date FROM promotions) AS is_promo_day FROM reviews) GROUP BY 1""",
         "reviews",
         "promotions",

@@ -2,18 +2,27 @@
 
 ``percentile`` keeps a map of distinct values per group: right for ratings, prices or counts, whose
 domain is small. ``exact_quantiles`` is for measures that may have as many values as rows; it reduces
-to (value, count), finds the slices of the value range that hold the wanted ranks and looks only there.
+to (value, count), finds the slices of the number line that hold the wanted ranks and looks only there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = 4096
+# slices per doubling of the value; a slice spans about half a percent
+SLICES_PER_OCTAVE = 128
+_SHIFT = 200_000
+
+
+def slice_of(value: str) -> Column:
+    """Slice number of a double: never decreases with the value and needs no look at the data."""
+    v = F.col(value)
+    size = F.floor(F.log2(F.abs(v)) * SLICES_PER_OCTAVE) + _SHIFT
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
 
 def small_domain_quantiles(
@@ -23,80 +32,94 @@ def small_domain_quantiles(
     return df.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Quantiles of a column of any size, one row (per group in ``by``); NULLs are left out.
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Mapping[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of columns of any size: ``{"column": {"result name": probability}}``.
 
-    ``by`` is for a few segments. The result is bounded by the number of groups.
+    One row, or one per group of ``by`` (meant for a few segments). NULL and NaN are left out. All
+    columns share one shuffle; only the slices that hold a wanted rank are sorted.
     """
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
+    keys = [*by, "_m"]
+    measures = [F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(wanted)]
+    sliced = (
+        df.select(*by, F.explode(F.array(*measures)).alias("_x"))
+        .select(*by, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_s", slice_of("_v"))
     )
-    spans = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-
-    def with_spans(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
-
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    sliced = with_spans(counts, spans).select(
-        *by,
-        "_v",
-        "_c",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * SLICES), F.lit(SLICES - 1)))
-        .otherwise(F.lit(0))
-        .cast("int")
-        .alias("_s"),
-    )
-    below = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        sliced.groupBy(*by, "_s")
+    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    targets = [
+        F.struct(F.lit(i).alias("m"), F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
+        for i, probs in enumerate(wanted.values())
+        for name, p in probs.items()
+        for side in (0, 1)
+    ]
+    pos = F.col("_t.p") * (F.col("_n") - 1)
+    rank = F.when(F.col("_t.side") == 0, F.floor(pos)).otherwise(F.least(F.floor(pos) + 1, F.col("_n") - 1))
+    needed = (
+        sliced.groupBy(*keys, "_s")
         .agg(F.sum("_c").alias("_sc"))
         .withColumn("_before", F.coalesce(F.sum("_sc").over(below), F.lit(0)))
-    )
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (
-        spans.select(*by, "_n", F.explode(wanted).alias("_t"))
-        .select(*by, "_n", F.col("_t.name").alias("_name"), (F.col("_t.p") * (F.col("_n") - 1)).alias("_pos"))
-        .select(
-            *by,
-            "_name",
-            (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("side"), F.floor("_pos").alias("k")),
-                    F.struct(F.lit(1).alias("side"), F.least(F.floor("_pos") + 1, F.col("_n") - 1).alias("k")),
+        .withColumn("_n", F.sum("_sc").over(Window.partitionBy(*keys)))
+        .withColumn("_t", F.explode(F.array(*targets)))
+        .where(F.col("_t.m") == F.col("_m"))
+        .withColumn("_rank", rank)
+        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_sc")))
+        .groupBy(*keys, "_s", "_before")
+        # at most two entries per wanted quantile
+        .agg(
+            F.collect_list(
+                F.struct(
+                    F.col("_t.name").alias("name"),
+                    F.col("_t.side").alias("side"),
+                    F.col("_rank").alias("rank"),
+                    (pos - F.floor(pos)).alias("frac"),
                 )
-            ).alias("_k"),
+            ).alias("_hits")
         )
-        .select(*by, "_name", "_frac", F.col("_k.side").alias("_side"), F.col("_k.k").alias("_rank"))
-    )
-    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_sc"))
-    # targets: two rows per quantile and group, so this side is bounded by the number of segments
-    hits = with_spans(slices, targets).where(inside).drop("_sc")
-    running = (
-        Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    needed = hits.select(*by, "_s", "_before").distinct()
-    near = sliced.join(F.broadcast(needed), [*by, "_s"]).withColumn(
-        "_end", F.col("_before") + F.sum("_c").over(running)
     )
-    found = near.drop("_before").join(F.broadcast(hits), [*by, "_s"]).where(
-        (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c"))
+    if not by:
+        needed = F.broadcast(needed)  # two rows per wanted quantile at most
+    upto = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        sliced.join(needed, [*keys, "_s"])
+        .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+        .withColumn("_h", F.explode("_hits"))
+        .where((F.col("_h.rank") < F.col("_end")) & (F.col("_h.rank") >= F.col("_end") - F.col("_c")))
     )
 
-    def pick(name: str, what: str, side: int):
-        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(what)))
+    def at(name: str, side: int, what: str) -> Column:
+        return F.max(F.when((F.col("_h.name") == name) & (F.col("_h.side") == side), F.col(what)))
 
+    names = [name for probs in wanted.values() for name in probs]
     return found.groupBy(*by).agg(
-        *[
-            (pick(n, "_v", 0) + (pick(n, "_v", 1) - pick(n, "_v", 0)) * pick(n, "_frac", 0)).alias(n)
-            for n in probs
-        ]
+        *[(at(n, 0, "_v") + (at(n, 1, "_v") - at(n, 0, "_v")) * at(n, 0, "_h.frac")).alias(n) for n in names]
     )
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach a frame of exactly one row (scalar thresholds) to every row without collecting it."""
     return df.crossJoin(F.broadcast(one_row))
+
+
+def running_before(counts: DataFrame, value: str, weight: str, name: str = "before") -> DataFrame:
+    """Total weight of all smaller values, for a frame with one row per value.
+
+    The frame is summed slice by slice and not in one task.
+    """
+    sliced = counts.withColumn("_s", slice_of(value))
+    before = Window.partitionBy().orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        sliced.groupBy("_s")
+        .agg(F.sum(weight).alias("_sum"))
+        .select("_s", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        sliced.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(offsets, "_s")
+        .withColumn(name, F.col("_offset") + F.col("_local"))
+        .drop("_s", "_local", "_offset")
+    )

@@ -94,7 +94,7 @@ def with_price_position(
 def with_value_index(products: DataFrame, quantile: float = VALUE_QUANTILE, scale: float = 1000.0, offset: int = 0) -> DataFrame:
     """cp_index = engagement / (price + offset) * scale, and whether it reaches the wanted quantile."""
     scored = products.withColumn("cp_index", ratio("engagement_score", F.col("price") + offset) * F.lit(scale))
-    cut = exact_quantiles(scored, "cp_index", {"cp_cut": quantile})
+    cut = exact_quantiles(scored, {"cp_index": {"cp_cut": quantile}})
     return with_row(scored, cut).withColumn("is_god_sung_bi", F.col("cp_index") >= F.col("cp_cut")).drop("cp_cut")
 
 
