@@ -50,8 +50,22 @@ def bucketed_row_number(
     names = [f"_bucket{i}" for i in range(len(buckets))]
     tagged = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
     sizes = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
-    running = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, *names, F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before"))
+    # rows before the first-level bucket plus rows before the bucket inside it, so that no window
+    # runs over more than one level of buckets
+    outer, inner = names[:1], names[1:]
+    upto = (Window.unboundedPreceding, -1)
+    tops = sizes.groupBy(*keys, *outer).agg(F.sum("_size").alias("_top"))
+    offsets = tops.select(
+        *keys,
+        *outer,
+        F.coalesce(F.sum("_top").over(Window.partitionBy(*keys).orderBy(*outer).rowsBetween(*upto)), F.lit(0)).alias("_before"),
+    )
+    if inner:
+        within = Window.partitionBy(*keys, *outer).orderBy(*inner).rowsBetween(*upto)
+        sizes = sizes.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+        offsets = null_safe_join(sizes, offsets, [*keys, *outer], "inner").select(
+            *keys, *names, (F.col("_before") + F.col("_within")).alias("_before")
+        )
     local = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order_by))
     numbered = tagged.withColumn("_local", local)
     joined = null_safe_join(numbered, offsets, [*keys, *names], "inner")
