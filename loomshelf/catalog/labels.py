@@ -179,24 +179,21 @@ LABELLED = {
 
 
 def labelled(spark, sf):
-    return lb.label_reviews(
-        v.doc_reviews(spark, sf),
-        aspects=lambda t: lb.rule_aspects(t, ASPECTS),
-        sentiment=lambda t, r: lb.rule_sentiment(t, r, POS, NEG, NEU),
-    )
+    return lb.label_reviews(v.doc_reviews(spark, sf), lb.rule_labeller(ASPECTS, POS, NEG, NEU))
 
 
 @query("lb8_rule_aspects", with_views("SELECT order_id, CAST(rn AS INTEGER) AS rank, aspect, confidence, reason FROM found", "doc_reviews", **LABELLED))
 def lb8(spark, sf):
-    d = v.doc_reviews(spark, sf).select("order_id", F.posexplode(lb.rule_aspects("text", ASPECTS)).alias("pos", "a"))
+    found = lb.with_rule_aspects(v.doc_reviews(spark, sf).select("order_id", "text"), ASPECTS)
+    d = found.select("order_id", F.posexplode("aspects").alias("pos", "a"))
     return d.select("order_id", (F.col("pos") + 1).alias("rank"), "a.aspect", "a.confidence", "a.reason")
 
 
 @query("lb8_rule_aspects_korean")
 def lb8k(spark, sf):
     """The shipped Korean keyword lists over the corpus."""
-    d = v.doc_reviews(spark, sf).select("order_id", F.explode(lb.rule_aspects()).alias("a"))
-    return d.select("order_id", "a.*")
+    found = lb.with_rule_aspects(v.doc_reviews(spark, sf).select("order_id", "text"))
+    return found.select("order_id", F.explode("aspects").alias("a")).select("order_id", "a.*")
 
 
 @query("lb9_rule_sentiment", with_views("SELECT order_id, sentiment, round(sentiment_score, 2) AS sentiment_score FROM verdict", "doc_reviews", **LABELLED))

@@ -79,18 +79,25 @@ def _hits(text: Column, words: Sequence[str]) -> Column:
     return total
 
 
-def rule_aspects(text: str | Column = "text", rules: Rules = ASPECT_KEYWORDS, top: int = 3) -> Column:
-    """Up to three aspects by keyword hits, ties in dictionary order; none → unclassified at 0.5."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    candidates = []
-    for i, (aspect, words) in enumerate(rules.items()):
-        matched = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-        candidates.append(
-            F.struct((-F.size(matched)).alias("rank"), F.lit(i).alias("position"), F.lit(aspect).alias("aspect"), matched.alias("matched"))
+def with_rule_aspects(df: DataFrame, rules: Rules = ASPECT_KEYWORDS, top: int = 3, text: str = "text", out: str = "aspects") -> DataFrame:
+    """Up to three aspects by keyword hits, ties in dictionary order; none → unclassified at 0.5.
+
+    Built in steps (lowered text, matches per aspect, ranking) so that no step is evaluated twice.
+    """
+    names = list(rules)
+    matched = {
+        f"_m{i}": F.array_compact(F.array(*[F.when(F.col("_low").contains(w), F.lit(w)) for w in rules[name]]))
+        for i, name in enumerate(names)
+    }
+    candidates = [
+        F.struct(
+            (-F.size(f"_m{i}")).alias("rank"), F.lit(i).alias("position"), F.lit(name).alias("aspect"), F.col(f"_m{i}").alias("matched")
         )
+        for i, name in enumerate(names)
+    ]
     found = F.slice(F.array_sort(F.filter(F.array(*candidates), lambda c: c["rank"] < 0)), 1, top)
     labels = F.transform(
-        found,
+        "_found",
         lambda c: F.struct(
             c["aspect"].alias("aspect"),
             F.round(F.least(F.lit(0.9), F.lit(0.5) - c["rank"] * F.lit(0.15)), 2).alias("confidence"),
@@ -98,28 +105,49 @@ def rule_aspects(text: str | Column = "text", rules: Rules = ASPECT_KEYWORDS, to
         ),
     )
     nothing = F.array(F.struct(F.lit(UNCLASSIFIED).alias("aspect"), F.lit(0.5).alias("confidence"), F.lit(NO_REASON).alias("reason")))
-    return F.when(F.size(labels) > 0, labels).otherwise(nothing)
+    return (
+        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumns(matched)
+        .drop("_low")
+        .withColumn("_found", found)
+        .drop(*matched)
+        .withColumn(out, F.when(F.size("_found") > 0, labels).otherwise(nothing))
+        .drop("_found")
+    )
 
 
-def rule_sentiment(
-    text: str | Column = "text",
-    rating: str | Column = "rating",
+def with_rule_sentiment(
+    df: DataFrame,
     positive: Sequence[str] = POSITIVE_WORDS,
     negative: Sequence[str] = NEGATIVE_WORDS,
     neutral: Sequence[str] = NEUTRAL_WORDS,
-) -> Column:
-    """Struct of sentiment and score: strict majority of keyword hits plus a rating boost, else neutral."""
-    low, r = F.lower(F.coalesce(col(text), F.lit(""))), col(rating)
-    pos = _hits(low, positive) + F.when(r >= 4, 2).otherwise(0)
-    neg = _hits(low, negative) + F.when(r <= 2, 2).otherwise(0)
-    neu = _hits(low, neutral) + F.when(r == 3, 1).otherwise(0)
+    text: str = "text",
+    rating: str = "rating",
+) -> DataFrame:
+    """sentiment and sentiment_score: strict majority of keyword hits plus a rating boost, else neutral."""
+    low, r = F.col("_low"), F.col(rating)
+    pos, neg, neu = F.col("_pos"), F.col("_neg"), F.col("_neu")
     wins_pos, wins_neg = (pos > neg) & (pos > neu), (neg > pos) & (neg > neu)
     score = F.when(wins_pos, F.least(F.lit(1.0), F.lit(0.5) + pos * F.lit(0.1))).when(
         wins_neg, F.greatest(F.lit(-1.0), F.lit(-0.5) - neg * F.lit(0.1))
     )
-    return F.struct(
-        F.when(wins_pos, "positive").when(wins_neg, "negative").otherwise("neutral").alias("sentiment"),
-        F.round(F.coalesce(score, F.lit(0.0)), 2).alias("sentiment_score"),
+    return (
+        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        .withColumns(
+            {
+                "_pos": _hits(low, positive) + F.when(r >= 4, 2).otherwise(0),
+                "_neg": _hits(low, negative) + F.when(r <= 2, 2).otherwise(0),
+                "_neu": _hits(low, neutral) + F.when(r == 3, 1).otherwise(0),
+            }
+        )
+        .drop("_low")
+        .withColumns(
+            {
+                "sentiment": F.when(wins_pos, "positive").when(wins_neg, "negative").otherwise("neutral"),
+                "sentiment_score": F.round(F.coalesce(score, F.lit(0.0)), 2),
+            }
+        )
+        .drop("_pos", "_neg", "_neu")
     )
 
 
@@ -127,40 +155,31 @@ def _cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def label_reviews(
-    reviews: DataFrame,
-    aspects: Callable[[Column], Column] | None = None,
-    sentiment: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
+Labeller = Callable[[DataFrame], DataFrame]
+
+
+def rule_labeller(aspects: Rules = ASPECT_KEYWORDS, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS, neutral=NEUTRAL_WORDS) -> Labeller:
+    return lambda df: with_rule_sentiment(with_rule_aspects(df, aspects), positive, negative, neutral)
+
+
+def label_reviews(reviews: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """Sentiment, score, aspects, evidence and summary per review.
 
-    The two callables stand for any labeller that works on columns (a pandas UDF around a model, for
-    instance); the built-in rules are the default.
+    A labeller adds ``aspects`` (array of aspect, confidence, reason), ``sentiment`` and
+    ``sentiment_score``; any model wrapped in a pandas UDF or ``mapInPandas`` can take the place of the
+    built-in rules.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    verdict = (sentiment or rule_sentiment)(F.col("text"), F.col("rating"))
-    found = (aspects or rule_aspects)(F.col("text"))
+    with_sentiment = F.transform(
+        "aspects",
+        lambda a: F.struct(
+            a["aspect"].alias("aspect"), F.col("sentiment").alias("sentiment"), a["confidence"].alias("confidence"), a["reason"].alias("reason")
+        ),
+    )
     return (
-        reviews.withColumn("_v", verdict)
-        .withColumn("_a", found)
-        .withColumns(
-            {
-                "sentiment": F.col("_v.sentiment"),
-                "sentiment_score": F.col("_v.sentiment_score"),
-                "aspect_labels": F.transform(
-                    "_a",
-                    lambda a: F.struct(
-                        a["aspect"].alias("aspect"),
-                        F.col("_v.sentiment").alias("sentiment"),
-                        a["confidence"].alias("confidence"),
-                        a["reason"].alias("reason"),
-                    ),
-                ),
-                "evidence": _cut(text, 100),
-                "summary": _cut(text, 30),
-            }
-        )
-        .drop("_v", "_a")
+        (labeller or rule_labeller())(reviews)
+        .withColumns({"aspect_labels": with_sentiment, "evidence": _cut(text, 100), "summary": _cut(text, 30)})
+        .drop("aspects")
     )
 
 
