@@ -185,7 +185,7 @@ def labelled(spark, sf):
 @query("lb8_rule_aspects", with_views("SELECT order_id, CAST(rn AS INTEGER) AS rank, aspect, confidence, reason FROM found", "doc_reviews", **LABELLED))
 def lb8(spark, sf):
     found = lb.with_rule_aspects(v.doc_reviews(spark, sf).select("order_id", "text"), ASPECTS)
-    d = found.select("order_id", F.posexplode("aspects").alias("pos", "a"))
+    d = found.select("order_id", F.posexplode_outer("aspects").alias("pos", "a"))
     return d.select("order_id", (F.col("pos") + 1).alias("rank"), "a.aspect", "a.confidence", "a.reason")
 
 
@@ -193,7 +193,7 @@ def lb8(spark, sf):
 def lb8k(spark, sf):
     """The shipped Korean keyword lists over the corpus."""
     found = lb.with_rule_aspects(v.doc_reviews(spark, sf).select("order_id", "text"))
-    return found.select("order_id", F.explode("aspects").alias("a")).select("order_id", "a.*")
+    return found.select("order_id", F.explode_outer("aspects").alias("a")).select("order_id", "a.*")
 
 
 @query("lb9_rule_sentiment", with_views("SELECT order_id, sentiment, round(sentiment_score, 2) AS sentiment_score FROM verdict", "doc_reviews", **LABELLED))

@@ -330,7 +330,7 @@ MASTER = "SELECT dense_rank() OVER (ORDER BY ingredient) AS ingredient_id, ingre
 
 
 def word_rows(spark, sf):
-    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), F.posexplode_outer(F.split("text", " ")).alias("pos", "word"))
     return d.where("word <> ''").select("product_id", F.col("pos").cast("long").alias("pos"), F.lower("word").alias("ingredient"))
 
 

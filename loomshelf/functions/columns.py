@@ -55,6 +55,15 @@ def exact_std(n: Column, sx: Column, sxx: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0)) / (n * (n - 1))))
 
 
+def unnest(array: str | Column, name: str) -> Column:
+    """One row per element, NULL for an empty array; follow it by a NULL filter where arrays may be empty.
+
+    A plain ``explode`` makes the optimizer push ``size(array) > 0`` below the projections, which
+    evaluates a costly array (tokens, labels) a second time.
+    """
+    return F.explode_outer(array).alias(name)
+
+
 def any_of(patterns: Iterable[str], flags: str = "(?iu)") -> str:
     """One alternation out of several patterns, so the text is scanned once."""
     return flags + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshelf.functions.columns import ratio
+from loomshelf.functions.columns import ratio, unnest
 
 
 def _prf(tp: str, predicted: str, support: str) -> dict[str, Column]:
@@ -51,7 +51,7 @@ def multiclass_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def per_aspect(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """True and false positives and misses per aspect of two aspect lists."""
-    both = df.select(truth, pred, F.explode(F.array_union(truth, pred)).alias("aspect"))
+    both = df.select(truth, pred, unnest(F.array_union(truth, pred), "aspect")).where(F.col("aspect").isNotNull())
     is_true, is_pred = F.array_contains(truth, F.col("aspect")), F.array_contains(pred, F.col("aspect"))
     counts = both.groupBy("aspect").agg(
         F.count_if(is_true & is_pred).alias("tp"), F.count_if(is_pred).alias("predicted"), F.count_if(is_true).alias("support")
@@ -79,7 +79,7 @@ def confusion(df: DataFrame, label: str, pred: str, classes: Sequence[str]) -> D
 def aspect_support(df: DataFrame, truth: str) -> DataFrame:
     """Rows per true aspect and their share of all rows."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    counts = df.select(F.explode(F.array_distinct(truth)).alias("aspect")).groupBy("aspect").agg(F.count(F.lit(1)).alias("support"))
+    counts = df.select(unnest(F.array_distinct(truth), "aspect")).where(F.col("aspect").isNotNull()).groupBy("aspect").agg(F.count(F.lit(1)).alias("support"))
     return counts.crossJoin(F.broadcast(total)).select("aspect", "support", (F.col("support") * 100.0 / F.col("_n")).alias("pct"))
 
 

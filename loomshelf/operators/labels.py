@@ -184,8 +184,8 @@ def label_reviews(reviews: DataFrame, labeller: Labeller | None = None) -> DataF
 
 
 def explode_labels(labelled: DataFrame) -> DataFrame:
-    """One row per review and aspect."""
-    return labelled.withColumn("_l", F.explode("aspect_labels")).select(
+    """One row per review and aspect; every review has at least one (unclassified)."""
+    return labelled.withColumn("_l", F.explode_outer("aspect_labels")).select(
         *[c for c in labelled.columns if c not in ("aspect_labels", "sentiment")],
         F.col("sentiment").alias("overall_sentiment"),
         F.col("_l.aspect").alias("aspect"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomshelf.functions.columns import any_of, col, ratio
+from loomshelf.functions.columns import any_of, col, ratio, unnest
 from loomshelf.functions.lexicon import KEYWORDS, NEGATIVE_SUFFIX, PATTERNS, POSITIVE_SUFFIX, STOP_WORDS, rule_frame
 from loomshelf.functions.ranking import top_per_group
 
@@ -37,7 +37,8 @@ def clean_tokens(words: str | Column) -> Column:
 
 def keyword_counts(df: DataFrame, words: str = "tokens") -> DataFrame:
     """Occurrences per keyword. Tokens are counted inside each partition before any row is shuffled."""
-    return df.select(F.explode(words).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
+    found = df.select(unnest(words, "keyword")).where(F.col("keyword").isNotNull())
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def top_keywords(df: DataFrame, n: int = 50, words: str = "tokens") -> DataFrame:
@@ -84,8 +85,8 @@ def tfidf(df: DataFrame, doc: str, text: str, n: int = 20, max_features: int = 1
     idf = ln((1+n)/(1+df)) + 1, each document scaled to unit length, vocabulary = the most frequent terms.
     """
     docs = df.select(F.col(doc).alias("_d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    words = F.filter(F.split("_t", r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    tf = docs.select("_d", F.explode(words).alias("keyword")).groupBy("_d", "keyword").agg(F.count(F.lit(1)).alias("_tf"))
+    words = docs.select("_d", unnest(F.split("_t", r"[^\p{L}\p{N}_]+"), "keyword")).where(F.col("keyword") != "")
+    tf = words.groupBy("_d", "keyword").agg(F.count(F.lit(1)).alias("_tf"))
     vocabulary = (
         tf.groupBy("keyword")
         .agg(F.sum("_tf").alias("_total"), F.count(F.lit(1)).alias("_df"))
