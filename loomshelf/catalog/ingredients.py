@@ -50,7 +50,7 @@ def ig3(spark, sf):
 
 @query("ig4_product_section")
 def ig4(spark, sf):
-    named = docs(spark, sf).withColumn("product_name", F.concat(F.split("text", " ")[0], F.lit(" "), F.split("text", " ")[1]))
+    named = docs(spark, sf).withColumn("product_name", F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
     return ig.pick_product_section(named, brands=[]).select("doc_id", "text")
 
 
@@ -112,8 +112,8 @@ def ig8(spark, sf):
 @query(
     "ig9_concentration",
     with_views(
-        """SELECT product_id, pos, ingredient, CASE WHEN pos % 3 = 0 THEN CAST(pos AS VARCHAR) || ' ppm' END AS concentration FROM words
-        WHERE NOT regexp_matches(ingredient, '[()]')""",
+        """SELECT ingredient, CASE WHEN pos % 3 = 0 THEN CAST(pos AS VARCHAR) || ' ppm' END AS concentration, count(*) AS n_rows FROM words
+        WHERE NOT regexp_matches(ingredient, '[()]') GROUP BY 1, 2""",
         words=WORDS,
     ),
 )
@@ -121,7 +121,7 @@ def ig9(spark, sf):
     rows = word_rows(spark, sf).where(~F.col("ingredient").rlike("[()]"))
     amount = F.concat(F.lit("("), F.col("pos").cast("string"), F.lit(" ppm)"))
     name, found = ig.concentration(F.when(F.col("pos") % 3 == 0, F.concat("ingredient", amount)).otherwise(F.col("ingredient")))
-    return rows.select("product_id", "pos", name.alias("ingredient"), found.alias("concentration")).where(~F.col("ingredient").rlike("[()]"))
+    return rows.groupBy(name.alias("ingredient"), found.alias("concentration")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("ig10_normalise_names")
@@ -170,13 +170,13 @@ def ig12k(spark, sf):
 @query(
     "ig13_unify_spellings",
     with_views(
-        r"""SELECT product_id, pos, regexp_replace(regexp_replace(regexp_replace(replace(replace(ingredient, 'é', 'e'), 'ee', 'e'), '\(\d+\s*[a-z]+\)', '', 'g'), '^(?:the|la)', '', 'g'), '^\s+|\s+$', '', 'g') AS ingredient FROM words""",
+        r"""SELECT count(*) AS n_rows, regexp_replace(regexp_replace(regexp_replace(replace(replace(ingredient, 'é', 'e'), 'ee', 'e'), '\(\d+\s*[a-z]+\)', '', 'g'), '^(?:the|la)', '', 'g'), '^\s+|\s+$', '', 'g') AS ingredient FROM words GROUP BY 2""",
         words=WORDS,
     ),
 )
 def ig13(spark, sf):
     t = ig.unify_spellings("ingredient", {"é": "e", "ee": "e"}, [r"\(\d+\s*[a-z]+\)", "^(?:the|la)"])
-    return word_rows(spark, sf).withColumn("ingredient", t)
+    return word_rows(spark, sf).groupBy(t.alias("ingredient")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
@@ -275,9 +275,10 @@ def judged(spark, sf):
     return ig.verdicts(word_rows(spark, sf), CLASSES)
 
 
-@query("ig18_ingredient_verdicts", with_views("SELECT * EXCLUDE (c) FROM judged", words=WORDS, judged=JUDGED))
+@query("ig18_ingredient_verdicts", with_views("SELECT * EXCLUDE (c, product_id, pos), count(*) AS n_rows FROM judged GROUP BY ALL", words=WORDS, judged=JUDGED))
 def ig18(spark, sf):
-    return judged(spark, sf)
+    d = judged(spark, sf)
+    return d.groupBy("ingredient", "can_halal", "can_vegan", "warning", "not_halal").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("ig18_korean_verdicts")

@@ -169,9 +169,8 @@ def without_functional_text(item: str | Column) -> Column:
     t = F.regexp_replace(t, "|".join(lex.FUNCTIONAL_PHRASES), "")
     t = F.regexp_replace(t, r"\(\s*\)", "")
     # a bracket is stripped only when it has no partner, so "name(95%)" keeps its amount
-    t = strip(t, " ,;:")
-    n_open, n_close = F.regexp_count(t, F.lit(r"\(")), F.regexp_count(t, F.lit(r"\)"))
-    return F.when(n_open == n_close, t).otherwise(strip(t, " ,;:()"))
+    t = F.regexp_replace(strip(t, " ,;:"), r"^([^(]*?)[ ,;:)]*\)$", "$1")
+    return F.regexp_replace(t, r"^\([ ,;:(]*([^)]*)$", "$1")
 
 
 def is_item(
@@ -183,9 +182,10 @@ def is_item(
     lengths: tuple[int, int] = (2, 100),
 ) -> Column:
     """Plausible ingredient: right length, no noise, and in the wanted script or an allowed code."""
-    t = col(item)
-    noisy = t.rlike("(?i)^(?:" + "|".join(f"(?:{p})" for p in noise) + ")")
-    return F.length(t).between(*lengths) & ~noisy & (t.rlike(script) | F.upper(t).isin(*allowed) | t.rlike(formula))
+    # one expression, so that a long cleaning chain below is evaluated once for the whole test
+    wanted = f"(?=.*{script})|(?={formula})|(?=(?i:{'|'.join(allowed)})$)"
+    noisy = "(?!(?i:" + "|".join(f"(?:{p})" for p in noise) + "))"
+    return col(item).rlike(f"(?s)^(?=.{{{lengths[0]},{lengths[1]}}}$){noisy}(?:{wanted})")
 
 
 def item_rows(df: DataFrame, keys: Sequence[str], text: str = "text", kits: Sequence[str] = lex.KIT_HEADINGS) -> DataFrame:
@@ -211,23 +211,17 @@ def dedup_items(rows: DataFrame, keys: Sequence[str], item: str = "ingredient",
 
 def concentration(item: str | Column, flags: str = "(?i)") -> tuple[Column, Column]:
     """Name without, and text of, the bracketed amount; NULL amount when there is none."""
-    t = col(item)
-    pattern = flags + r"\(([^)]*(?:ppm|ppb|%|mg|g|ml)[^)]*)\)"
-    has = t.rlike(pattern)
-    amount = F.when(has, strip(F.regexp_extract(t, pattern, 1)))
-    whole = F.regexp_extract(t, pattern, 0)
-    before = F.call_function("substring_index", t, whole, F.lit(1))
-    rest = F.substring(t, F.length(before) + F.length(whole) + 1, F.length(t))
-    return F.when(has, F.concat(strip(before), strip(rest))).otherwise(t), amount
+    amount = r"\(([^)]*(?:ppm|ppb|%|mg|g|ml)[^)]*)\)"
+    name = F.regexp_replace(col(item), flags + r"(?s)^\s*(.*?)\s*" + amount + r"\s*(.*?)\s*$", "$1$3")
+    return name, F.nullif(strip(F.regexp_extract(col(item), flags + amount, 1)), F.lit(""))
 
 
 def parse_ingredients(df: DataFrame, keys: Sequence[str], text: str = "text", misreadings: Mapping[str, str] = lex.MISREADINGS) -> DataFrame:
     """Whole path from raw text to ranked ingredient rows with amounts."""
     repaired = df.select(*keys, repair_breaks(text).alias("text"))
     section = extract_section(normalise_text(repaired, misreadings=misreadings)).select(*keys, "section")
-    rows = item_rows(section, keys, "section")
-    rows = rows.withColumn("ingredient", clean_item("ingredient")).withColumn("ingredient", without_functional_text("ingredient"))
-    kept = rows.where(is_item("ingredient") & (F.col("ingredient").rlike(lex.HANGUL) | F.col("ingredient").rlike(lex.FORMULA)))
+    cleaned = item_rows(section, keys, "section").withColumn("ingredient", without_functional_text(clean_item("ingredient")))
+    kept = cleaned.where(is_item("ingredient") & F.col("ingredient").rlike(f"{lex.HANGUL}|{lex.FORMULA}"))
     name, amount = concentration("ingredient")
     return dedup_items(kept, keys).select(
         *keys, "pos", F.regexp_replace(name, r"\s+", "").alias("ingredient"), amount.alias("concentration")
@@ -259,69 +253,93 @@ def normalise_name(name: str | Column, misreadings: Mapping[str, str] = lex.MISR
     return strip(replace_all(n, lex.LATE_SPELLINGS))
 
 
-def validity(name: str | Column, known: str | Column | None = None, stop_words: Sequence[str] = ()) -> Column:
-    """Struct (valid, confidence, reason), decided by the first rule that applies.
+# Confidence of every reason that accepts a name; all other reasons reject it.
+ACCEPTING = {
+    "known_ingredient": 1.0,
+    "pattern_match": 0.9,
+    "ci_colorant": 0.95,
+    "peg_ppg": 0.9,
+    "ethoxylate": 0.9,
+    "ethoxylate_extended": 0.9,
+    "enzyme": 0.85,
+    "amino_acid_salt": 0.85,
+    "plant_derived": 0.85,
+    "glucoside": 0.85,
+    "cellulose_derivative": 0.85,
+    "english_chemical": 0.8,
+    "alphanumeric_compound": 0.75,
+    "korean_chemical": 0.85,
+}
+
+
+def validity_reason(name: str | Column, known: str | Column | None = None, stop_words: Sequence[str] = ()) -> Column:
+    """Why a (trimmed) name is taken or refused: the first rule that applies.
 
     ``known`` is a boolean column that says whether the name is in the known list (a join made before).
     """
-    t = strip(col(name))
-    verdict = F.when(t.isNull() | (F.length(t) < 2), _verdict(False, 0.0, "too_short"))
-
-    def accept(cond: Column, confidence: float, reason: str) -> None:
-        nonlocal verdict
-        verdict = verdict.when(cond, _verdict(True, confidence, reason))
-
-    def reject(cond: Column, reason: str) -> None:
-        nonlocal verdict
-        verdict = verdict.when(cond, _verdict(False, 0.0, reason))
-
+    t = col(name)
+    either = lambda patterns: "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
     ends = "(?:" + "|".join(lex.ENDING_EXCEPTIONS) + ")$"
-    noise = t.isin(*lex.ENGLISH_NOISE)
-    if known is not None:
-        accept(F.coalesce(col(known), F.lit(False)), 1.0, "known_ingredient")
-    reject(t.rlike(r"^[\d\.\-/]+$"), "pure_number")
-    reject(t.rlike(r"^\d+(\.\d+)?(cm|mm|g|mg|ml|L|kg)$"), "dimension")
-    reject(t.rlike(r"(?i)^(POINT|STEP|TIP|NOTE|PDRN)\d*$"), "product_description")
-    reject(t.isin(*lex.BAD_TWO_LETTER), "invalid_2char")
-    reject(t.rlike(lex.VERB_ENDING) & ~t.rlike(ends), "verb_ending")
-    accept(t.rlike("^(?:" + "|".join(f"(?:{p})" for p in lex.CHEMICAL_PATTERNS) + ")"), 0.9, "pattern_match")
-    accept(t.rlike(r"^CI\s*\d+$"), 0.95, "ci_colorant")
-    accept(t.rlike(r"^(PEG|PPG|폴리에틸렌글라이콜|폴리프로필렌글라이콜)[-\s]?\d+"), 0.9, "peg_ppg")
-    accept(t.rlike(r"^(라우레스|세테스|올레스|스테아레스|세테아레스|폴리소르베이트|솔비탄)[-\s]?\d+"), 0.9, "ethoxylate")
-    accept(t.rlike(r"^(글리세레스|폴리글리세릴|세테스|올레스|스테아레스|트라이데세스)[-]?\d+.*$"), 0.9, "ethoxylate_extended")
-    accept(t.rlike("^.{2,}(아제|라아제)$") | t.rlike("^[가-힣]{2,}인$"), 0.85, "enzyme")
-    accept(t.rlike(".+(에이치씨엘|하이드로클로라이드|염산염|황산염|질산염)$"), 0.85, "amino_acid_salt")
-    accept((F.length(t) >= 4) & t.rlike("^[가-힣]{2,}(오일|전분|버터)$"), 0.85, "plant_derived")
-    accept(F.endswith(t, F.lit("글루코사이드")) & (F.length(t) >= 6), 0.85, "glucoside")
-    accept(t.rlike("^.+(셀룰로오스|셀룰로스)$") & (F.length(t) >= 6), 0.85, "cellulose_derivative")
-    accept(~noise & t.rlike("^[A-Z][a-z]{3,}(yl|ol|in|ate|ide|ene|one|ose|ine|ane|ene)$"), 0.8, "english_chemical")
-    mixed = t.rlike("^[A-Za-z]+[-]?[0-9]+[A-Za-z]*$") & (F.length(t) >= 4)
-    accept(~noise & mixed & ~t.rlike(r"(?i)^(SPF|PA|UV|LED|SUPER|STEP|POINT|TIP|EXTRA|PLUS)\d+"), 0.75, "alphanumeric_compound")
     parts = "^(?:" + "|".join(lex.CHEMICAL_PREFIXES) + ")|(?:" + "|".join(lex.CHEMICAL_SUFFIXES) + ")$"
-    accept(t.rlike(parts), 0.85, "korean_chemical")
-    reject(t.rlike("^(?:" + "|".join(f"(?:{p})" for p in lex.NOISE_PATTERNS) + ")"), "noise")
-    if stop_words:
-        reject(t.isin(*stop_words), "stopword")
+    mixed = t.rlike("^[A-Za-z]+[-]?[0-9]+[A-Za-z]*$") & (F.length(t) >= 4)
+    not_noise = ~t.isin(*lex.ENGLISH_NOISE)
     chemical_word = t.rlike("(?i)(?:(ol|ate|ide|ine|one|ene|ose|ase|ane|yl|ic|in)$)|^(Hydrogenated|Hydrolyzed|PEG|PPG|CI)")
-    reject(t.rlike("^[A-Za-z]+$") & ~t.isin(*lex.VALID_ENGLISH) & ~chemical_word & (F.length(t) <= 10), "english_noise")
-    long_words = [w for w in stop_words if len(w) >= 4]
-    if long_words:
-        reject((F.length(t) >= 12) & t.rlike("|".join(re.escape(w) for w in long_words)), "contains_stopword")
-    return verdict.otherwise(_verdict(False, 0.0, "no_pattern_match"))
-
-
-def _verdict(valid: bool, confidence: float, reason: str) -> Column:
-    return F.struct(F.lit(valid).alias("valid"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    rules = [
+        ("too_short", t.isNull() | (F.length(t) < 2)),
+        ("known_ingredient", F.coalesce(col(known), F.lit(False)) if known is not None else None),
+        ("pure_number", t.rlike(r"^[\d\.\-/]+$")),
+        ("dimension", t.rlike(r"^\d+(\.\d+)?(cm|mm|g|mg|ml|L|kg)$")),
+        ("product_description", t.rlike(r"(?i)^(POINT|STEP|TIP|NOTE|PDRN)\d*$")),
+        ("invalid_2char", t.isin(*lex.BAD_TWO_LETTER)),
+        ("verb_ending", t.rlike(lex.VERB_ENDING) & ~t.rlike(ends)),
+        ("pattern_match", t.rlike(either(lex.CHEMICAL_PATTERNS))),
+        ("ci_colorant", t.rlike(r"^CI\s*\d+$")),
+        ("peg_ppg", t.rlike(r"^(PEG|PPG|폴리에틸렌글라이콜|폴리프로필렌글라이콜)[-\s]?\d+")),
+        ("ethoxylate", t.rlike(r"^(라우레스|세테스|올레스|스테아레스|세테아레스|폴리소르베이트|솔비탄)[-\s]?\d+")),
+        ("ethoxylate_extended", t.rlike(r"^(글리세레스|폴리글리세릴|세테스|올레스|스테아레스|트라이데세스)[-]?\d+.*$")),
+        ("enzyme", t.rlike("^.{2,}(아제|라아제)$|^[가-힣]{2,}인$")),
+        ("amino_acid_salt", t.rlike(".+(에이치씨엘|하이드로클로라이드|염산염|황산염|질산염)$")),
+        ("plant_derived", t.rlike("^[가-힣]{2,}(오일|전분|버터)$")),
+        ("glucoside", t.rlike("^.*글루코사이드$")),
+        ("cellulose_derivative", t.rlike("^.+(셀룰로오스|셀룰로스)$") & (F.length(t) >= 6)),
+        ("english_chemical", not_noise & t.rlike("^[A-Z][a-z]{3,}(yl|ol|in|ate|ide|ene|one|ose|ine|ane|ene)$")),
+        ("alphanumeric_compound", not_noise & mixed & ~t.rlike(r"(?i)^(SPF|PA|UV|LED|SUPER|STEP|POINT|TIP|EXTRA|PLUS)\d+")),
+        ("korean_chemical", t.rlike(parts)),
+        ("noise", t.rlike(either(lex.NOISE_PATTERNS))),
+        ("stopword", t.isin(*stop_words) if stop_words else None),
+        ("english_noise", t.rlike("^[A-Za-z]{1,10}$") & ~t.isin(*lex.VALID_ENGLISH) & ~chemical_word),
+        ("contains_stopword", _contains_long(t, stop_words)),
+    ]
+    reason = F
+    for label, applies in rules:
+        if applies is not None:
+            reason = reason.when(applies, F.lit(label))
+    return reason.otherwise(F.lit("no_pattern_match"))
+
+
+def _contains_long(t: Column, stop_words: Sequence[str]) -> Column | None:
+    words = [re.escape(w) for w in stop_words if len(w) >= 4]
+    return (F.length(t) >= 12) & t.rlike("|".join(words)) if words else None
+
+
+def reason_confidence(reason: str | Column) -> Column:
+    out = F
+    for label, confidence in ACCEPTING.items():
+        out = out.when(col(reason) == label, F.lit(confidence))
+    return out.otherwise(F.lit(0.0))
 
 
 def score_names(rows: DataFrame, known: DataFrame, name: str = "ingredient", stop_words: Sequence[str] = ()) -> DataFrame:
-    """Validity per row; the rules run once per distinct name and are joined back."""
-    distinct = rows.select(F.col(name).alias("_name")).distinct()
+    """valid, confidence and reason per row; the rules run once per distinct name and are joined back."""
+    distinct = rows.select(F.col(name).alias("_name")).distinct().withColumn("_t", strip(F.col("_name")))
     marks = known.select(F.trim(known.columns[0]).alias("_known")).distinct()
-    judged = distinct.join(marks, F.col("_name") == F.col("_known"), "left").select(
-        "_name", validity("_name", F.col("_known").isNotNull(), stop_words).alias("_v")
+    judged = distinct.join(marks, F.col("_t") == F.col("_known"), "left").select(
+        "_name", validity_reason("_t", F.col("_known").isNotNull(), stop_words).alias("reason")
+    )
+    confidence = reason_confidence("reason")
+    return rows.join(judged, F.col(name) == F.col("_name"), "left").select(
+        *rows.columns, F.col("reason").isin(*ACCEPTING).alias("valid"), confidence.alias("confidence"), "reason"
     )
-    return rows.join(judged, F.col(name) == F.col("_name"), "left").select(*rows.columns, "_v.*")
 
 
 def resolve_chains(replacements: Mapping[str, str]) -> dict[str, str]:
@@ -664,9 +682,15 @@ def extract_by_mode(df: DataFrame, keys: Sequence[str], known: DataFrame, text:
     items = F.when(separator_mode(text) == "space", F.split(strip(spaced), r"\s+")).otherwise(split_items(repair_breaks(text)))
     rows = df.select(*keys, source, F.posexplode_outer(items).alias("pos", "raw")).where(F.col("raw").isNotNull())
     # the name rules are long, so they run once per distinct spelling
-    spellings = rows.select(F.col("raw").alias("_raw")).distinct().withColumn("ingredient", normalise_name("_raw"))
-    scored = score_names(spellings.where(F.length("ingredient") >= 2), known).where("valid")
-    named = rows.join(scored, F.col("raw") == F.col("_raw"))
+    marks = known.select(F.trim(known.columns[0]).alias("_known")).distinct()
+    judged = (
+        rows.select(F.col("raw").alias("_raw"))
+        .distinct()
+        .withColumn("ingredient", normalise_name("_raw"))
+        .join(marks, F.col("ingredient") == F.col("_known"), "left")
+        .select("_raw", "ingredient", validity_reason("ingredient", F.col("_known").isNotNull()).alias("reason"))
+    )
+    named = rows.join(judged, F.col("raw") == F.col("_raw")).withColumn("confidence", reason_confidence("reason"))
     return named.drop("_raw").where(F.col("confidence") >= acceptance_threshold(source))
 
 
