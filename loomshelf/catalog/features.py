@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomshelf.catalog.registry import query, rounded
 from loomshelf.operators import product_features as pf
+from loomshelf.sources import tables
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
 
@@ -97,7 +98,8 @@ def pf5(spark, sf):
     ),
 )
 def pf6(spark, sf):
-    d = pf.with_value_index(scored(spark, sf))
+    # the quantile needs further passes over the products; writing them once spares the reviews
+    d = pf.with_value_index(tables.settle(scored(spark, sf), "scored"))
     return rounded(d.select("product_code", "cp_index", "is_god_sung_bi"), "cp_index")
 
 
@@ -157,7 +159,7 @@ def pf8p(spark, sf):
     ),
 )
 def pf9(spark, sf):
-    valued = pf.with_value_index(scored(spark, sf))
+    valued = pf.with_value_index(tables.settle(scored(spark, sf), "scored"))
     everyone = pf.value_shares(valued, "price_tier").withColumn("scope", F.lit("all"))
     best = pf.value_shares(valued.where("is_god_sung_bi"), "price_tier").withColumn("scope", F.lit("top value"))
     return rounded(everyone.unionByName(best), "share").select("scope", "price_tier", "n", "share")

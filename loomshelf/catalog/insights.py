@@ -11,6 +11,7 @@ from loomshelf.operators import aggregates as ag
 from loomshelf.operators import product_features as pf
 from loomshelf.operators import reorder as qa
 from loomshelf.operators import review_features as rf
+from loomshelf.sources import tables
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
 
@@ -549,7 +550,9 @@ def _viral_sql(name: str, quadrants: list[str]) -> str:
     with_views(" UNION ALL ".join(_viral_sql(n, q) for n, q in SUBSETS.items()), *PR, **stack("scored"), **quadrant_sql(4.0)),
 )
 def qa9(spark, sf):
-    hits = qa.viral_products(placed(spark, sf, 4.0, engagement=True), SUBSETS)
+    # one row per product: written once, so the reviews behind it are not scanned for every quantile
+    base = tables.settle(placed(spark, sf, 4.0, engagement=True), "placed")
+    hits = qa.viral_products(base, SUBSETS)
     return hits.select("subset", "product_code", "quadrant", "reorder_rate")
 
 

@@ -8,6 +8,7 @@ from loomshelf.catalog.registry import query, rounded
 from loomshelf.operators import evaluation as ev
 from loomshelf.operators import labels as lb
 from loomshelf.operators import sampling as sm
+from loomshelf.sources import tables
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
 
@@ -58,13 +59,18 @@ def lb2(spark, sf):
     return sm.quotas_with_floor(counts, "category_1", TARGET, FLOOR_1)
 
 
-def quotas(spark, sf):
-    return sm.two_level_quotas(pool(spark, sf), target=TARGET, floor_outer=FLOOR_1, floor_inner=FLOOR_2, whole=WHOLE)
+def settled_pool(spark, sf):
+    """The pool is read many times over (counts, quotas, draws), so the join behind it is written once."""
+    return tables.settle(pool(spark, sf), "pool")
+
+
+def quotas(rows):
+    return sm.two_level_quotas(rows, target=TARGET, floor_outer=FLOOR_1, floor_inner=FLOOR_2, whole=WHOLE)
 
 
 @query("lb3_two_level_quotas", with_views("SELECT category_1, category_2, n, CAST(quota AS BIGINT) AS quota FROM q2", *PR, pool=POOL, **TOPS))
 def lb3(spark, sf):
-    return quotas(spark, sf)
+    return quotas(settled_pool(spark, sf))
 
 
 DRAWN = {
@@ -74,15 +80,13 @@ DRAWN = {
 }
 
 
-def drawn(spark, sf):
-    return sm.stratified_sample(
-        pool(spark, sf), quotas(spark, sf), ["category_1", "category_2"], "review_key", whole={"category_1": WHOLE}
-    )
+def drawn(rows):
+    return sm.stratified_sample(rows, quotas(rows), ["category_1", "category_2"], "review_key", whole={"category_1": WHOLE})
 
 
 @query("lb4_stratified_sample", with_views("SELECT review_key, category_1, category_2 FROM drawn", *PR, pool=POOL, **TOPS, **DRAWN))
 def lb4(spark, sf):
-    return drawn(spark, sf).select("review_key", "category_1", "category_2")
+    return drawn(settled_pool(spark, sf)).select("review_key", "category_1", "category_2")
 
 
 BALANCED = {
@@ -99,7 +103,8 @@ BALANCED = {
 
 
 def balanced(spark, sf):
-    return sm.balance_sentiment(pool(spark, sf), drawn(spark, sf), "review_key", TARGET)
+    rows = settled_pool(spark, sf)
+    return sm.balance_sentiment(rows, tables.settle(drawn(rows), "sample"), "review_key", TARGET)
 
 
 @query(
@@ -123,7 +128,7 @@ def lb5(spark, sf):
     ),
 )
 def lb6(spark, sf):
-    return rounded(sm.sample_report(drawn(spark, sf)), "pct", "target_pct", "diff")
+    return rounded(sm.sample_report(drawn(settled_pool(spark, sf))), "pct", "target_pct", "diff")
 
 
 @query(
@@ -330,7 +335,7 @@ GOLD = {
 
 def gold(spark, sf):
     keyed = long_labels(spark, sf).withColumn("label_key", F.concat_ws("/", "order_id", "aspect"))
-    return sm.gold_set(keyed, "label_key", 5, 100)
+    return sm.gold_set(tables.settle(keyed, "labels"), "label_key", 5, 100)
 
 
 @query(

@@ -23,7 +23,7 @@ CRAWL = "row_no bigint, user_masked string, product_code bigint, date date, text
     ),
 )
 def st1(spark, sf):
-    """Every review is dropped twice; the second copies must not be loaded."""
+    """Every review is dropped twice, one run of the job per drop; the second copies must not be loaded."""
     drops, target, checkpoint = (tables.new_path(spark, n) for n in ("drops", "star", "progress"))
     crawl = v.doc_reviews(spark, sf).select(
         F.col("order_id").alias("row_no"),
@@ -36,9 +36,9 @@ def st1(spark, sf):
     )
     for _ in range(2):
         crawl.write.mode("append").parquet(drops)
-    stream = st.read_drops(spark, drops, CRAWL, files_per_batch=1)
-    writer = st.stream_reviews(stream, target, checkpoint, ["row_no"], [F.expr("row_no div 65536")])
-    writer.trigger(availableNow=True).start().awaitTermination()
+        stream = st.read_drops(spark, drops, CRAWL)
+        writer = st.stream_reviews(stream, target, checkpoint, ["row_no"], [F.expr("row_no div 65536")])
+        writer.trigger(availableNow=True).start().awaitTermination()
     users = spark.read.parquet(f"{target}/users").select("user_id", "user_masked")
     lengths = spark.read.parquet(f"{target}/review_analysis").select("order_id", "length")
     return (
@@ -60,10 +60,10 @@ def st1(spark, sf):
 def st2(spark, sf):
     drops, target, checkpoint = (tables.new_path(spark, n) for n in ("drops", "labels", "progress"))
     reviews = v.doc_reviews(spark, sf).select("order_id", "product_code", "rating", "text")
+    schema = "order_id bigint, product_code bigint, rating double, text string"
     for _ in range(2):
         reviews.write.mode("append").parquet(drops)
-    schema = "order_id bigint, product_code bigint, rating double, text string"
-    stream = st.read_drops(spark, drops, schema, files_per_batch=1)
-    writer = st.stream_labels(stream, target, checkpoint, lb.rule_labeller(ASPECTS, POS, NEG, NEU))
-    writer.trigger(availableNow=True).start().awaitTermination()
+        stream = st.read_drops(spark, drops, schema)
+        writer = st.stream_labels(stream, target, checkpoint, lb.rule_labeller(ASPECTS, POS, NEG, NEU))
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select("order_id", "aspect", "overall_sentiment", "aspect_confidence")

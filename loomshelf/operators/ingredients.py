@@ -32,7 +32,7 @@ def replace_all(text: Column, pairs: Mapping[str, str]) -> Column:
 
 def strip(text: Column, chars: str | None = None) -> Column:
     """Trim white space, or a set of characters, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "") if chars is None else F.btrim(text, F.lit(chars))
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b" if chars is None else chars))
 
 
 def normalise_text(df: DataFrame, text: str = "text", out: str = "text", misreadings: Mapping[str, str] = lex.MISREADINGS) -> DataFrame:
