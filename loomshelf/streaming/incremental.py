@@ -49,26 +49,31 @@ def stream_reviews(
     checkpoint: str,
     order_by: Sequence[str],
     buckets: Sequence[Column],
-    lateness: str = "30 days",
+    lateness: str | None = None,
 ) -> DataStreamWriter:
     """Dedup, key and append crawled reviews.
 
-    The stream remembers keys only as long as the watermark allows; each batch is also compared with the
-    loaded table, so a copy that arrives later than that is still dropped, as in the batch job.
+    Copies inside a batch collapse to the first in ``order_by``; copies of loaded reviews are found by a
+    join with the loaded rows of the batch's dates, however late they come. ``lateness`` adds a stateful
+    filter in front that drops copies within a watermark sooner; which copy survives it is not defined.
     """
-    unique = (
-        reviews.withColumn("event_time", F.col("date").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(REVIEW_KEY)
-        .drop("event_time")
-    )
+    unique = reviews
+    if lateness is not None:
+        unique = (
+            reviews.withColumn("event_time", F.col("date").cast("timestamp"))
+            .withWatermark("event_time", lateness)
+            .dropDuplicatesWithinWatermark(REVIEW_KEY)
+            .drop("event_time")
+        )
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         _put(batch, f"{tables}/_staging", number)
         staged = spark.read.parquet(f"{tables}/_staging/batch_id={number}")
         old = {t: _earlier(spark, f"{tables}/{t}", s, number) for t, s in TABLES.items()}
-        loaded = old["reviews"].join(old["users"], "user_id").select(
+        first, last = staged.agg(F.min("date"), F.max("date")).first()
+        same_days = old["reviews"].where(F.col("write_date").between(F.lit(first), F.lit(last)))
+        loaded = same_days.join(old["users"], "user_id").select(
             "product_code", "user_masked", F.col("write_date").alias("date"), "text"
         )
         fresh = staged.join(loaded, REVIEW_KEY, "left_anti")
