@@ -118,6 +118,32 @@ def analysis_length_class(length: str) -> Column:
     return F.when(F.col(length) > 0, steps_below(length, ANALYSIS_LENGTH_BINS, ANALYSIS_LONGEST))
 
 
+def key_reviews(
+    crawl: DataFrame, users: DataFrame, last: DataFrame, order_by: Sequence[str], buckets: Sequence[Column]
+) -> DataFrame:
+    """Crawled rows as review rows: known user, first copy only, ids after ``last`` (one row, one column)."""
+    keyed = lookup_id(crawl, users.select("user_masked", "user_id"), "user_masked", "user_masked", "user_id")
+    if "is_reorder" not in crawl.columns:
+        keyed = keyed.withColumn("is_reorder", F.lit(False))
+    unique = keep_first(keyed, ["product_code", "user_id", "date", "text"], order_by)
+    return assign_ids(unique, last, order_by, buckets).select(
+        "order_id",
+        "product_code",
+        "user_id",
+        F.col("date").cast("date").alias("write_date"),
+        "rating",
+        "text",
+        "image_count",
+        F.coalesce("is_reorder", F.lit(False)).alias("is_reorder"),
+    )
+
+
+def analysis_rows(reviews: DataFrame) -> DataFrame:
+    """Length and length class of every review."""
+    lengths = reviews.select("order_id", F.length(F.coalesce("text", F.lit(""))).alias("length"))
+    return lengths.withColumn("length_category", analysis_length_class("length"))
+
+
 def load_reviews(
     reviews: DataFrame,
     analysis: DataFrame,
@@ -131,26 +157,9 @@ def load_reviews(
     Expects ``user_masked, product_code, date, text, rating, image_count`` and the order columns.
     """
     all_users = register_members(users, crawl, "user_masked", "user_masked", "user_id", order_by, buckets)
-    keyed = lookup_id(crawl, all_users.select("user_masked", "user_id"), "user_masked", "user_masked", "user_id")
-    if "is_reorder" not in crawl.columns:
-        keyed = keyed.withColumn("is_reorder", F.lit(False))
-    unique = keep_first(keyed, ["product_code", "user_id", "date", "text"], order_by)
-    numbered = assign_ids(unique, reviews.agg(F.max("order_id")), order_by, buckets)
-    fresh = numbered.select(
-        "order_id",
-        "product_code",
-        "user_id",
-        F.col("date").cast("date").alias("write_date"),
-        "rating",
-        "text",
-        "image_count",
-        F.coalesce("is_reorder", F.lit(False)).alias("is_reorder"),
-    )
-    lengths = fresh.select("order_id", F.length(F.coalesce("text", F.lit(""))).alias("length")).withColumn(
-        "length_category", analysis_length_class("length")
-    )
-    empty = analysis.limit(0)
-    return {"users": all_users, "reviews": fresh, "review_analysis": empty.unionByName(lengths, allowMissingColumns=True)}
+    fresh = key_reviews(crawl, all_users, reviews.agg(F.max("order_id")), order_by, buckets)
+    lengths = analysis.limit(0).unionByName(analysis_rows(fresh), allowMissingColumns=True)
+    return {"users": all_users, "reviews": fresh, "review_analysis": lengths}
 
 
 def product_ingredients(

@@ -1 +1 @@
-
+"""End-to-end jobs composed of the operators."""

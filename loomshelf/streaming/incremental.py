@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from loomshelf.operators.dimensions import load_reviews
+from loomshelf.operators.dimensions import analysis_rows, key_reviews, new_members
 from loomshelf.operators.labels import Labeller, explode_labels, label_reviews
 
 REVIEW_KEY = ["product_code", "user_masked", "date", "text"]
@@ -22,7 +22,6 @@ TABLES = {
     "users": "user_id bigint, user_masked string, batch_id bigint",
     "reviews": "order_id bigint, product_code bigint, user_id bigint, write_date date, rating double, text string, "
     "image_count int, is_reorder boolean, batch_id bigint",
-    "review_analysis": "order_id bigint, length int, length_category string, batch_id bigint",
 }
 
 
@@ -39,8 +38,11 @@ def _earlier(spark: SparkSession, path: str, schema: str, batch: int) -> DataFra
     return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch).drop("batch_id")
 
 
-def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+def _put(df: DataFrame, path: str, batch: int) -> DataFrame:
+    """Write a batch's partition and read it back."""
+    target = f"{path}/batch_id={batch}"
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def stream_reviews(
@@ -68,19 +70,19 @@ def stream_reviews(
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        _put(batch, f"{tables}/_staging", number)
-        staged = spark.read.parquet(f"{tables}/_staging/batch_id={number}")
-        old = {t: _earlier(spark, f"{tables}/{t}", s, number) for t, s in TABLES.items()}
+        staged = _put(batch, f"{tables}/_staging", number)
+        old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in ("users", "reviews")}
         first, last = staged.agg(F.min("date"), F.max("date")).first()
         same_days = old["reviews"].where(F.col("write_date").between(F.lit(first), F.lit(last)))
         loaded = same_days.join(old["users"], "user_id").select(
             "product_code", "user_masked", F.col("write_date").alias("date"), "text"
         )
         fresh = staged.join(loaded, REVIEW_KEY, "left_anti")
-        out = load_reviews(old["reviews"], old["review_analysis"], old["users"], fresh, order_by, buckets)
-        _put(out["users"].join(old["users"].select("user_masked"), "user_masked", "left_anti"), f"{tables}/users", number)
-        _put(out["reviews"], f"{tables}/reviews", number)
-        _put(out["review_analysis"], f"{tables}/review_analysis", number)
+        # each table is written before the next is derived from it, so nothing is computed twice
+        added = new_members(old["users"], fresh, "user_masked", "user_masked", "user_id", order_by, buckets)
+        users = old["users"].unionByName(_put(added, f"{tables}/users", number))
+        keyed = key_reviews(fresh, users, old["reviews"].agg(F.max("order_id")), order_by, buckets)
+        _put(analysis_rows(_put(keyed, f"{tables}/reviews", number)), f"{tables}/review_analysis", number)
 
     return unique.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
 
