@@ -473,9 +473,10 @@ def quadrant_sql(floor: float) -> dict[str, str]:
 
 
 def placed(spark, sf, floor=4.5, engagement=False):
-    reviews = v.reviews(spark, sf)
+    # one row per product, written once: the reviews are scanned a single time for all quantiles
+    stats = tables.settle(qa.rating_stats(v.reviews(spark, sf)), "rating-stats")
     products = scored(spark, sf) if engagement else v.products(spark, sf)
-    return qa.rating_quadrants(products, reviews, mean_floor=floor)
+    return qa.rating_quadrants(products, stats, mean_floor=floor)
 
 
 @query(
@@ -550,7 +551,7 @@ def _viral_sql(name: str, quadrants: list[str]) -> str:
     with_views(" UNION ALL ".join(_viral_sql(n, q) for n, q in SUBSETS.items()), *PR, **stack("scored"), **quadrant_sql(4.0)),
 )
 def qa9(spark, sf):
-    # one row per product: written once, so the reviews behind it are not scanned for every quantile
+    # the engagement scores read the reviews again, so the placed products are written once as well
     base = tables.settle(placed(spark, sf, 4.0, engagement=True), "placed")
     hits = qa.viral_products(base, SUBSETS)
     return hits.select("subset", "product_code", "quadrant", "reorder_rate")

@@ -101,37 +101,38 @@ def reorder_group_leaders(grouped: DataFrame, category: str = "category_2", n: i
     return top_per_group(grouped, ["reorder_group"], [F.desc("n_reviews"), F.asc(category)], n)
 
 
+def rating_stats(reviews: DataFrame) -> DataFrame:
+    """Count, mean, spread and reorder rate of the ratings per product, in one pass over the reviews."""
+    r = F.col("rating")
+    n = F.col("n_reviews")
+    sums = reviews.groupBy("product_code").agg(
+        F.count(F.lit(1)).alias("n_reviews"),
+        F.sum(r).alias("_sx"),
+        F.sum(r * r).alias("_sxx"),
+        F.count_if(F.col("is_reorder")).alias("reorder_count"),
+    )
+    return sums.select(
+        "product_code",
+        "n_reviews",
+        (F.col("_sx") / n).alias("avg_rating"),
+        exact_std(n, F.col("_sx"), F.col("_sxx")).alias("std_rating"),
+        percent_2dp(F.col("reorder_count"), n).alias("reorder_rate"),
+    )
+
+
 def rating_quadrants(
-    products: DataFrame,
-    reviews: DataFrame,
-    min_candidates: int = 10,
-    min_reviews: int = 30,
-    mean_floor: float = 4.5,
+    products: DataFrame, stats: DataFrame, min_candidates: int = 10, min_reviews: int = 30, mean_floor: float = 4.5
 ) -> DataFrame:
-    """Place products by mean and spread of their ratings.
+    """Place products by mean and spread of their ratings (``rating_stats``).
 
     Thresholds are medians over products with enough reviews; they stay a one-row frame in the plan.
+    The statistics are read several times, so hand in a written table when the reviews are large.
     """
-    r = F.col("rating")
     n = F.col("n_reviews")
-    stats = (
-        reviews.groupBy("product_code")
-        .agg(
-            F.count(F.lit(1)).alias("n_reviews"),
-            F.sum(r).alias("_sx"),
-            F.sum(r * r).alias("_sxx"),
-            F.count_if(F.col("is_reorder")).alias("reorder_count"),
-        )
-        .where(n >= min_candidates)
-        .select(
-            "product_code",
-            "n_reviews",
-            (F.col("_sx") / n).alias("avg_rating"),
-            exact_std(n, F.col("_sx"), F.col("_sxx")).alias("std_rating"),
-            percent_2dp(F.col("reorder_count"), n).alias("reorder_rate"),
-        )
+    stats = stats.where(n >= min_candidates)
+    cuts = exact_quantiles(stats, {"avg_rating": {"_mid_mean": 0.5}, "std_rating": {"_std_cut": 0.5}}).select(
+        F.greatest("_mid_mean", F.lit(mean_floor)).alias("_mean_cut"), "_std_cut"
     )
-    cuts = exact_quantiles(stats, {"avg_rating": {"_mid_mean": 0.5}, "std_rating": {"_std_cut": 0.5}}).select(F.greatest("_mid_mean", F.lit(mean_floor)).alias("_mean_cut"), "_std_cut")
     high_mean = F.col("avg_rating") >= F.col("_mean_cut")
     high_std = F.col("std_rating") >= F.col("_std_cut")
     quadrant = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomshelf.operators import product_features as pf
 from loomshelf.operators import reorder as qa
 from loomshelf.operators import review_features as rf
+from loomshelf.sources.tables import settle
 
 
 def product_features(products: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -38,4 +39,5 @@ def write_mart(products: DataFrame, reviews: DataFrame, promos: DataFrame, path:
 
 def steady_sellers(products: DataFrame, reviews: DataFrame, mean_floor: float = 4.5, min_rate: float = 30.0) -> DataFrame:
     """Well and evenly rated products that people buy again."""
-    return qa.true_steady_sellers(qa.rating_quadrants(products, reviews, mean_floor=mean_floor), min_rate)
+    stats = settle(qa.rating_stats(reviews), "rating-stats")
+    return qa.true_steady_sellers(qa.rating_quadrants(products, stats, mean_floor=mean_floor), min_rate)
