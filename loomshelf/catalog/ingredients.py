@@ -42,10 +42,31 @@ def ig2(spark, sf):
     return docs(spark, sf).select("doc_id", ig.repair_breaks("text").alias("text"))
 
 
-@query("ig3_section")
+STARTS, ENDS = ["The ", "La ", "Der ", "El "], ["License", "@", ".\n"]
+OPENED = "len(regexp_extract_all({0}, '[(（]')) - len(regexp_extract_all({0}, '[)）]'))"
+
+
+def _section_sql() -> str:
+    starts = ", ".join(f"nullif(instr(text, '{w}'), 0) AS s{i}" for i, w in enumerate(STARTS))
+    first = f"least({', '.join(f's{i}' for i in range(len(STARTS)))})"
+    skip = "CASE m " + " ".join(f"WHEN s{i} THEN {len(w)}" for i, w in enumerate(STARTS)) + " END"
+    words = [w.replace("\n", "' || chr(10) || '") for w in ENDS]
+    stops = ", ".join(
+        f"CASE WHEN instr(tail, '{w}') > 0 AND opened + {OPENED.format(f"substr(tail, 1, instr(tail, '{w}') - 1)")} <= 0 THEN instr(tail, '{w}') END"
+        for w in words
+    )
+    trim = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+    body = trim.format("CASE WHEN stop IS NULL THEN tail ELSE substr(tail, 1, stop - 1) END")
+    heads = "|".join(STARTS)
+    return f"""WITH a AS (SELECT doc_id, text, {starts} FROM documents), b AS (SELECT *, {first} AS m FROM a),
+    c AS (SELECT doc_id, text, coalesce(m + {skip}, 1) AS f FROM b),
+    d AS (SELECT doc_id, substr(text, f) AS tail, {OPENED.format("substr(text, 1, f - 1)")} AS opened FROM c), e AS (SELECT *, least({stops}) AS stop FROM d)
+    SELECT doc_id, {trim.format(f"regexp_replace(regexp_replace({body}, '^(?:{heads})\\s*', ''), '^[:：–—-]+', '')")} AS section FROM e"""
+
+
+@query("ig3_section", _section_sql())
 def ig3(spark, sf):
-    d = ig.extract_section(docs(spark, sf).select("doc_id", "text"), starts=["The ", "La ", "Der ", "El "], ends=["License", "@", ".\n"])
-    return d.select("doc_id", "section")
+    return ig.extract_section(docs(spark, sf).select("doc_id", "text"), starts=STARTS, ends=ENDS).select("doc_id", "section")
 
 
 @query("ig4_product_section")
