@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomshelf.llm import byte_bpe
 from loomshelf.llm.common import read
 from loomshelf.llm.exact_dedup import exact_dedup
+from loomshelf.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +19,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = byte_bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return ids.select("doc_id", "token_ids", byte_bpe.decode(F.col("token_ids")).alias("decoded")).select(
+        "doc_id",
+        F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_simhash": op6_simhash,
 }
 
 SQL: dict[str, str] = {
