@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the piece memo: entries, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 40
-MEMO_PAIRS = 2_000_000
+MEMO_PIECES, MEMO_CHARS = 250_000, 40
+MEMO_PAIRS = 500_000
 
 
 class ByteBpe:
@@ -37,6 +37,11 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"bytes without a token: {missing}")
+        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """The automaton and the tables of the encoder; a worker that only decodes never builds them."""
         self.length = {rank: len(token) for token, rank in self.ranks.items()}
         # the two tokens whose merge made each token; a byte is its own halves and older than any merge
         self.halves: dict[int, tuple[int, int]] = {}
@@ -50,7 +55,6 @@ class ByteBpe:
                 continue  # merges never lead to it; only a whole piece can be this token
             matcher.add_word(token.decode("latin-1"), rank)
         matcher.make_automaton()
-        self.matcher = matcher
         self.age = {rank: rank if len(self.tokens[rank]) > 1 else -1 for rank in self.halves}
         # the longest token that properly begins each token
         self.shorter: dict[int, int | None] = {}
@@ -58,7 +62,7 @@ class ByteBpe:
             begins = [r for end, r in matcher.iter(self.tokens[rank].decode("latin-1")) if end + 1 == self.length[r] and r != rank]
             self.shorter[rank] = begins[-1] if begins else None
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        return matcher
 
     def _merge(self, token: bytes, below: int) -> list[bytes]:
         """What merges of a rank under ``below`` make of the bytes."""
@@ -91,9 +95,10 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        matcher = self.matcher
         length, fits, shorter = self.length, self.fits, self.shorter
         longest = [0] * len(piece)
-        for end, rank in self.matcher.iter(piece.decode("latin-1")):
+        for end, rank in matcher.iter(piece.decode("latin-1")):
             longest[end + 1 - length[rank]] = rank
         n = len(piece)
         usable = bytearray(b"\x01") * (n + 1)
