@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshelf.llm import byte_bpe
+from loomshelf.llm import byte_bpe, toxicity
 from loomshelf.llm.common import read
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.simhash import simhash_components
@@ -34,10 +34,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.train(docs, labels.where(~fold))
+    scored = toxicity.score(docs.select("doc_id", "text", fold.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
 }
 
 SQL: dict[str, str] = {
