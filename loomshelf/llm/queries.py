@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshelf.llm import byte_bpe, secrets, toxicity, warc
+from loomshelf.llm import byte_bpe, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.simhash import simhash_components
@@ -60,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_tokens(token_files.write_tokens(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secrets": op2_secrets,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op9_token_files": op9_token_files,
 }
 
 SQL: dict[str, str] = {
