@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomshelf.llm import byte_bpe, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.exact_dedup import exact_dedup
+from loomshelf.llm.line_dedup import line_verdicts
 from loomshelf.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(read(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_verdicts(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secrets": op2_secrets,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -85,4 +91,20 @@ SELECT doc_id,
        text_sha256
 FROM h
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "op10_line_dedup": r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM t),
+     b AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+     c AS (SELECT doc_id, line_no, len(w) AS n, w, md5(array_to_string(w, ' ')) AS k, doc_id * 1000000000 + line_no AS o FROM b WHERE len(w) > 0),
+     f AS (SELECT k, min(o) AS o, any_value(n) AS n, any_value(w) AS w FROM c GROUP BY k),
+     p AS (SELECT o, n, w, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 5),
+     v AS (SELECT o, n, i, md5(array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) AS v FROM p),
+     s AS (SELECT o, min(o) OVER (PARTITION BY n, i, v) AS q FROM v),
+     d AS (SELECT v.o AS x, f.o AS y FROM v JOIN f ON f.k = v.v AND f.n = v.n - 1 AND f.n >= 5),
+     e AS (SELECT o, q FROM s UNION ALL SELECT x, y FROM d UNION ALL SELECT y, x FROM d),
+     m AS (SELECT o, min(q) AS q FROM e WHERE q < o GROUP BY o),
+     g AS (SELECT f.k, coalesce(m.q, f.o) AS q FROM f LEFT JOIN m ON f.o = m.o)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words, o = q AS kept, q // 1000000000 AS keep_doc_id,
+       CAST(q % 1000000000 AS INTEGER) AS keep_line_no
+FROM c JOIN g ON c.k = g.k""",
 }
