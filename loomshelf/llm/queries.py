@@ -11,6 +11,7 @@ from loomshelf.llm import byte_bpe, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.line_dedup import line_verdicts
+from loomshelf.llm.perplexity import judge
 from loomshelf.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op9_token_files": op9_token_files,
