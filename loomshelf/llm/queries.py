@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomshelf.llm import byte_bpe, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import read
+from loomshelf.llm.decontaminate import leaks
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.line_dedup import line_verdicts
 from loomshelf.llm.perplexity import judge
@@ -66,6 +67,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(read(spark, sf_dir, "documents")))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
