@@ -53,12 +53,15 @@ _DATE_COST = {4: log10(130), 8: log10(130 * 366), 10: log10(130 * 366 * 5)}
 MAX_WORD, MAX_BLOCK = 24, 16
 
 
-def _neighbours() -> set[tuple[str, str]]:
-    place = {c: (x + y * 0.5, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
-    return {(a, b) for a, (x, y) in place.items() for b, (u, v) in place.items() if a != b and abs(x - u) <= 1 and abs(y - v) <= 1}
+_PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 
 
-NEIGHBOURS = _neighbours()
+def _step(a: str, b: str) -> tuple[float, int] | None:
+    """The way from a key to a neighbouring one; None if they are no neighbours."""
+    if a == b or a not in _PLACE or b not in _PLACE:
+        return None
+    (x, y), (u, v) = _PLACE[a], _PLACE[b]
+    return (u - x, v - y) if abs(u - x) <= 1 and abs(v - y) <= 1 else None
 
 
 def _brute(c: str) -> float:
@@ -78,11 +81,11 @@ def guess_cost(value: str, words: Mapping[str, int]) -> float:
     for m in _DATE.finditer(value):
         starts[m.start()].append((m.end(), _DATE_COST[m.end() - m.start()]))
     i = 0
-    while i < n - 2:  # keyboard walks of three keys or more: a start, then a neighbour at each step or the same way on
-        j, turns = i + 1, 0
-        while j < n and (low[j - 1], low[j]) in NEIGHBOURS:
-            turns += j < 2 or j == i + 1 or ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
-            j += 1
+    while i < n - 2:  # keyboard walks of three keys or more: a start, and where the walk turns
+        j, turns, way = i + 1, 0, None
+        while j < n and (step := _step(low[j - 1], low[j])):
+            turns += step != way
+            j, way = j + 1, step
         if j - i >= 3:
             starts[i].append((j, log10(47) + turns * log10(4) + log10(j - i)))
         i = max(j - 1, i + 1)

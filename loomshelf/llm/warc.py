@@ -62,10 +62,13 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """A trained dictionary, or None where there is too little to learn from."""
     if len(samples) < 16:
         return None
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples)
-    except zstandard.ZstdError:
-        return None
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    while size >= 1024:  # records much alike fill only a smaller one
+        try:
+            return zstandard.train_dictionary(size, samples)
+        except zstandard.ZstdError:
+            size //= 4
+    return None
 
 
 class ArchiveWriter:
@@ -91,7 +94,7 @@ class ArchiveWriter:
 
     def _open(self) -> None:
         self.name = f"part-{uuid.uuid4().hex}.warc.zst"  # of its own for each attempt; only the manifest makes it count
-        self.out = self.files.open_output_stream(f"{self.folder}/{self.name}")
+        self.out = self.files.open_output_stream(f"{self.folder}/{self.name}", compression=None)  # the frames are ours
         self.count = self.raw = 0
         words = _dictionary(self.waiting)
         if words is not None:
@@ -222,7 +225,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for uri in part["archive"]:
                 files, path = fs.FileSystem.from_uri(uri)
                 rows, held = [], 0
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for headers, block in read_archive(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         revisit = headers["warc-type"] == "revisit"
