@@ -285,4 +285,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = leaks(docs, benchmark, id_col, text_col, **options)
     gone = found.select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct()
     own = docs.withColumn("_llm_own", F.xxhash64(whole_text(docs, text_col)))
-    return own.join(gone, own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left_anti").drop("_llm_own")
+    return own.join(gone.hint("shuffle_hash"), own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left_anti").drop("_llm_own")

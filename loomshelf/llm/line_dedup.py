@@ -159,7 +159,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     text = whole_text(docs, text_col)
     own = docs.withColumn("_llm_own", F.xxhash64(text))
-    joined = own.join(gone, own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left")
+    joined = own.join(gone.hint("merge"), own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left")
     lines = joined.withColumn("_llm_lines", F.when(F.col("_llm_gone").isNotNull(), F.split(joined[text_col].cast("string"), "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_llm_lines") - 1), "_llm_gone")
     rest = lines.withColumn("_llm_rest", F.when(F.col("_llm_gone").isNotNull(), F.array_join(F.transform(left, lambda i: F.col("_llm_lines")[i]), "\n")))

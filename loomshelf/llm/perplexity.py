@@ -188,7 +188,8 @@ def judge(
     text = whole_text(docs, text_col)
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_llm_id"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("text"))
-    model = train(rows.join(marks, rows.doc_id == marks._llm_id, "left_semi"))
+    # texts are shuffled at every size; the labels are never taken for small
+    model = train(rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks._llm_id, "left_semi"))
     if model is None:
         return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     scored = settle(rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), log_perplexity(F.col("text"), model).alias("log_perplexity")), "perplexity")
@@ -214,4 +215,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     verdicts = judge(docs, labels, id_col, text_col, lang_col, **options)
     gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct()
     own = docs.withColumn("_llm_own", F.xxhash64(whole_text(docs, text_col)))
-    return own.join(gone, own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left_anti").drop("_llm_own")
+    return own.join(gone.hint("shuffle_hash"), own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left_anti").drop("_llm_own")

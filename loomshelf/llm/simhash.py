@@ -152,5 +152,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     stay = simhash_components(docs, id_col, text_col, width, bits).select(F.col("component_id").alias("_llm_id")).distinct()
     own = docs.withColumn("_llm_text", F.xxhash64(whole_text(docs, text_col)))
-    kept = own.join(stay, own[id_col] == stay._llm_id, "left_semi").dropDuplicates([id_col, "_llm_text"])
+    kept = own.join(stay.hint("merge"), own[id_col] == stay._llm_id, "left_semi").dropDuplicates([id_col, "_llm_text"])
     return kept.unionByName(own.where(own[id_col].isNull())).drop("_llm_text")
