@@ -291,22 +291,22 @@ def long_labels(spark, sf):
 @query(
     "lb13_review_queue",
     with_views(
-        f"SELECT min(order_id) AS order_id, aspect FROM ll WHERE {DOUBT} GROUP BY substr(text, 1, 100), aspect", "doc_reviews", **LABELLED, ll=LONG_LABELS
+        f"SELECT DISTINCT order_id, aspect FROM ll WHERE {DOUBT}", "doc_reviews", **LABELLED, ll=LONG_LABELS
     ),
 )
 def lb13(spark, sf):
     return lb.review_queue(long_labels(spark, sf), ["order_id"]).select("order_id", "aspect")
 
 
-FIXES = f"""SELECT DISTINCT substr(text, 1, 100) AS head, aspect, CASE WHEN aspect = 'look' THEN 'REMOVE' ELSE 'neutral' END AS s FROM ll WHERE {DOUBT}"""
+FIXES = f"""SELECT DISTINCT order_id AS head, aspect, CASE WHEN aspect = 'look' THEN 'REMOVE' WHEN order_id % 5 > 0 THEN 'neutral' END AS s FROM ll WHERE {DOUBT}"""
 
 
 @query(
     "lb14_merge_reviewed",
     with_views(
-        """SELECT order_id, ll.aspect, CASE WHEN head IS NULL THEN sentiment ELSE s END AS sentiment, CASE WHEN head IS NULL THEN confidence ELSE 0.95 END::DOUBLE AS confidence,
-        CASE WHEN head IS NULL THEN model ELSE 'judge' END AS model FROM ll LEFT JOIN fixes ON substr(text, 1, 100) = head AND ll.aspect = fixes.aspect
-        WHERE head IS NULL OR s <> 'REMOVE'""",
+        """SELECT order_id, ll.aspect, CASE WHEN s IS NULL THEN sentiment ELSE s END AS sentiment, CASE WHEN s IS NULL THEN confidence ELSE 0.95 END::DOUBLE AS confidence,
+        CASE WHEN s IS NULL THEN model ELSE 'judge' END AS model FROM ll LEFT JOIN fixes ON order_id = head AND ll.aspect = fixes.aspect
+        WHERE s IS NULL OR s <> 'REMOVE'""",
         "doc_reviews",
         **LABELLED,
         ll=LONG_LABELS,
@@ -314,8 +314,9 @@ FIXES = f"""SELECT DISTINCT substr(text, 1, 100) AS head, aspect, CASE WHEN aspe
     ),
 )
 def lb14(spark, sf):
+    """Every fifth review comes back without a sentiment: its labels stay as they were."""
     labels = long_labels(spark, sf)
-    verdict = F.when(F.col("aspect") == "look", "REMOVE").otherwise("neutral")
+    verdict = F.when(F.col("aspect") == "look", "REMOVE").when(F.col("order_id") % 5 > 0, "neutral")
     reviewed = lb.review_queue(labels, ["order_id"]).withColumns(
         {"sentiment": verdict, "confidence": F.lit(0.95), "model": F.lit("judge")}
     )
@@ -349,14 +350,14 @@ def lb15(spark, sf):
 @query(
     "lb16_union_teams",
     with_views(
-        """SELECT order_id, rating, CAST(NULL AS VARCHAR) AS lang, 1 AS team FROM doc_reviews WHERE rating <= 2
+        """SELECT order_id, rating, CAST(NULL AS VARCHAR) AS lang, 1 AS team FROM doc_reviews WHERE rating <= 3
         UNION ALL SELECT order_id, rating, lang, 2 FROM doc_reviews WHERE rating >= 4""",
         "doc_reviews",
     ),
 )
 def lb16(spark, sf):
     d = v.doc_reviews(spark, sf)
-    return sm.union_teams({1: d.where("rating <= 2").select("order_id", "rating"), 2: d.where("rating >= 4").select("order_id", "rating", "lang")})
+    return sm.union_teams({1: d.where("rating <= 3").select("order_id", "rating"), 2: d.where("rating >= 4").select("order_id", "rating", "lang")})
 
 
 SPLIT = "CASE WHEN rn <= n - ceil(n * 30 / 100) THEN 'train' WHEN rn <= n - ceil(ceil(n * 30 / 100) * 15 / 30) THEN 'valid' ELSE 'test' END AS split"
@@ -708,14 +709,14 @@ def lb29b(spark, sf):
     "lb30_labelling_cost",
     with_views(
         """SELECT *, round((tokens_input * i + tokens_output * o) / 1000, 8) AS cost, round((tokens_input * i + tokens_output * o) / 1000 / n_labels, 8) AS mean_cost FROM (
-        SELECT CASE WHEN lang = 'en' THEN 'gpt-4o-mini' ELSE 'gpt-4o' END AS model, count(*) AS n_labels, CAST(sum(length(text)) AS BIGINT) AS tokens_input,
-        CAST(sum(order_id % 97) AS BIGINT) AS tokens_output FROM doc_reviews GROUP BY 1) JOIN (VALUES ('gpt-4o-mini', 0.00015::DOUBLE, 0.0006::DOUBLE), ('gpt-4o', 0.0025::DOUBLE, 0.01::DOUBLE)) p(model, i, o) USING (model)""",
+        SELECT CASE WHEN lang = 'en' THEN 'gpt-4o-mini' WHEN lang = 'es' THEN 'unpriced' ELSE 'gpt-4o' END AS model, count(*) AS n_labels, CAST(sum(length(text)) AS BIGINT) AS tokens_input,
+        CAST(sum(order_id % 97) AS BIGINT) AS tokens_output FROM doc_reviews GROUP BY 1) LEFT JOIN (VALUES ('gpt-4o-mini', 0.00015::DOUBLE, 0.0006::DOUBLE), ('gpt-4o', 0.0025::DOUBLE, 0.01::DOUBLE)) p(model, i, o) USING (model)""",
         "doc_reviews",
     ).replace("SELECT *, round(", "SELECT model, n_labels, tokens_input, tokens_output, round("),
 )
 def lb30(spark, sf):
     d = v.doc_reviews(spark, sf).select(
-        F.when(F.col("lang") == "en", "gpt-4o-mini").otherwise("gpt-4o").alias("model"),
+        F.when(F.col("lang") == "en", "gpt-4o-mini").when(F.col("lang") == "es", "unpriced").otherwise("gpt-4o").alias("model"),
         F.length("text").cast("long").alias("tokens_input"),
         (F.col("order_id") % 97).alias("tokens_output"),
     )

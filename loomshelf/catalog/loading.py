@@ -171,15 +171,15 @@ def io9(spark, sf):
 
 @query(
     "io10_bullet_lines",
-    r"""WITH l AS (SELECT source AS file, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+    r"""WITH l AS (SELECT source || '/' || doc_id AS file, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
     SELECT file, doc_id AS product_id, CAST(pos AS BIGINT) AS row, trim(line) AS ingredient FROM l WHERE trim(line) <> ''""",
 )
 def io10(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", "source", "text")
     bullets = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("• "), x))
     lines = d.select(
-        F.col("source").alias("file"),
-        F.col("doc_id").alias("block"),
+        F.concat_ws("/", "source", "doc_id").alias("file"),
+        F.lit(0).alias("block"),
         F.posexplode(F.concat(F.array(F.col("doc_id").cast("string")), bullets)).alias("row", "value"),
     )
     found = files.parse_bullets(lines.withColumn("row", F.col("row").cast("long")))
@@ -440,14 +440,13 @@ def analysis(spark, sf):
 @query(
     "dim10_unanalysed",
     with_views(
-        """SELECT r.order_id, r.product_code FROM doc_reviews r LEFT JOIN a USING (order_id) WHERE sentiment IS NULL AND length(text) >= 100
-        ORDER BY r.order_id LIMIT 500""",
+        """SELECT r.order_id, r.product_code FROM doc_reviews r LEFT JOIN a USING (order_id) WHERE sentiment IS NULL AND length(text) >= 100""",
         "doc_reviews",
         a=ANALYSIS,
     ),
 )
 def dim10(spark, sf):
-    return dim.unanalysed(v.doc_reviews(spark, sf), analysis(spark, sf), 100, limit=500).select("order_id", "product_code")
+    return dim.unanalysed(v.doc_reviews(spark, sf), analysis(spark, sf), 100).select("order_id", "product_code")
 
 
 @query(

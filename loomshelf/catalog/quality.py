@@ -15,7 +15,7 @@ from loomshelf.sources.views import with_views
     with_views("SELECT min(order_id) AS order_id, text FROM doc_reviews GROUP BY text", "doc_reviews"),
 )
 def dq1(spark, sf):
-    return dq.dedup(v.doc_reviews(spark, sf).select("order_id", "text"), ["text"], ["order_id"])
+    return dq.dedup_by_text(v.doc_reviews(spark, sf).select("order_id", "text"), "text", "order_id")
 
 
 @query(
@@ -74,15 +74,17 @@ def dq3(spark, sf):
 @query(
     "dq4_silent_products",
     with_views(
-        """SELECT product_code, name, brand FROM products WHERE product_code NOT IN
-        (SELECT product_code FROM reviews WHERE rating <= 1)""",
+        """SELECT product_code, name, brand FROM (SELECT product_code, name, brand FROM products
+        UNION ALL SELECT -product_code, name || ' (new)', brand FROM products WHERE price > 2000) WHERE product_code NOT IN (SELECT product_code FROM reviews)""",
         "products",
         "reviews",
     ),
 )
 def dq4(spark, sf):
-    critical = v.reviews(spark, sf).where("rating <= 1")
-    return dq.silent_products(v.products(spark, sf).select("product_code", "name", "brand"), critical)
+    """Dearer products have a new edition that nobody reviewed yet."""
+    sold = v.products(spark, sf).select("product_code", "name", "brand", "price")
+    new = sold.where("price > 2000").withColumns({"product_code": -F.col("product_code"), "name": F.concat("name", F.lit(" (new)"))})
+    return dq.silent_products(sold.unionByName(new).drop("price"), v.reviews(spark, sf))
 
 
 @query(

@@ -17,18 +17,21 @@ def draw_hash(key: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")))
 
 
-def hash_block(h: str | Column) -> Column:
-    """First three hex digits: 4,096 even blocks that rise with the hash."""
-    return F.substring(col(h), 1, 3)
+def hash_block(h: str | Column, digits: int = 3) -> Column:
+    """The first hex digits: 16^digits even blocks that rise with the hash.
+
+    A block of one group is ranked in one task, so take digits enough that rows / 16^digits fit one.
+    """
+    return F.substring(col(h), 1, digits)
 
 
-def take_per_group(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: str, seed: int | str, quota: str = "quota") -> DataFrame:
+def take_per_group(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: str, seed: int | str, quota: str = "quota", digits: int = 3) -> DataFrame:
     """The first ``quota`` rows of each group in draw order, without replacement.
 
     Blocks are counted first; blocks that lie wholly beyond the quota are never shuffled or sorted, and
     a group of any size is ranked block by block.
     """
-    hashed = df.withColumn("_h", draw_hash(key, seed)).withColumn("_blk", hash_block("_h"))
+    hashed = df.withColumn("_h", draw_hash(key, seed)).withColumn("_blk", hash_block("_h", digits))
     sizes = hashed.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")
@@ -44,7 +47,7 @@ def take_per_group(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: s
     )
 
 
-def draw_rank(df: DataFrame, key: str, seed: int | str, keys: Sequence[str] = (), name: str = "draw_rank") -> DataFrame:
-    """Rank of every row in draw order, per group if asked."""
+def draw_rank(df: DataFrame, key: str, seed: int | str, keys: Sequence[str] = (), name: str = "draw_rank", digits: int = 5) -> DataFrame:
+    """Rank of every row in draw order, per group if asked. Blocks are offset in two levels."""
     hashed = df.withColumn("_h", draw_hash(key, seed))
-    return bucketed_row_number(hashed, ["_h", key], [hash_block("_h")], keys, name).drop("_h")
+    return bucketed_row_number(hashed, ["_h", key], [hash_block("_h", 2), hash_block("_h", digits)], keys, name).drop("_h")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshelf.functions.columns import any_of, col
-from loomshelf.functions.ranking import keep_first
+from loomshelf.functions.ranking import keep_first, null_safe_join
 
 # Labels, keyword lists, limits, texts and prices of the labelling jobs, in given order.
 SENTIMENTS = ["negative", "neutral", "positive"]
@@ -288,34 +288,45 @@ def needs_review(confidence: str = "confidence", rating: str = "rating", sentime
     return (F.col(confidence) < MIN_CONFIDENCE) | ((r >= 4) & (s == "negative")) | ((r <= 2) & (s == "positive"))
 
 
-def review_queue(labels: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Doubtful labels, one per (first 100 characters, aspect)."""
-    doubtful = labels.where(needs_review()).withColumn("text_head", F.substring("text", 1, 100))
-    return keep_first(doubtful, ["text_head", "aspect"], order_by)
+LABEL_KEYS = ("order_id", "aspect")
 
 
-def merge_reviewed(labels: DataFrame, reviewed: DataFrame, remove: str = "REMOVE") -> DataFrame:
-    """Put re-reviewed sentiment, confidence and model in place; a removed label loses its row."""
-    fixes = reviewed.select(
-        F.substring("text", 1, 100).alias("_head"),
-        F.col("aspect").alias("_aspect"),
+def by_text_head(labels: DataFrame) -> DataFrame:
+    """Name a label by the first 100 characters of its review, for queues whose reviews lost their id.
+
+    Reviews with the same opening are then one: pass ``keys=("text_head", "aspect")`` only where that is meant.
+    """
+    return labels.withColumn("text_head", F.substring("text", 1, 100))
+
+
+def review_queue(labels: DataFrame, order_by: Sequence[str], keys: Sequence[str] = LABEL_KEYS) -> DataFrame:
+    """Doubtful labels, one per review and aspect."""
+    return keep_first(labels.where(needs_review()), list(keys), order_by)
+
+
+def merge_reviewed(labels: DataFrame, reviewed: DataFrame, keys: Sequence[str] = LABEL_KEYS, remove: str = "REMOVE") -> DataFrame:
+    """Put re-reviewed sentiment, confidence and model in place; a removed label loses its row.
+
+    A review without a sentiment has decided nothing: the label stays as it was.
+    """
+    fixes = reviewed.where(F.col("sentiment").isNotNull()).select(
+        *keys,
         F.col("sentiment").alias("_sentiment"),
         F.col("confidence").alias("_confidence"),
         F.col("model").alias("_model"),
     )
-    on = (F.substring(labels["text"], 1, 100) == F.col("_head")) & (labels["aspect"] == F.col("_aspect"))
-    hit = F.col("_head").isNotNull()
+    hit = F.col("_sentiment").isNotNull()
     return (
-        labels.join(fixes, on, "left")
+        null_safe_join(labels, fixes, list(keys), "left")
         .where(~hit | (F.col("_sentiment") != remove))
         .withColumns(
             {
-                "sentiment": F.when(hit, F.col("_sentiment")).otherwise(F.col("sentiment")),
+                "sentiment": F.coalesce("_sentiment", "sentiment"),
                 "confidence": F.when(hit, F.col("_confidence")).otherwise(F.col("confidence")),
                 "model": F.when(hit, F.col("_model")).otherwise(F.col("model")),
             }
         )
-        .drop("_head", "_aspect", "_sentiment", "_confidence", "_model")
+        .drop("_sentiment", "_confidence", "_model")
     )
 
 
@@ -413,7 +424,7 @@ def reuse_labels(reviews: DataFrame, cache: DataFrame, *parts: str | Column) ->
 
 
 def labelling_cost(labels: DataFrame, prices: Mapping[str, tuple[float, float]] = PRICES) -> DataFrame:
-    """Tokens and cost per model tier, with the mean cost per label."""
+    """Tokens and cost per model tier, with the mean cost per label. A model without a price has NULL costs."""
     rows = [(m, i, o) for m, (i, o) in prices.items()]
     table = labels.sparkSession.createDataFrame(rows, "model string, _in double, _out double")
     sums = labels.groupBy("model").agg(
@@ -421,7 +432,7 @@ def labelling_cost(labels: DataFrame, prices: Mapping[str, tuple[float, float]]
     )
     cost = (F.col("tokens_input") * F.col("_in") + F.col("tokens_output") * F.col("_out")) / 1000
     return (
-        sums.join(F.broadcast(table), "model")
+        sums.join(F.broadcast(table), "model", "left")
         .withColumn("cost", cost)
         .withColumn("mean_cost", F.col("cost") / F.col("n_labels"))
         .drop("_in", "_out")

@@ -33,6 +33,21 @@ def dedup(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFr
     return keep_first(df, keys, order_by)
 
 
+def text_digest(text: str = "text") -> Column:
+    """128 bits of a text in two numbers: fixed width, so copies collapse in hash aggregates."""
+    digest = F.md5(text)
+    return F.struct(*[F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint").alias(n) for at, n in ((1, "hi"), (17, "lo"))])
+
+
+def dedup_by_text(df: DataFrame, text: str, key: str) -> DataFrame:
+    """The row with the smallest ``key`` of each text; ``key`` is a number, unique among the rows.
+
+    Only digests and keys are grouped; the texts of the rows that stay come by a join on the key.
+    """
+    first = df.select(text_digest(text).alias("_d"), F.col(key).alias("_k")).groupBy("_d.hi", "_d.lo").agg(F.min("_k").alias("_k"))
+    return df.join(first.select("_k"), df[key] == F.col("_k"), "left_semi")
+
+
 def reconcile_keys(left: DataFrame, right: DataFrame, category: str, key: str) -> DataFrame:
     """For every key, whether both sides or only one of them knows it."""
     a = left.select(category, key).distinct().withColumn("_l", F.lit(True))
@@ -124,27 +139,40 @@ def extreme_groups(
     return sizes.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
-def copied_texts(reviews: DataFrame, min_products: int = 2, min_rows: int = 2) -> DataFrame:
-    """Texts pasted under several products. Copies collapse before the shuffle."""
-    return (
-        reviews.where(F.col("text").isNotNull())
-        .groupBy("text")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_distinct("product_code").alias("n_products"),
-            F.count_distinct("user_id").alias("n_users"),
-            # a rating has a handful of values, so the set is bounded
-            F.array_join(F.array_sort(F.collect_set(F.col("rating").cast("int").cast("string"))), ",").alias("ratings"),
-        )
-        .where((F.col("n_products") >= min_products) & (F.col("n_rows") >= min_rows))
+def copied_texts(reviews: DataFrame, min_products: int = 2, min_rows: int = 2, key: str = "order_id") -> DataFrame:
+    """Texts pasted under several products.
+
+    Rows are reduced to digests and counted per (digest, product, user, rating) before anything else; each
+    distinct count groups the next smaller table. The text itself is fetched by the smallest ``key`` of the
+    digests that survive.
+    """
+    d = ["hi", "lo"]
+    rows = reviews.where(F.col("text").isNotNull()).select(text_digest().alias("_d"), "product_code", "user_id", F.col("rating").cast("int").alias("rating"), F.col(key).alias("_k"))
+    cells = rows.groupBy("_d.hi", "_d.lo", "product_code", "user_id", "rating").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_k"))
+
+    def distinct(column: str, name: str) -> DataFrame:
+        # a NULL is no value
+        pairs = cells.where(F.col(column).isNotNull()).select(*d, column).distinct()
+        return pairs.groupBy(*d).agg(F.count(F.lit(1)).alias(name))
+
+    # a rating has a handful of values, so the set is bounded
+    ratings = F.array_join(F.array_sort(F.collect_set(F.col("rating").cast("string"))), ",").alias("ratings")
+    totals = cells.groupBy(*d).agg(F.sum("_n").alias("n_rows"), F.min("_k").alias("_k")).where(F.col("n_rows") >= min_rows)
+    found = (
+        totals.join(distinct("product_code", "n_products").where(F.col("n_products") >= min_products), d)
+        .join(distinct("user_id", "n_users"), d, "left")
+        .join(cells.groupBy(*d).agg(ratings), d)
+        .withColumn("n_users", F.coalesce("n_users", F.lit(0).cast("long")))
     )
+    return reviews.select(F.col(key).alias("_k"), "text").join(found.drop(*d), "_k").drop("_k")
 
 
 def without_copied_texts(reviews: DataFrame, min_products: int = 3) -> DataFrame:
-    """Reviews whose text does not occur under ``min_products`` or more products."""
-    pairs = reviews.where(F.col("text").isNotNull()).select("text", "product_code").distinct()
-    copied = pairs.groupBy("text").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") >= min_products)
-    return reviews.join(copied.select("text"), "text", "left_anti")
+    """Reviews whose text does not occur under ``min_products`` or more products; joined on digests."""
+    tagged = reviews.withColumn("_d", text_digest())
+    pairs = tagged.where(F.col("text").isNotNull()).select("_d.hi", "_d.lo", "product_code").distinct()
+    copied = pairs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") >= min_products)
+    return tagged.join(copied, (F.col("_d.hi") == copied.hi) & (F.col("_d.lo") == copied.lo), "left_anti").drop("_d")
 
 
 def matches_keywords(columns: Sequence[str], keywords: Sequence[str]) -> Column:

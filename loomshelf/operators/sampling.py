@@ -208,17 +208,21 @@ def _split_of(rank: Column, n: Column, train: int, valid: int) -> Column:
 
 
 def split_by_group(
-    df: DataFrame, group: str, key: str, train: int = TRAIN_PERCENT, valid: int = VALID_PERCENT, seed: int = SEED, min_groups: int = 10
+    df: DataFrame, group: str, key: str, train: int = TRAIN_PERCENT, valid: int = VALID_PERCENT, seed: int = SEED, by: str = "group", min_groups: int = 10
 ) -> DataFrame:
-    """Train/valid/test so that no group is in two parts; row by row when there are too few groups.
+    """Train/valid/test so that no group is in two parts.
 
-    Only the distinct groups are ranked; rows get their part by a join.
+    ``by="row"`` splits row by row instead; ``by="auto"`` does so when there are ``min_groups`` groups or
+    fewer. Only the distinct units are ranked; rows get their part by a join.
     """
-    few = df.select(group).distinct().agg((F.count(F.lit(1)) <= min_groups).alias("_few"))
-    unit = F.when(F.col("_few"), F.concat(F.lit("row-"), F.col(key).cast("string"))).otherwise(
-        F.concat(F.lit("group-"), F.col(group).cast("string"))
-    )
-    tagged = with_row(df, few).withColumn("_unit", unit).drop("_few")
+    if by not in ("group", "row", "auto"):
+        raise ValueError(f"by is group, row or auto, not {by}")
+    of_row, of_group = F.concat(F.lit("row-"), F.col(key).cast("string")), F.concat(F.lit("group-"), F.col(group).cast("string"))
+    if by == "auto":
+        few = df.select(group).distinct().agg((F.count(F.lit(1)) <= min_groups).alias("_few"))
+        tagged = with_row(df, few).withColumn("_unit", F.when(F.col("_few"), of_row).otherwise(of_group)).drop("_few")
+    else:
+        tagged = df.withColumn("_unit", of_row if by == "row" else of_group)
     units = tagged.select("_unit").distinct()
     ranked = with_row(draw_rank(units, "_unit", seed), units.agg(F.count(F.lit(1)).alias("_n")))
     parts = ranked.select("_unit", _split_of(F.col("draw_rank"), F.col("_n"), train, valid).alias("split"))

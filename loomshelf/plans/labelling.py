@@ -37,9 +37,10 @@ def label_and_review(
         F.lit("rules").alias("model"),
     )
     labels = settle(rows, "labels")
+    keys = (key, "aspect")
     if judge is None:
         return labels
-    return lb.merge_reviewed(labels, judge(lb.review_queue(labels, [key])))
+    return lb.merge_reviewed(labels, judge(lb.review_queue(labels, [key], keys)), keys)
 
 
 def gold_splits(labels: DataFrame, key: str, per_cell: int = 3, size: int = 100) -> DataFrame:

@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a folder shared by all executors")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="loomshelf-"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="loomshelf-")
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from loomshelf.functions.ranking import keep_first
 from loomshelf.operators.dimensions import analysis_rows, key_reviews, new_members
 from loomshelf.operators.labels import Labeller, explode_labels, label_reviews
 
@@ -21,7 +22,8 @@ REVIEW_KEY = ["product_code", "user_masked", "date", "text"]
 TABLES = {
     "users": "user_id bigint, user_masked string, batch_id bigint",
     "reviews": "order_id bigint, product_code bigint, user_id bigint, write_date date, rating double, text string, "
-    "image_count int, is_reorder boolean, batch_id bigint",
+    "image_count int, is_reorder boolean, batch_id bigint, write_month string",
+    "review_ids": "order_id bigint, batch_id bigint",
 }
 
 
@@ -38,13 +40,19 @@ def _earlier(spark: SparkSession, path: str, schema: str, batch: int) -> DataFra
     return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch).drop("batch_id")
 
 
-def _put(df: DataFrame, path: str, batch: int) -> DataFrame:
+def _put(df: DataFrame, path: str, batch: int, *by: str) -> DataFrame:
     """Write a batch's partition and read it back."""
     target = f"{path}/batch_id={batch}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").partitionBy(*by).parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def _drop(spark: SparkSession, path: str, batch: int) -> None:
+    """Delete the staged copy of a batch that is loaded."""
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch}")
+    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+
+
 def stream_reviews(
     reviews: DataFrame,
     tables: str,
@@ -56,7 +64,9 @@ def stream_reviews(
     """Dedup, key and append crawled reviews.
 
     Copies inside a batch collapse to the first in ``order_by``; copies of loaded reviews are found by a
-    join with the loaded rows of the batch's dates, however late they come. ``lateness`` adds a stateful
+    join with the loaded rows of the batch's dates, however late they come. Reviews are kept in folders by
+    month, so that join reads the months of the batch only, and the largest id per batch in a table of its
+    own, so numbering reads one row a batch. ``lateness`` adds a stateful
     filter in front that drops copies within a watermark sooner; which copy survives it is not defined.
     """
     unique = reviews
@@ -71,9 +81,13 @@ def stream_reviews(
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         staged = _put(batch, f"{tables}/_staging", number)
-        old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in ("users", "reviews")}
+        old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in TABLES}
         first, last = staged.agg(F.min("date"), F.max("date")).first()
-        same_days = old["reviews"].where(F.col("write_date").between(F.lit(first), F.lit(last)))
+        if first is None:  # nothing with a date: nothing to compare with
+            months = F.lit(False)
+        else:
+            months = F.col("write_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}") & F.col("write_date").between(F.lit(first), F.lit(last))
+        same_days = old["reviews"].where(months)
         loaded = same_days.join(old["users"], "user_id").select(
             "product_code", "user_masked", F.col("write_date").alias("date"), "text"
         )
@@ -81,8 +95,12 @@ def stream_reviews(
         # each table is written before the next is derived from it, so nothing is computed twice
         added = new_members(old["users"], fresh, "user_masked", "user_masked", "user_id", order_by, buckets)
         users = old["users"].unionByName(_put(added, f"{tables}/users", number))
-        keyed = key_reviews(fresh, users, old["reviews"].agg(F.max("order_id")), order_by, buckets)
-        _put(analysis_rows(_put(keyed, f"{tables}/reviews", number)), f"{tables}/review_analysis", number)
+        keyed = key_reviews(fresh, users, old["review_ids"].agg(F.max("order_id")), order_by, buckets)
+        monthly = keyed.withColumn("write_month", F.date_format("write_date", "yyyy-MM"))
+        written = _put(monthly, f"{tables}/reviews", number, "write_month").drop("write_month")
+        _put(written.agg(F.max("order_id").alias("order_id")), f"{tables}/review_ids", number)
+        _put(analysis_rows(written), f"{tables}/review_analysis", number)
+        _drop(spark, f"{tables}/_staging", number)
 
     return unique.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
 
@@ -94,12 +112,14 @@ LABELS = (
 
 
 def stream_labels(reviews: DataFrame, labels: str, checkpoint: str, labeller: Labeller | None = None) -> DataStreamWriter:
-    """Label reviews that have no label yet; one row per review and aspect."""
+    """Label reviews that have no label yet, each once even if its batch holds it twice; one row per review and aspect."""
     columns = [c.split()[0] for c in LABELS.split(", ") if not c.startswith("batch_id")]
 
     def load(batch: DataFrame, number: int) -> None:
+        staged = _put(batch, f"{labels}_staging", number)
         done = _earlier(batch.sparkSession, labels, LABELS, number).select("order_id").distinct()
-        todo = batch.join(done, "order_id", "left_anti")
+        todo = keep_first(staged, ["order_id"], [c for c in staged.columns if c != "order_id"]).join(done, "order_id", "left_anti")
         _put(explode_labels(label_reviews(todo, labeller)).select(*columns), labels, number)
+        _drop(batch.sparkSession, f"{labels}_staging", number)
 
     return reviews.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

@@ -96,7 +96,7 @@ def test_splits_keep_groups_together(spark):
     assert out.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     sizes = {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()}
     assert sizes == {"train": 28, "valid": 6, "test": 6}
-    few = sm.split_by_group(df.withColumn("g", F.col("id") % 5), "g", "id")
+    few = sm.split_by_group(df.withColumn("g", F.col("id") % 5), "g", "id", by="auto")
     assert {r["split"]: r["count"] for r in few.groupBy("split").count().collect()} == {"train": 700, "valid": 150, "test": 150}
 
 
