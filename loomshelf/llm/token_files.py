@@ -14,11 +14,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ END = 2
 LENGTH, BATCH_ROWS = 2048, 64
 #: Characters that the tokenizer takes at once: it holds much more than the ids meanwhile.
 CHARS_AT_ONCE = 500_000
+#: Bounds of the piece memo: entries, and the longest piece that is kept.
+MEMO_PIECES, MEMO_CHARS = 250_000, 40
 # ids travel as text: a NULL would turn a pandas column of longs into floats
 _INDEX = "shard int, path string, doc_id string, at bigint, n_tokens bigint"
 _READ = "doc_id string, shard int, at bigint, n_tokens bigint, ids_crc32 bigint"
@@ -141,18 +145,38 @@ def tokenizer(path: str):
     return t
 
 
-def _encoded(texts: list[str], path: str) -> Iterator[list[int]]:
-    t, start, held = tokenizer(path), 0, 0
+@lru_cache(maxsize=2)
+def _memo(path: str, dtype: str) -> dict[str, bytes]:
+    """Ids of the pieces this worker has met."""
+    return {}
+
+
+def _encoded(texts: list[str], path: str, dtype: np.dtype, pattern: str) -> Iterator[np.ndarray]:
+    """Ids of each text. The vocabulary's pre-tokenizer cuts a text into the matches of the pattern and
+    merges never cross them, so the tokenizer is asked once for each piece."""
+    t, memo, split = tokenizer(path), _memo(path, dtype.str), regex.compile(pattern).findall
+    start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
-        if held >= CHARS_AT_ONCE or i + 1 == len(texts):
-            for e in t.encode_batch(texts[start : i + 1], add_special_tokens=False):
-                yield e.ids
-            start, held = i + 1, 0
+        if held < CHARS_AT_ONCE and i + 1 < len(texts):
+            continue
+        pieces = [split(x) for x in texts[start : i + 1]]
+        new = list(set(chain.from_iterable(pieces)).difference(memo))
+        if len(memo) + len(new) > MEMO_PIECES:
+            memo.clear()
+            new = list(set(chain.from_iterable(pieces)))
+        for piece, e in zip(new, t.encode_batch(new, add_special_tokens=False)):
+            memo[piece] = np.array(e.ids, dtype).tobytes()
+        for own in pieces:
+            yield np.frombuffer(b"".join([memo[x] for x in own]), dtype)
+        for piece in new:
+            if len(piece) > MEMO_CHARS:
+                del memo[piece]
+        start, held = i + 1, 0
 
 
 def write_tokens(
-    docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, path: str | None = None, layout: Layout = Layout()
+    docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, path: str | None = None, pattern: str | None = None, layout: Layout = Layout()
 ) -> DataFrame:
     """Encode the documents, end each with the id ``end``, and write shards in ascending id order; the index.
 
@@ -166,16 +190,18 @@ def write_tokens(
     """
     spark = docs.sparkSession
     folder, path = folder or new_path(spark, "tokens"), path or public_tokenizers.path(VOCABULARY)
+    pattern = pattern or public_tokenizers.PATTERN
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(docs, text_col).alias("text"))
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = np.array([end], layout.dtype)
         writer, shard = None, TaskContext.get().partitionId()
         for part in parts:
             writer = writer or ShardWriter(folder, layout)
             found = []
-            for ids in _encoded(part["text"].tolist(), path):
-                array = np.array([*ids, end], layout.dtype)
-                found.append((writer.add(array), len(array)))
+            for ids in _encoded(part["text"].tolist(), path, layout.dtype, pattern):
+                found.append((writer.add(ids), len(ids) + 1))
+                writer.add(last)
             out = pd.DataFrame(found, columns=["at", "n_tokens"])
             yield out.assign(shard=shard, path=writer.uri, doc_id=part["doc_id"].to_numpy())[["shard", "path", "doc_id", "at", "n_tokens"]]
         if writer:
