@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomshelf.catalog.registry import query, rounded
+from loomshelf.functions.lexicon import PATTERNS
 from loomshelf.operators import text as tx
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
@@ -191,11 +194,37 @@ def tx10(spark, sf):
     return v.doc_reviews(spark, sf).select("order_id", *[c.alias(f"c{i}") for i, c in enumerate(counts.values())])
 
 
-@query("tx10_pattern_counts_korean")
+# Korean reviews by rule: the sentence of a review is picked by its id, and names its product group and stars
+KOREAN = [
+    "배송 빠르고 가격도 저렴해요", "안 좋아요 트러블 났어요", "정말 좋아요 재구매할게요", "품절이라 재고가 없네요", "올리브영 제품과 비슷하고 듀프 느낌",
+    "불편하지 않아요 촉촉해요", "발색 별로 아쉬워요", "설화수 대신 써요 가성비템", "민감성 피부에 순해요", "에스티 로더보다 낫다",
+    "별로인데 좋아요", "무겁지 않고 산뜻해요", "예쁘고 고급스러워요", "안 예쁘다 촌스러워요", "건조해서 불편", "브랜드 명품 느낌", "구하기 힘들어요 웨이팅",
+]
+
+
+def korean_counts() -> str:
+    """What each sentence counts, by the regular expressions of Python."""
+    rows = [(i, *[sum(len(list(re.finditer(p, t))) for p in rules) for rules in PATTERNS.values()]) for i, t in enumerate(KOREAN)]
+    return ", ".join(str(r) for r in rows)
+
+
+@query(
+    "tx10_pattern_counts_korean",
+    with_views(
+        "SELECT order_id, "
+        + ", ".join(f'CAST(c{i} AS INTEGER) AS "{n}"' for i, n in enumerate(PATTERNS))
+        + f" FROM doc_reviews JOIN (VALUES {korean_counts()}) k(i, "
+        + ", ".join(f"c{i}" for i in range(len(PATTERNS)))
+        + f") ON i = (order_id * 7 + length(text)) % {len(KOREAN)}",
+        "doc_reviews",
+    ),
+)
 def tx10k(spark, sf):
-    """The shipped Korean patterns, look-around included; they match little in this corpus."""
+    """The shipped Korean patterns, look-around included, over Korean sentences."""
     counts = tx.pattern_counts()
-    return v.doc_reviews(spark, sf).select("order_id", *[c.alias(n) for n, c in counts.items()])
+    pick = ((F.col("order_id") * 7 + F.length("text")) % len(KOREAN) + 1).cast("int")
+    korean = v.doc_reviews(spark, sf).withColumn("text", F.element_at(F.array(*[F.lit(t) for t in KOREAN]), pick))
+    return korean.select("order_id", *[c.alias(n) for n, c in counts.items()])
 
 
 @query(

@@ -40,6 +40,14 @@ PATTERNS = {
         "가성비", "싸[다고게요]", "저렴[하한]?", "가격", "저가", "착[하한]", "가격대", "합리", "경제", "부담[없안적]",
         "비싸[다고]?", "천원", "가격대비", r"\d+원", "행사", "할인",
     ],
+    "품질[긍정]": [
+        r"품질\s?[이가]?\s?(?:좋|괜찮|최고|우수)", r"효과\s?[가]?\s?(?:좋|괜찮|최고|있[다어요네])", r"(?<!안\s)(?<!안\s)좋[다아고은아요네해]",
+        "(?<!불)만족[스럽하해해요]", "훌륭[하한해해요]", r"퀄리티\s?[가]?\s?(?:좋|최고|우수)", "우수[하한해해요]", "괜찮[다아고게네요아]", "최고",
+        "완벽[하한해해요]", "추천[해하해요]", "대박", "신기[하한해해요]", "놀랍[다고게게요]", r"기대\s?이상|기대보다\s?좋", r"성능\s?[이가]?\s?(?:좋|괜찮|최고)",
+        "쓸만[하한해해요]", r"생각보다\s?좋", "가심비", r"다이소\s?최고|다이소만", "인생템", "정착[했해해요]", "재구매[할해해요]",
+        r"광채\s?[가]?\s?좋|광채\s?나[요네]", r"탄력\s?[이]?\s?좋|탄력\s?있[다어요네]", r"보습[력]?\s?(?:좋|최고)",
+        r"진정[효과]?\s?좋|진정\s?[이]?\s?[되돼되요]",
+    ],
     "품질[부정]": [
         "트러블", "자극", "여드름", "뒤집", "알[레러]지", "알레르기", r"별로(?!\s?(?:안|인데\s?(?:좋|괜찮)))",
         "따[갑끔]", "쓰리[다고]", r"안\s?맞|맞지\s?않", "부작용", r"피부[에]?\s?안\s?좋|피부\s?트러블",
@@ -47,6 +55,42 @@ PATTERNS = {
         r"돈[이]?\s?아깝", r"재구매[는]?\s?안|재구매\s?없", "최악", "실망",
         r"무겁[다고](?!\s?지\s?않)", r"무거워(?!\s?하지\s?않)", "아쉬[워움]",
     ],
+    "심미[긍정]": [
+        r"디자인[이]?\s?(?:좋|예쁘|멋지|깔끔|세련)", r"패키지[가]?\s?(?:좋|예쁘|깔끔|고급)", r"용기[가]?\s?(?:예쁘|좋)", r"(?<!안\s)예쁘[다고게네요해]",
+        r"(?<!안\s)예뻐[요서며]", r"(?<!안\s)이쁘[다고게네요해]", r"(?<!안\s)이뻐[요서며]", r"발색[이]?\s?(?:좋|예쁘|최고)",
+        r"색감[이]?\s?(?:좋|예쁘)", r"색상[이]?\s?(?:예쁘|좋)|색\s?예쁘", r"색깔[이]?\s?(?:예쁘|좋)", r"외관[이]?\s?(?:좋|예쁘|깔끔)",
+        r"모양[이]?\s?(?:예쁘|좋)", r"케이스[가]?\s?(?:예쁘|좋)", r"포장[이]?\s?(?:좋|예쁘|깔끔)", "귀엽[다고게네요해]|귀여워[요서]",
+        "세련[되된됐돼]|세련미", "깔끔[하한해해요]", "심플[하한해해요]", r"고급[스럽져스러워]|고급미|고급\s?느낌", "럭셔리", "멋지[다고게네요해]|멋져[요서]",
+        "영롱[하한해해요]", r"무드[가]?\s?좋", "감성[적]", r"취향\s?저격",
+    ],
+    "심미[부정]": [
+        r"디자인[이]?\s?별로|디자인\s?안\s?좋", r"패키지[가]?\s?별로|패키지\s?안\s?좋", r"안\s?예쁘", r"안\s?이쁘", r"못\s?생겼", "촌스러워요",
+        r"색상[이]\s?별로|색[이]\s?별로", r"색깔[이]\s?별로", r"저렴해\s?보[여이]|저렴하게\s?보[여이]", r"싸구려\s?같", r"품질\s?떨어져\s?보[여이]",
+        "조악", r"택배\s?상자.*허술|포장.*허술", r"포장[이]?\s?별로", r"용기[가]?\s?별로", r"케이스[가]?\s?별로", r"발색[이]?\s?안\s?좋|발색\s?별로",
+        "아쉬[워움]", r"외관[이]?\s?별로", r"보기\s?안\s?좋", "피부.*지저분|얼굴.*지저분",
+    ],
+    "편의[긍정]": [
+        r"편[하한해해요](?!\s?지\s?않)", r"간편[하한해해요](?!\s?지\s?않)", r"사용감\s?[이가]?\s?(?:좋|괜찮)",
+        r"흡수\s?[가]?\s?(?:좋|빠르)|잘\s?흡수|흡수력\s?(?:좋|괜찮)", r"발림성?\s?[이가]?\s?(?:좋|부드럽)|잘\s?발[라려]",
+        "쉽[다고게요네](?!.*(?:안|않|없|못))", "빠르[다고게요네]", "(?<!불)편리[하한해해요]", "손쉽[다게요네]", "부드럽[다고게요네]|부드러워[요서]",
+        "순[하한해해요]", "가볍[다고게요네]|가벼워[요서]", "촉촉[하한해해요]|촉촉해[요서]", r"여행[용]?\s?(?:좋|편)|휴대[하기]?\s?(?:좋|편)",
+        r"텍스처\s?[가]?\s?좋", "발리[다고]", r"밀착\s?[이]?\s?좋|밀착력\s?좋", "산뜻[하한해해요]", r"데일리[로]?\s?좋",
+    ],
+    "물류[긍정]": [
+        r"배송\s?빠르[다고게요]", r"빠른\s?배송", "칼배송", r"재고\s?있[다어었]", r"품절\s?안", r"구하기\s?쉽[다더게]", r"매장[에]?\s?있[었다어]",
+        r"오프라인[에]?\s?있[었다어]", r"입고\s?빠르[다더게요]", r"빠른\s?입고", r"재입고\s?빨[랐]", r"구매\s?쉽[다더]", r"사기\s?쉽[다더]",
+        r"찾기\s?쉽[다더]", r"바로\s?배송", r"당일\s?배송", r"익일\s?배송", r"택배\s?빠르[다더게요]", r"빠른\s?택배", r"재고\s?많[았다]",
+        r"예약\s?가능", r"주문\s?가능",
+    ],
+    "편의[부정]": [
+        r"(?<!안\s)불편[하해함](?!\s?지\s?(?:는|도)?\s?않)", r"사용(?:하기)?\s?(?:어렵[다고게]|어려[워요운])(?!\s?지\s?않)", r"쓰기\s?불편",
+        r"발림성?\s?[이]?\s?(?:안\s?좋|별로)|잘\s?안\s?발[라려]", r"흡수\s?[가]?\s?(?:안\s?[되돼]|별로)",
+        r"무겁[다고게]|무거워[요서](?!\s?하지\s?않)", r"너무\s?끈적|매우\s?끈적|너무\s?번들|매우\s?번들", r"뻑뻑(?:하[다고게]|해[요서])(?!\s?지\s?않)",
+        r"피부.*(?:너무\s?건조|매우\s?건조)|제품.*(?:너무\s?건조|매우\s?건조)|건조[해하].*(?:불편|안\s?좋)", "당기[는다고]", "땅기[는다고]",
+        r"사용감\s?[이가]?\s?(?:별로|안\s?좋)", r"텍스처\s?[가]?\s?(?:별로|안\s?좋)", r"밀착\s?[이]?\s?(?:안\s?[되돼]|별로)",
+        r"여행[용]?\s?불편|휴대[하기]?\s?불편", r"부드럽지\s?않", r"딱딱(?:하[다고게]|해[요서]|함)(?!\s?지\s?않)",
+        r"까칠(?:하[다고게]|해[요서])(?!\s?지\s?않)", "갈라[지짐]", r"(?<!안\s)뭉[치쳐침]", "덜[어렁걱]", "아쉬[워움]",
+    ],
     "물류[부정]": [
         r"배송\s?(?:느리[다고게]|느려[요서]|늦[다고게어]|안\s?와|오래\s?걸리|최악|별로)", r"재고\s?[가는]?\s?없", "품절", "매진",
         r"입고\s?(?:늦[다고게어]|안\s?[되돼]|오래\s?걸리|느리[다고]|느려[요서])",
@@ -67,6 +111,12 @@ PATTERNS = {
         r"비싼\s?거\s?필요\s?없|비싼\s?제품\s?필요\s?없", "가성비템", "짭", "카피", r"[가-힣]+\s?대신\s?[써쓰사용]",
         r"비교[했하면]\s?[때도]", r"[비슷똑]\s?같[은다]",
     ],
+    "로드샵브랜드": [
+        "올리브영", "올영", r"무신사\s?뷰티", r"컬리\s?뷰티", "클리오", "롬앤", "페리페라", "이니스프리", "에뛰드", "미샤", "시코르", "세포라", "로드샵",
+        "백화점", "면세점", r"카카오\s?선물", "홈쇼핑", "공홈", "직구", r"해외\s?직구", "닥터지", "달바", "맥", "MAC", "나스", "헤라", "어퓨",
+        "A'pieu", "토니모리", "홀리카", "더페이스샵", "스킨푸드", "라네즈", "아이오페", "에이프릴스킨", "라운드랩", "코스알엑스", "비디비치", "토르", "독도",
+        "더마토리", "피지오겔", r"닥터[^\s]{0,2}(?:[가-힣]|$)", "아누아", "바이오더마", "토리든", "3ce", "제로이드", "이지듀", "에스트라",
+    ],
     "브랜드개념": ["브랜드", "명품", "고가", "럭셔리", "저가", "가성비템"],
     "고가브랜드": [
         "설화수", r"라\s?메르", "랑콤", r"에스티\s?로더|(?<![가-힣])에스티(?![가-힣로])", "시세이도", "크리니크", "클라랑스", "키엘", "디올",
@@ -79,6 +129,23 @@ PATTERNS = {
 
 POSITIVE_SUFFIX, NEGATIVE_SUFFIX = "[긍정]", "[부정]"
 
+# Where the source list lacks a comma, so that its literal reading is one pattern out of two
+MISSING_COMMAS = [("알레르기", r"별로(?!\s?(?:안|인데\s?(?:좋|괜찮)))"), ("아쉬[워움]", r"외관[이]?\s?별로"), ("아쉬[워움]", r"온라인\s?(?:품절|재고\s?없)")]
+
+
+def compat_patterns(patterns: dict[str, list[str]] = PATTERNS) -> dict[str, list[str]]:
+    """The categories as the source list literally reads, with neighbours that lack a comma run together."""
+    out = {}
+    for category, rules in patterns.items():
+        joined: list[str] = []
+        for rule in rules:
+            if joined and (joined[-1], rule) in MISSING_COMMAS:
+                joined[-1] += rule
+            else:
+                joined.append(rule)
+        out[category] = joined
+    return out
+
 
 def read_rules(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """A rule table (category, pattern, position) as a dictionary; rule tables are hand-written and small."""

@@ -272,7 +272,7 @@ ACCEPTING = {
 }
 
 
-def validity_reason(name: str | Column, known: str | Column | None = None, stop_words: Sequence[str] = ()) -> Column:
+def validity_reason(name: str | Column, known: str | Column | None = None, stop_words: Sequence[str] = lex.NAME_STOP_WORDS) -> Column:
     """Why a (trimmed) name is taken or refused: the first rule that applies.
 
     ``known`` is a boolean column that says whether the name is in the known list (a join made before).
@@ -329,7 +329,7 @@ def reason_confidence(reason: str | Column) -> Column:
     return out.otherwise(F.lit(0.0))
 
 
-def score_names(rows: DataFrame, known: DataFrame, name: str = "ingredient", stop_words: Sequence[str] = ()) -> DataFrame:
+def score_names(rows: DataFrame, known: DataFrame, name: str = "ingredient", stop_words: Sequence[str] = lex.NAME_STOP_WORDS) -> DataFrame:
     """valid, confidence and reason per row; the rules run once per distinct name and are joined back."""
     distinct = rows.select(F.col(name).alias("_name")).distinct().withColumn("_t", strip(F.col("_name")))
     marks = known.select(F.trim(known.columns[0]).alias("_known")).distinct()
@@ -522,7 +522,7 @@ def has_ingredient_section(text: str | Column, headers: Sequence[str] = lex.HEAD
     return t.rlike("|".join(re.escape(h) for h in headers)) | (seen >= enough)
 
 
-CLASSES = {"forbidden": lex.FORBIDDEN, "animal": lex.ANIMAL, "safe": lex.SAFE_BASICS, "ambiguous": lex.AMBIGUOUS}
+CLASSES = {"forbidden": lex.FORBIDDEN, "animal": lex.ANIMAL, "safe": lex.SAFE, "ambiguous": lex.AMBIGUOUS}
 
 
 def verdicts(rows: DataFrame, classes: Mapping[str, Sequence[str]] = CLASSES, item: str = "ingredient") -> DataFrame:
