@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -82,7 +84,8 @@ class Anchors:
     d edits spoil at most 2d of an item's m - 1 word pairs. A window of that size therefore holds at least
     m - 1 - 2d pairs known from the benchmark, and one of the first 2d + 1 pairs of the item is found
     unspoilt, which fixes where the window begins (up to the words inserted or deleted before it, which the
-    walk and the check allow for).
+    walk and the check allow for). The pairs are counted twice: cheaply against all items, then, where that
+    is enough, against the items of the window's size, a repeated pair no oftener than an item repeats it.
     """
 
     def __init__(self, items: list[list[str]], similarity: float):
@@ -90,11 +93,15 @@ class Anchors:
         self.width = len(self.vocabulary)
         known, heads = set(), set()
         self.least: dict[int, int] = {}
+        self.of_size: dict[int, dict[int, int]] = {}  # pairs of a size's items, and how often one item has them at most
         for item in items:
             ids = [self.vocabulary[w] for w in item]
             m, d = len(item), edits_allowed(len(item), similarity)
             pairs = [a * self.width + b for a, b in zip(ids, ids[1:])]
             known.update(pairs)
+            most = self.of_size.setdefault(m, {})
+            for pair, n in Counter(pairs).items():
+                most[pair] = max(n, most.get(pair, 0))
             heads.update((pair, m, p) for p, pair in enumerate(pairs[: 2 * d + 1]))
             self.least[m] = max(0, m - 1 - 2 * d)
         self.pairs = np.array(sorted(known), np.int64)
@@ -109,8 +116,7 @@ class Anchors:
         """Place and size of every window to look at."""
         if not self.sizes or len(words) < 2:
             return []
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = np.array(list(map(self.vocabulary.get, words, repeat(-1))), np.int64)
         both = (ids[:-1] >= 0) & (ids[1:] >= 0)
         pairs = np.where(both, ids[:-1] * self.width + ids[1:], -1)
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
@@ -120,13 +126,18 @@ class Anchors:
         span = min(max(self.sizes) - 1, len(hit))
         if (upto[span:] - upto[: len(upto) - span]).max(initial=0) < least:
             return []
-        found = set()
+        seen, found, here, counts = set(), [], pairs.tolist(), upto.tolist()
         for q in np.flatnonzero(hit).tolist():
-            for m, p in self.heads.get(int(pairs[q]), ()):
+            for m, p in self.heads.get(here[q], ()):
                 start = max(0, q - p)
-                end = min(start + m - 1, len(hit))
-                if (start, m) not in found and upto[end] - upto[start] >= self.least[m]:
-                    found.add((start, m))
+                end = min(start + m - 1, len(here))
+                if counts[end] - counts[start] < self.least[m] or (start, m) in seen:
+                    continue
+                seen.add((start, m))
+                most = self.of_size[m]
+                own = Counter(filter(most.__contains__, here[start:end]))
+                if sum(min(n, most[pair]) for pair, n in own.items()) >= self.least[m]:
+                    found.append((start, m))
         return sorted(found)
 
 
