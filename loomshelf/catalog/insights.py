@@ -637,9 +637,27 @@ def qa14(spark, sf):
     return rounded(sig.anova(active(spark, sf), "level", "rating", p_value=False), "f_stat")
 
 
-@query("qa14_anova_p_value")
+# p values by Simpson's rule over 20,000 steps
+SIMPSON = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+@query(
+    "qa14_anova_p_value",
+    with_views(
+        f""", g AS (SELECT level, count(*) AS n, sum(rating) AS s, sum(rating * rating) AS ss FROM active GROUP BY 1),
+        t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS b FROM g),
+        f AS (SELECT CAST(k - 1 AS DOUBLE) AS df_between, CAST(n - k AS DOUBLE) AS df_within, ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k)) AS f FROM t),
+        q AS (SELECT *, df_between / 2 AS p, df_within / 2 AS q, df_between * f / df_within AS y0, 80 / (df_between + df_within) / 20000 AS h FROM f),
+        tail AS (SELECT any_value(df_between) AS df_between, any_value(df_within) AS df_within, any_value(f) AS f, sum({SIMPSON} * exp((p - 1) * ln(y0 + i * h)
+        - (p + q) * ln(1 + y0 + i * h) + lgamma(p + q) - lgamma(p) - lgamma(q))) * any_value(h) / 3 AS p_value FROM q, range(0, 20001) r(i))
+        SELECT df_between, df_within, round(f, 8) AS f_stat, round(p_value, 6) AS p_value FROM tail""",
+        "reviews",
+        active=ACTIVE,
+    ),
+)
 def qa14p(spark, sf):
-    return sig.anova(active(spark, sf), "level", "rating")
+    out = rounded(sig.anova(active(spark, sf), "level", "rating"), "f_stat")
+    return rounded(out, "p_value", places=6)
 
 
 PICKED = "SELECT *, reorder_rate >= 30 AS high FROM reorder WHERE n_reviews >= 20 AND (reorder_rate >= 30 OR reorder_rate < 25)"
@@ -665,6 +683,22 @@ def qa15(spark, sf):
     return rounded(sig.mann_whitney(picked(spark, sf), F.col("high"), "price", p_value=False), "u_stat")
 
 
-@query("qa15_mann_whitney_p_value")
+@query(
+    "qa15_mann_whitney_p_value",
+    with_views(
+        f""", r AS (SELECT high, avg_rating, rank() OVER (ORDER BY avg_rating) + (count(*) OVER (PARTITION BY avg_rating) - 1) / 2 AS mid FROM picked),
+        u AS (SELECT count(*) FILTER (high) AS n1, count(*) FILTER (NOT high) AS n2, count(*) AS n,
+        sum(mid) FILTER (high) - count(*) FILTER (high) * (count(*) FILTER (high) + 1) / 2 AS u FROM r),
+        e AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM r GROUP BY avg_rating)),
+        z AS (SELECT n1, n2, u, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u, e),
+        tail AS (SELECT any_value(n1) AS n1, any_value(n2) AS n2, any_value(u) AS u, least(1, sum({SIMPSON} * exp(-(z + i * 0.0005) * (z + i * 0.0005) / 2)) * 0.0005 / 3 * 2 / sqrt(2 * pi())) AS p
+        FROM z, range(0, 20001) r(i))
+        SELECT n1, n2, round(u, 8) AS u_stat, round(p, 6) AS p_value FROM tail""",
+        *PR,
+        reorder=REORDER,
+        picked=PICKED,
+    ),
+)
 def qa15p(spark, sf):
-    return sig.mann_whitney(picked(spark, sf), F.col("high"), "avg_rating")
+    out = rounded(sig.mann_whitney(picked(spark, sf), F.col("high"), "avg_rating"), "u_stat")
+    return rounded(out, "p_value", places=6)

@@ -165,14 +165,17 @@ def score_sql(words) -> str:
     return " + ".join(f"contains(low, '{w}')::INTEGER" for w in words)
 
 
-HITS = " UNION ALL ".join(
-    f"SELECT order_id, {i} AS pos, '{a}' AS aspect, {score_sql(w)} AS score, "
-    f"array_to_string(list_filter([{', '.join(repr(x) for x in w)}], lambda x: contains(low, x))[1:3], ', ') AS matched FROM low"
-    for i, (a, w) in enumerate(ASPECTS.items())
-)
+def hits_sql(aspects) -> str:
+    return " UNION ALL ".join(
+        f"SELECT order_id, {i} AS pos, '{a}' AS aspect, {score_sql(w)} AS score, "
+        f"array_to_string(list_filter([{', '.join(repr(x) for x in w)}], lambda x: contains(low, x))[1:3], ', ') AS matched FROM low"
+        for i, (a, w) in enumerate(aspects.items())
+    )
+
+
 LABELLED = {
     "low": "SELECT *, lower(text) AS low FROM doc_reviews",
-    "hits": HITS,
+    "hits": hits_sql(ASPECTS),
     "found": """SELECT order_id, pos, rn, aspect, round(least(0.9, 0.5 + 0.15 * score), 2)::DOUBLE AS confidence, '키워드 매칭: ' || matched AS reason FROM (
     SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, pos) AS rn FROM hits WHERE score > 0) WHERE rn <= 3
     UNION ALL SELECT order_id, 0, 1, '미분류', 0.5::DOUBLE, '일반적 표현' FROM low WHERE order_id NOT IN (SELECT order_id FROM hits WHERE score > 0)""",
@@ -194,10 +197,28 @@ def lb8(spark, sf):
     return d.select("order_id", (F.col("pos") + 1).alias("rank"), "a.aspect", "a.confidence", "a.reason")
 
 
-@query("lb8_rule_aspects_korean")
+# Korean reviews by rule: two or three of the shipped keywords, picked by the id and the length of the text
+KEYWORDS = [w for words in lb.ASPECT_KEYWORDS.values() for w in words]
+PICKS = ["order_id", "order_id * 13 + length(text)"]
+KOREAN_LOW = f"SELECT order_id, lower(concat_ws(' ', {', '.join(f'ws[1 + ({p}) % {len(KEYWORDS)}]' for p in PICKS)}, CASE WHEN order_id % 9 = 0 THEN '그냥' END)) AS low FROM doc_reviews, (SELECT [{', '.join(repr(w) for w in KEYWORDS)}] AS ws)"
+
+
+@query(
+    "lb8_rule_aspects_korean",
+    with_views(
+        "SELECT order_id, aspect, confidence, reason FROM found",
+        "doc_reviews",
+        low=KOREAN_LOW,
+        hits=hits_sql(lb.ASPECT_KEYWORDS),
+        found=LABELLED["found"],
+    ),
+)
 def lb8k(spark, sf):
-    """The shipped Korean keyword lists over the corpus."""
-    found = lb.with_rule_aspects(v.doc_reviews(spark, sf).select("order_id", "text"))
+    """The shipped Korean keyword lists over Korean sentences."""
+    words = F.array(*[F.lit(w) for w in KEYWORDS])
+    picked = [F.element_at(words, (F.expr(p) % len(KEYWORDS) + 1).cast("int")) for p in PICKS]
+    korean = v.doc_reviews(spark, sf).select("order_id", F.concat_ws(" ", *picked, F.when(F.col("order_id") % 9 == 0, "그냥")).alias("text"))
+    found = lb.with_rule_aspects(korean)
     return found.select("order_id", F.explode_outer("aspects").alias("a")).select("order_id", "a.*")
 
 
