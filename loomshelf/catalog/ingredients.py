@@ -130,18 +130,24 @@ def ig8(spark, sf):
     return ig.dedup_items(d.where("ingredient <> ''").withColumn("pos", F.col("pos").cast("long")), ["product_id"])
 
 
+AMOUNT = r"\(([^)]*(?:ppm|ppb|%|mg|g|ml)[^)]*)\)"
+
+
 @query(
     "ig9_concentration",
     with_views(
-        """SELECT ingredient, CASE WHEN pos % 3 = 0 THEN CAST(pos AS VARCHAR) || ' ppm' END AS concentration, count(*) AS n_rows FROM words
-        WHERE NOT regexp_matches(ingredient, '[()]') GROUP BY 1, 2""",
+        rf"""SELECT regexp_replace(item, '(?is)^\s*(.*?)\s*{AMOUNT}\s*(.*?)\s*$', '\1\3') AS ingredient,
+        nullif(regexp_replace(regexp_extract(item, '(?i){AMOUNT}', 1), '^\s+|\s+$', '', 'g'), '') AS concentration, count(*) AS n_rows FROM marked GROUP BY 1, 2""",
         words=WORDS,
+        marked="SELECT CASE WHEN pos % 3 = 0 THEN ingredient || '(' || pos || ' ppm)' WHEN pos % 3 = 1 THEN '(' || ingredient || ')' ELSE ingredient END AS item FROM words",
     ),
 )
 def ig9(spark, sf):
-    rows = word_rows(spark, sf).where(~F.col("ingredient").rlike("[()]"))
-    amount = F.concat(F.lit("("), F.col("pos").cast("string"), F.lit(" ppm)"))
-    name, found = ig.concentration(F.when(F.col("pos") % 3 == 0, F.concat("ingredient", amount)).otherwise(F.col("ingredient")))
+    """A third of the words get an amount in brackets, a third are in brackets themselves."""
+    rows = word_rows(spark, sf)
+    amount = F.concat("ingredient", F.lit("("), F.col("pos").cast("string"), F.lit(" ppm)"))
+    bare = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("("), "ingredient", F.lit(")"))).otherwise(F.col("ingredient"))
+    name, found = ig.concentration(F.when(F.col("pos") % 3 == 0, amount).otherwise(bare))
     return rows.groupBy(name.alias("ingredient"), found.alias("concentration")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -396,13 +402,25 @@ def ig21(spark, sf):
     return ig.certified(p.select("product_code", "name"), certs)
 
 
+FUNCTIONS = [*lex.ANIMAL_FUNCTIONS, "보습", *lex.PLANT_FUNCTIONS, "Alcohol", "기타", "알코올", "돼지", "Porcine", "용제", "점증제", "향료"]
+
+
+def said(words) -> str:
+    return "(" + " OR ".join(f"contains(about, '{w}')" for w in words) + ")"
+
+
 @query(
     "ig22_function_verdict",
-    """SELECT doc_id, CASE lang WHEN 'fr' THEN 'No' WHEN 'de' THEN 'Yes' ELSE 'Unknown' END AS vegan, CASE lang WHEN 'es' THEN 'No' ELSE 'Unknown' END AS halal FROM documents""",
+    f"""WITH a AS (SELECT doc_id, lower(text || ' ' || ws[1 + (doc_id * 7 + length(text)) % {len(FUNCTIONS)}] || ' ' || ws[1 + doc_id % {len(FUNCTIONS)}]) AS about
+    FROM documents, (SELECT {FUNCTIONS} AS ws))
+    SELECT doc_id, CASE WHEN {said(lex.ANIMAL_FUNCTIONS)} THEN 'No' WHEN {said(lex.PLANT_FUNCTIONS)} THEN 'Yes' ELSE 'Unknown' END AS vegan,
+    CASE WHEN {said(lex.ALCOHOL_FUNCTIONS + lex.PIG_FUNCTIONS)} THEN 'No' ELSE 'Unknown' END AS halal FROM a""",
 )
 def ig22(spark, sf):
-    about = F.when(F.col("lang") == "fr", "콜라겐 보습").when(F.col("lang") == "de", "식물 추출물").when(F.col("lang") == "es", "Alcohol base")
-    vegan, halal = ig.function_verdict(about.otherwise("기타"))
+    """Whole texts, each with two function words or other words behind it."""
+    words = F.array(*[F.lit(w) for w in FUNCTIONS])
+    picked = [F.element_at(words, (F.expr(p) % len(FUNCTIONS) + 1).cast("int")) for p in ("doc_id * 7 + length(text)", "doc_id")]
+    vegan, halal = ig.function_verdict(F.concat_ws(" ", "text", *picked))
     return docs(spark, sf).select("doc_id", vegan.alias("vegan"), halal.alias("halal"))
 
 
