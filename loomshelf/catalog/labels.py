@@ -148,7 +148,7 @@ def lb6b(spark, sf):
 )
 def lb7(spark, sf):
     d = v.doc_reviews(spark, sf).select("order_id")
-    return sm.shards(d, 6, ["order_id"], [F.expr("order_id div 65536")])
+    return sm.shards(d, 6, ["order_id"], [F.expr("order_id div 4294967296"), F.expr("order_id div 65536")])
 
 
 # keyword lists for the supplied corpus

@@ -320,7 +320,7 @@ def dim6(spark, sf):
     users = crawl.agg(F.lit(7).alias("user_id"), F.lit("src3*").alias("user_masked"))
     reviews = crawl.agg(F.lit(500).cast("long").alias("order_id"))
     analysis = reviews.select("order_id", F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("length_category"))
-    out = dim.load_reviews(reviews, analysis, users, crawl, ["row_no"], [F.expr("row_no div 4096")])
+    out = dim.load_reviews(reviews, analysis, users, crawl, ["row_no"], [F.expr("row_no div 268435456"), F.expr("row_no div 4096")], stage=tables.settle)
     return out["reviews"].join(out["review_analysis"], "order_id").drop("text", "image_count")
 
 

@@ -37,7 +37,7 @@ def st1(spark, sf):
     for _ in range(2):
         crawl.write.mode("append").parquet(drops)
         stream = st.read_drops(spark, drops, CRAWL)
-        writer = st.stream_reviews(stream, target, checkpoint, ["row_no"], [F.expr("row_no div 65536")])
+        writer = st.stream_reviews(stream, target, checkpoint, ["row_no"], [F.expr("row_no div 4294967296"), F.expr("row_no div 65536")])
         writer.trigger(availableNow=True).start().awaitTermination()
     users = spark.read.parquet(f"{target}/users").select("user_id", "user_masked")
     lengths = spark.read.parquet(f"{target}/review_analysis").select("order_id", "length")

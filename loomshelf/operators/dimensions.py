@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,13 +151,15 @@ def load_reviews(
     crawl: DataFrame,
     order_by: Sequence[str],
     buckets: Sequence[Column],
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """Crawled reviews → users, reviews and review_analysis rows to append.
 
+    Each table is derived from the one before; ``stage`` writes a table once before the next reads it.
     Expects ``user_masked, product_code, date, text, rating, image_count`` and the order columns.
     """
-    all_users = register_members(users, crawl, "user_masked", "user_masked", "user_id", order_by, buckets)
-    fresh = key_reviews(crawl, all_users, reviews.agg(F.max("order_id")), order_by, buckets)
+    all_users = stage(register_members(users, crawl, "user_masked", "user_masked", "user_id", order_by, buckets))
+    fresh = stage(key_reviews(crawl, all_users, reviews.agg(F.max("order_id")), order_by, buckets))
     lengths = analysis.limit(0).unionByName(analysis_rows(fresh), allowMissingColumns=True)
     return {"users": all_users, "reviews": fresh, "review_analysis": lengths}
 

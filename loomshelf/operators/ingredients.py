@@ -608,34 +608,36 @@ GRAMS = (1, 2, 4, 8)
 def certified(products: DataFrame, certificates: DataFrame, name: str = "name", cert_name: str = "cert_name", order: str = "cert_id") -> DataFrame:
     """Products whose name contains, or is contained in, a certificate's name (case ignored); first certificate.
 
-    Containment is turned into an equi-join: the shorter name's opening gram (8, 4, 2 or 1 letters)
-    must occur in the longer name. Works on distinct names.
+    Containment is turned into an equi-join on grams of 8, 4, 2 or 1 letters, by the shorter name's length: the
+    shorter name is probed by that of its grams which the fewest longer names hold, so a brand at the
+    opening of every name brings no pairs. A gram that no longer name holds rules the name out. Works on
+    distinct names.
     """
     p = products.select(F.lower(name).alias("_p")).where(F.trim("_p") != "").distinct()
     c = certificates.select(F.lower(cert_name).alias("_c"), order).where(F.trim("_c") != "")
     c = c.groupBy("_c").agg(F.min(order).alias(order))
 
-    def opening(text: str) -> Column:
+    def cut(text: str, g: int) -> Column:
+        return F.expr(f"transform(sequence(1, greatest(1, length({text}) - {g - 1})), i -> substring({text}, i, {g}))")
+
+    def all_grams(text: str) -> Column:
+        return unnest(F.array_distinct(F.flatten(F.array(*[cut(text, g) for g in GRAMS]))), "_g")
+
+    def own_grams(text: str) -> Column:
         out = F
         for g in reversed(GRAMS):
-            out = out.when(F.length(text) >= g, F.substring(text, 1, g))
-        return out
-
-    def grams(text: str) -> Column:
-        all_grams = F.array_distinct(
-            F.flatten(
-                F.array(
-                    *[
-                        F.expr(f"transform(sequence(1, greatest(1, length({text}) - {g - 1})), i -> substring({text}, i, {g}))")
-                        for g in GRAMS
-                    ]
-                )
-            )
-        )
-        return unnest(all_grams, "_g")
-
-    inside = p.select("_p", opening("_p").alias("_g")).join(c.select("_c", order, grams("_c")), "_g").where(F.contains("_c", "_p"))
-    around = p.select("_p", grams("_p")).join(c.select("_c", order, opening("_c").alias("_g")), "_g").where(F.contains("_p", "_c"))
+            out = out.when(F.length(text) >= g, cut(text, g))
+        return unnest(F.array_distinct(out), "_g")
+
+    def held(short: DataFrame, text: str, longer: DataFrame) -> DataFrame:
+        """The shorter names with the longer names that hold their rarest gram."""
+        frequency = longer.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        counted = short.select(text, own_grams(text)).join(frequency, "_g", "left")
+        rarest = counted.groupBy(text).agg(F.min(F.struct(F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "_g")).alias("_r"))
+        return rarest.where("_r.n > 0").select(text, F.col("_r._g").alias("_g")).join(longer, "_g")
+
+    inside = held(p, "_p", c.select("_c", order, all_grams("_c"))).where(F.contains("_c", "_p"))
+    around = held(c, "_c", p.select("_p", all_grams("_p"))).where(F.contains("_p", "_c")).join(c, "_c")
     hits = inside.select("_p", order).unionByName(around.select("_p", order)).groupBy("_p").agg(F.min(order).alias(order))
     return (
         products.join(hits, F.lower(name) == F.col("_p"), "left").drop("_p").withColumn("is_certified", F.col(order).isNotNull())

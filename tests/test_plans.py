@@ -32,3 +32,16 @@ def test_date_window_reaches_the_scan(spark, sf):
 
 def test_hot_groups_are_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["ts5_category_stars"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["dq1_dedup_texts", "dq11_copied_texts", "dq12_without_copies"])
+def test_texts_are_compared_by_digest(spark, sf, name):
+    text = plan(catalog.QUERIES[name](spark, sf))
+    assert "Expand" not in text and "SortAggregate" not in text
+    assert not re.search(r"Exchange hashpartitioning\([^)]*text#", text)
+
+
+def test_no_table_is_dealt_out_by_its_size(spark, sf):
+    from loomshelf.sources import views
+
+    assert "Exchange" not in plan(views.table(spark, sf, "documents"))

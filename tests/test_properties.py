@@ -160,3 +160,19 @@ def test_dedup_items_keeps_longest_at_first_position(spark):
     rows = [(1, 0, "글리 세린"), (1, 1, "향료"), (1, 2, "글리세린"), (1, 3, "글 리 세 린")]
     got = ig.dedup_items(spark.createDataFrame(rows, "p int, pos int, ingredient string"), ["p"])
     assert sorted(map(tuple, got.select("pos", "ingredient").collect())) == [(0, "글 리 세 린"), (1, "향료")]
+
+
+def test_a_brand_on_every_name_brings_no_pairs(spark):
+    from loomshelf.operators import ingredients as ig
+
+    products = spark.createDataFrame([(f"Brandname product number {i}",) for i in range(3000)], "name string")
+    certificates = spark.createDataFrame([(i, f"brandname product number {i}") for i in range(0, 3000, 2)], "cert_id int, cert_name string")
+    got = {r.name: r.cert_id for r in ig.certified(products, certificates).where("is_certified").collect()}
+    want = {}
+    names = {i: f"brandname product number {i}" for i in range(0, 3000, 2)}
+    for i in range(3000):
+        n = f"brandname product number {i}"
+        hits = [k for k in names if str(names[k])[len("brandname product number ") :] == str(i) or n.startswith(names[k]) or names[k].startswith(n)]
+        if hits:
+            want[f"Brandname product number {i}"] = min(hits)
+    assert got == want
