@@ -48,8 +48,8 @@ def main() -> None:
 
     spark = local_session(cores, shuffle_partitions=cores)
     wanted = list(catalog.QUERIES) if names == "all" else [n for n in names.split(",") if n] or HEADLINE
-    # times are for a warm session: compile and page in once before measuring
-    catalog.QUERIES["qa8_true_steady_sellers"](spark, sf_dir).collect()
+    # times are for a warm session: compile and page in once, with a query that is not in the list
+    next((q for n, q in catalog.QUERIES.items() if n not in HEADLINE))(spark, sf_dir).collect()
     times = {}
     for name in wanted:
         start = time.perf_counter()

@@ -105,23 +105,21 @@ def balance_sentiment(
 ) -> DataFrame:
     """Bring the sample to the sentiment targets: fill shortages from the unsampled pool, then trim.
 
-    Both steps are one ranked draw: a six-row frame says how many sampled and unsampled rows of each
-    sentiment survive.
+    ``sampled`` holds rows of ``pool``. What a sentiment has outside the sample is its pool count less its
+    sample count, so the pool is joined with the sample only to draw what is missing, and only for the
+    sentiments that miss something. A small frame says how many rows of each survive.
     """
     goals = sentiment_targets(target, shares)
     spark = pool.sparkSession
     goal_rows = spark.createDataFrame(
         [(s, goals[s], i) for i, s in enumerate(trim_order)], "sentiment_group string, _goal long, _order int"
     )
-    marks = sampled.select(F.col(key).alias("_sampled_key"))
-    flagged = (
-        pool.withColumn("sentiment_group", sentiment_group())
-        .join(marks, F.col(key) == F.col("_sampled_key"), "left")
-        .withColumn("in_sample", F.col("_sampled_key").isNotNull())
-        .drop("_sampled_key")
-    )
-    have = flagged.groupBy("sentiment_group").agg(
-        F.count_if(F.col("in_sample")).alias("_in"), F.count_if(~F.col("in_sample")).alias("_out")
+    grouped = pool.withColumn("sentiment_group", sentiment_group())
+    inside = sampled.select(*pool.columns).withColumn("sentiment_group", sentiment_group())
+    have_in = inside.groupBy("sentiment_group").agg(F.count(F.lit(1)).alias("_in"))
+    have_all = grouped.groupBy("sentiment_group").agg(F.count(F.lit(1)).alias("_every"))
+    have = have_all.join(have_in, "sentiment_group", "left").select(
+        "sentiment_group", "_in", (F.col("_every") - F.coalesce("_in", F.lit(0))).alias("_out")
     )
     zero = F.lit(0).cast("long")
     plan = (
@@ -138,12 +136,14 @@ def balance_sentiment(
         )
         .withColumn("_remove", F.greatest(zero, F.least(F.col("_spare"), F.col("_excess") - F.col("_earlier"))))
     )
-    keep = F.array(
-        F.struct(F.lit(True).alias("in_sample"), (F.col("_in") - F.col("_remove")).alias("quota")),
-        F.struct(F.lit(False).alias("in_sample"), F.col("_add").alias("quota")),
-    )
-    quotas = plan.select("sentiment_group", F.explode(keep).alias("_k")).select("sentiment_group", "_k.*")
-    return take_per_group(flagged, quotas, ["sentiment_group", "in_sample"], key, f"{seed}-balance")
+    draw = f"{seed}-balance"
+    stay = plan.select("sentiment_group", (F.col("_in") - F.col("_remove")).alias("quota"))
+    kept = take_per_group(inside, stay, ["sentiment_group"], key, draw)
+    lacking = plan.where("_add > 0").select("sentiment_group", F.col("_add").alias("quota"))
+    # one row per sentiment
+    rest = grouped.join(F.broadcast(lacking.select("sentiment_group")), "sentiment_group", "left_semi").join(sampled.select(key), key, "left_anti")
+    added = take_per_group(rest.select(*grouped.columns), lacking, ["sentiment_group"], key, draw)
+    return kept.withColumn("in_sample", F.lit(True)).unionByName(added.withColumn("in_sample", F.lit(False)))
 
 
 def sample_report(sample: DataFrame, shares: Mapping[str, float] = SENTIMENT_TARGETS) -> DataFrame:
