@@ -155,7 +155,7 @@ def log_perplexity(text: Column, model: Model) -> Column:
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     """The bound per language: the quantile of the trusted documents' log-perplexity, and room above it.
 
-    Exact on bins of ``BIN``; NULL languages are one. ``_lang`` NULL with ``_all`` true holds the bound over all languages.
+    Exact on bins of ``BIN``; NULL languages are one. The row with ``every`` true holds the bound over all languages.
     """
     bins = scored.where("trusted AND log_perplexity IS NOT NULL").select("lang", F.ceil(F.col("log_perplexity") / BIN).alias("bin"))
     counted = bins.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -196,10 +196,9 @@ def judge(
     marked = scored.join(marks.withColumn("trusted", F.lit(True)), scored.doc_id == marks._llm_id, "left").drop("_llm_id")
     found = settle(thresholds(marked, quantile, margin), "thresholds")
     own = found.where(~F.col("every") & (F.col("texts") >= least_texts)).select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
-    # one row, attached to every document
-    every = found.where("every").agg(F.max("bound").alias("_every"))
-    bounded = scored.join(own, scored.lang.eqNullSafe(own._lang), "left").crossJoin(F.broadcast(every))
-    bound = F.coalesce("_own", "_every")
+    every = found.where("every").agg(F.max("bound")).first()[0]  # one number
+    bounded = scored.join(own, scored.lang.eqNullSafe(own._lang), "left")
+    bound = F.coalesce(F.col("_own"), F.lit(every).cast("double"))
     return bounded.select(
         "doc_id",
         "text_hash",
