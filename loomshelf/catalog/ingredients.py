@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomshelf.catalog.loading import WORDS, word_rows
@@ -188,10 +190,37 @@ def ig12(spark, sf):
     return ig.apply_rules(rows, DELETE, REPLACE, ["^er"], DIVIDE, keys=["product_id"])
 
 
-@query("ig12_apply_korean_rules")
+# every second word of the corpus stands for a name that the shipped rules know, picked by its length and place
+RULED = [*lex.DELETED[::3], *lex.REPLACED, *lex.SPLIT, "기재정제수", "표시글리세린", "화장품법에따라판테놀", "기재", " 정제수 "]
+
+
+def ruled_rows() -> str:
+    """What the rules make of each name, one after the other."""
+    rows = []
+    for i, name in enumerate(RULED):
+        if name in lex.DELETED:
+            continue
+        for old, new in lex.REPLACED.items():
+            name = new if name == old else name
+        for pattern in lex.MARKETING:
+            name = re.sub(pattern, "", name)
+        rows += [(i, piece.strip()) for piece in lex.SPLIT.get(name, [name]) if piece.strip()]
+    return ", ".join(f"({i}, '{piece}')" for i, piece in rows)
+
+
+@query(
+    "ig12_apply_korean_rules",
+    with_views(
+        rf"""SELECT product_id, piece AS ingredient FROM words JOIN (VALUES {ruled_rows()}) k(i, piece) ON pos % 2 = 0 AND i = (pos + length(ingredient)) % {len(RULED)}
+        UNION SELECT product_id, regexp_replace(ingredient, '^\s+|\s+$', '', 'g') FROM words WHERE pos % 2 = 1 AND regexp_matches(ingredient, '\S')""",
+        words=WORDS,
+    ),
+)
 def ig12k(spark, sf):
-    """The shipped rule table over the corpus."""
-    return ig.apply_rules(word_rows(spark, sf), keys=["product_id"])
+    """The shipped rule table over names it knows and words it does not."""
+    known = F.element_at(F.array(*[F.lit(w) for w in RULED]), ((F.col("pos") + F.length("ingredient")) % len(RULED) + 1).cast("int"))
+    rows = word_rows(spark, sf).withColumn("ingredient", F.when(F.col("pos") % 2 == 0, known).otherwise(F.col("ingredient")))
+    return ig.apply_rules(rows, keys=["product_id"])
 
 
 @query(
