@@ -159,15 +159,76 @@ def ig10(spark, sf):
     return names.select("ingredient", ig.normalise_name("ingredient").alias("normalised"))
 
 
-def known_words(spark, sf):
+def known_words(spark, sf, least=5):
     """Words of the benchmark passages stand for the dictionary."""
     words = v.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("entry"))
-    return words.where(F.length("entry") >= 5).distinct()
+    return words.where(F.length("entry") >= least).distinct()
+
+
+# every second word of the corpus stands for a listed name, a noise word or a stop word
+NAMED = [*lex.SAFE[::4], *lex.NAME_STOP_WORDS[::4], *lex.BAD_TWO_LETTER[::5], *lex.ENGLISH_NOISE[::6], *lex.VALID_ENGLISH[::5], "PEG-40", "CI 77891", "SPF50", "1.5", "30ml", "STEP1", "PDRN5", "라우레스-7", "폴리글리세릴-10라우레이트", "피부에바르는", "Ab12", "Xylitol", "동백오일", "소듐이온", "에틸셀룰로오스", "알파글루코사이드", "리신에이치씨엘", "프로테아제", "가나다라마바사아자차카하이알루로네"]
+
+
+def score_case() -> str:
+    def m(pattern: str) -> str:
+        return "regexp_matches(t, '" + pattern.replace("'", "''") + "')"
+
+    def either(patterns) -> str:
+        return m("^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+
+    def among(words) -> str:
+        return "t IN (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+    parts = "^(?:" + "|".join(lex.CHEMICAL_PREFIXES) + ")|(?:" + "|".join(lex.CHEMICAL_SUFFIXES) + ")$"
+    long_stops = " OR ".join(f"contains(t, '{w}')" for w in lex.NAME_STOP_WORDS if len(w) >= 4)
+    rules = {
+        "too_short": "length(t) < 2",
+        "known_ingredient": "t IN (SELECT e FROM known)",
+        "pure_number": m(lex.PURE_NUMBER),
+        "dimension": m(lex.DIMENSION),
+        "product_description": m(lex.DESCRIPTION),
+        "invalid_2char": among(lex.BAD_TWO_LETTER),
+        "verb_ending": m(lex.VERB_ENDING) + " AND NOT " + m("(?:" + "|".join(lex.ENDING_EXCEPTIONS) + ")$"),
+        "pattern_match": either(lex.CHEMICAL_PATTERNS),
+        "ci_colorant": m(lex.COLORANT),
+        "peg_ppg": m(lex.PEG_PPG),
+        "ethoxylate": m(lex.ETHOXYLATE),
+        "ethoxylate_extended": m(lex.ETHOXYLATE_EXTENDED),
+        "enzyme": m(lex.ENZYME),
+        "amino_acid_salt": m(lex.AMINO_ACID_SALT),
+        "plant_derived": m(lex.PLANT_DERIVED),
+        "glucoside": m(lex.GLUCOSIDE),
+        "cellulose_derivative": m(lex.CELLULOSE) + " AND length(t) >= 6",
+        "english_chemical": "NOT " + among(lex.ENGLISH_NOISE) + " AND " + m(lex.ENGLISH_CHEMICAL),
+        "alphanumeric_compound": "NOT " + among(lex.ENGLISH_NOISE) + " AND length(t) >= 4 AND " + m(lex.MIXED) + " AND NOT " + m(lex.NOT_COMPOUND),
+        "korean_chemical": m(parts),
+        "noise": either(lex.NOISE_PATTERNS),
+        "stopword": among(lex.NAME_STOP_WORDS),
+        "english_noise": m(lex.SHORT_ENGLISH) + " AND NOT " + among(lex.VALID_ENGLISH) + " AND NOT " + m(lex.CHEMICAL_WORD),
+        "contains_stopword": f"length(t) >= 12 AND ({long_stops})",
+    }
+    return "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in rules.items()) + " ELSE 'no_pattern_match' END"
+
+
+ACCEPTED = ", ".join(f"('{name}', {value}::DOUBLE)" for name, value in ig.ACCEPTING.items())
 
 
-@query("ig11_score_names")
+@query(
+    "ig11_score_names",
+    with_views(
+        f"""SELECT ingredient, a.c IS NOT NULL AS valid, coalesce(a.c, 0) AS confidence, reason, count(*) AS n_rows
+        FROM judged LEFT JOIN (VALUES {ACCEPTED}) a(r, c) ON a.r = reason GROUP BY ALL""",
+        words=WORDS,
+        named=f"SELECT CASE WHEN pos % 2 = 0 THEN ns[1 + (pos + length(ingredient)) % {len(NAMED)}] ELSE ingredient END AS ingredient FROM words, (SELECT {NAMED} AS ns)",
+        known="SELECT DISTINCT e FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS e FROM benchmark) WHERE e <> ''",
+        trimmed="SELECT ingredient, regexp_replace(ingredient, '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS t FROM named",
+        judged=f"SELECT ingredient, {score_case()} AS reason FROM trimmed",
+    ),
+)
 def ig11(spark, sf):
-    scored = ig.score_names(word_rows(spark, sf), known_words(spark, sf))
+    listed = F.element_at(F.array(*[F.lit(w) for w in NAMED]), ((F.col("pos") + F.length("ingredient")) % len(NAMED) + 1).cast("int"))
+    rows = word_rows(spark, sf).withColumn("ingredient", F.when(F.col("pos") % 2 == 0, listed).otherwise(F.col("ingredient")))
+    scored = ig.score_names(rows, known_words(spark, sf, 1))
     return scored.groupBy("ingredient", "valid", "confidence", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -281,33 +281,33 @@ def validity_reason(name: str | Column, known: str | Column | None = None, stop_
     either = lambda patterns: "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
     ends = "(?:" + "|".join(lex.ENDING_EXCEPTIONS) + ")$"
     parts = "^(?:" + "|".join(lex.CHEMICAL_PREFIXES) + ")|(?:" + "|".join(lex.CHEMICAL_SUFFIXES) + ")$"
-    mixed = t.rlike("^[A-Za-z]+[-]?[0-9]+[A-Za-z]*$") & (F.length(t) >= 4)
+    mixed = t.rlike(lex.MIXED) & (F.length(t) >= 4)
     not_noise = ~t.isin(*lex.ENGLISH_NOISE)
-    chemical_word = t.rlike("(?i)(?:(ol|ate|ide|ine|one|ene|ose|ase|ane|yl|ic|in)$)|^(Hydrogenated|Hydrolyzed|PEG|PPG|CI)")
+    chemical_word = t.rlike(lex.CHEMICAL_WORD)
     rules = [
         ("too_short", t.isNull() | (F.length(t) < 2)),
         ("known_ingredient", F.coalesce(col(known), F.lit(False)) if known is not None else None),
-        ("pure_number", t.rlike(r"^[\d\.\-/]+$")),
-        ("dimension", t.rlike(r"^\d+(\.\d+)?(cm|mm|g|mg|ml|L|kg)$")),
-        ("product_description", t.rlike(r"(?i)^(POINT|STEP|TIP|NOTE|PDRN)\d*$")),
+        ("pure_number", t.rlike(lex.PURE_NUMBER)),
+        ("dimension", t.rlike(lex.DIMENSION)),
+        ("product_description", t.rlike(lex.DESCRIPTION)),
         ("invalid_2char", t.isin(*lex.BAD_TWO_LETTER)),
         ("verb_ending", t.rlike(lex.VERB_ENDING) & ~t.rlike(ends)),
         ("pattern_match", t.rlike(either(lex.CHEMICAL_PATTERNS))),
-        ("ci_colorant", t.rlike(r"^CI\s*\d+$")),
-        ("peg_ppg", t.rlike(r"^(PEG|PPG|폴리에틸렌글라이콜|폴리프로필렌글라이콜)[-\s]?\d+")),
-        ("ethoxylate", t.rlike(r"^(라우레스|세테스|올레스|스테아레스|세테아레스|폴리소르베이트|솔비탄)[-\s]?\d+")),
-        ("ethoxylate_extended", t.rlike(r"^(글리세레스|폴리글리세릴|세테스|올레스|스테아레스|트라이데세스)[-]?\d+.*$")),
-        ("enzyme", t.rlike("^.{2,}(아제|라아제)$|^[가-힣]{2,}인$")),
-        ("amino_acid_salt", t.rlike(".+(에이치씨엘|하이드로클로라이드|염산염|황산염|질산염)$")),
-        ("plant_derived", t.rlike("^[가-힣]{2,}(오일|전분|버터)$")),
-        ("glucoside", t.rlike("^.*글루코사이드$")),
-        ("cellulose_derivative", t.rlike("^.+(셀룰로오스|셀룰로스)$") & (F.length(t) >= 6)),
-        ("english_chemical", not_noise & t.rlike("^[A-Z][a-z]{3,}(yl|ol|in|ate|ide|ene|one|ose|ine|ane|ene)$")),
-        ("alphanumeric_compound", not_noise & mixed & ~t.rlike(r"(?i)^(SPF|PA|UV|LED|SUPER|STEP|POINT|TIP|EXTRA|PLUS)\d+")),
+        ("ci_colorant", t.rlike(lex.COLORANT)),
+        ("peg_ppg", t.rlike(lex.PEG_PPG)),
+        ("ethoxylate", t.rlike(lex.ETHOXYLATE)),
+        ("ethoxylate_extended", t.rlike(lex.ETHOXYLATE_EXTENDED)),
+        ("enzyme", t.rlike(lex.ENZYME)),
+        ("amino_acid_salt", t.rlike(lex.AMINO_ACID_SALT)),
+        ("plant_derived", t.rlike(lex.PLANT_DERIVED)),
+        ("glucoside", t.rlike(lex.GLUCOSIDE)),
+        ("cellulose_derivative", t.rlike(lex.CELLULOSE) & (F.length(t) >= 6)),
+        ("english_chemical", not_noise & t.rlike(lex.ENGLISH_CHEMICAL)),
+        ("alphanumeric_compound", not_noise & mixed & ~t.rlike(lex.NOT_COMPOUND)),
         ("korean_chemical", t.rlike(parts)),
         ("noise", t.rlike(either(lex.NOISE_PATTERNS))),
         ("stopword", t.isin(*stop_words) if stop_words else None),
-        ("english_noise", t.rlike("^[A-Za-z]{1,10}$") & ~t.isin(*lex.VALID_ENGLISH) & ~chemical_word),
+        ("english_noise", t.rlike(lex.SHORT_ENGLISH) & ~t.isin(*lex.VALID_ENGLISH) & ~chemical_word),
         ("contains_stopword", _contains_long(t, stop_words)),
     ]
     reason = F
