@@ -59,7 +59,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later lines near it go, so a chain of small edits collapses onto its beginning.
 
     Equal lines are counted first, so all later steps run over different lines. Lines that share no half with
-    another are left out; of the others each variant with one word deleted is emitted as a hashed key. Lines
+    another are left out; of the others each variant with one word deleted, where the shared halves leave room
+    for an edit, is emitted as a hashed key. Lines
     with the same variant at the same place differ in that word alone; a variant equal to a whole line has one
     word more. In either case each line is joined to the earliest of its key only, never to all, and the pair
     is verified word by word.
@@ -76,37 +77,41 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lines.groupBy("key").agg(F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "different-lines"
     )
     # lines that share a half with another line
-    halves = different.select("key", F.explode("halves").alias("half"))
+    halves = different.select("key", "n", F.posexplode("halves").alias("k", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    near = halves.join(shared, "half").select("key").distinct().join(different.select("key", "first", "n"), "key")
+    # where the edit can be: not before the middle if the words before it are shared, before it if those after are
+    middle = F.floor((F.col("n") - F.when(F.col("k") >= 2, 1).otherwise(0)) / 2).cast("int")
+    places = halves.join(shared, "half").groupBy("key").agg(F.min(F.when(F.col("k") % 2 == 0, middle)).alias("late"), F.max(F.when(F.col("k") % 2 == 1, middle)).alias("early"))
+    near = places.join(different.select("key", "first", "n"), "key")
     # their words, fetched from the document of each line's first place
     wanted = near.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).agg(
-        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("wanted")
+        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key", "late", "early")).alias("wanted")
     )
     text = whole_text(docs, text_col)
     own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
     fetched = own.join(wanted, own.doc_id.eqNullSafe(wanted._id) & (own.text_hash == wanted._hash)).select(
-        "doc_id", "text_hash", F.explode(F.zip_with("wanted", F.transform("wanted", lambda w: w["line_no"]), lambda w, i: w)).alias("w"), "lines"
+        "doc_id", "text_hash", F.explode("wanted").alias("w"), "lines"
     )
     spelled = settle(
-        fetched.select("doc_id", "text_hash", F.col("w.line_no").alias("line_no"), F.col("w.key").alias("key"), F.filter(F.split(F.element_at("lines", F.col("w.line_no") + 1), BLANKS), lambda w: w != "").alias("words"))
+        fetched.select("doc_id", "text_hash", "w.*", F.filter(F.split(F.element_at("lines", F.col("w.line_no") + 1), BLANKS), lambda w: w != "").alias("words"))
         .dropDuplicates(["key"])
         .withColumn("n", F.size("words")),
         "near-lines",
     )
     # variants: the hash of a sequence is the xor of the hashes of its words with their places, so running
     # values give each deletion in constant time
-    word = spelled.select("key", "n", _order().alias("first"), F.posexplode("words").alias("i", "w")).select(
-        "key", "n", "first", "i", F.xxhash64("w", "i").alias("f"), F.xxhash64("w", F.col("i") - 1).alias("g")
+    word = spelled.select("key", "n", "late", "early", _order().alias("first"), F.posexplode("words").alias("i", "w")).select(
+        "key", "n", "late", "early", "first", "i", F.xxhash64("w", "i").alias("f"), F.xxhash64("w", F.col("i") - 1).alias("g")
     )
     place = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     variants = word.select(
-        "key", "n", "first", "i",
+        "key", "n", "late", "early", "first", "i",
         F.bit_xor("f").over(place).bitwiseXOR(F.col("f")).bitwiseXOR(F.bit_xor("g").over(place)).bitwiseXOR(F.bit_xor("g").over(whole)).alias("v"),
         F.bit_xor("f").over(whole).alias("all"),
     )
-    variants = settle(variants, "variants")
+    # the first place stays for the hash of the whole line
+    variants = settle(variants.where((F.col("i") >= F.col("late")) | (F.col("i") < F.col("early")) | (F.col("i") == 0)).drop("late", "early"), "variants")
     # one word replaced: the same variant at the same place
     at = ["n", "i", "v"]
     groups = variants.groupBy(*at).agg(F.min("first").alias("to"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
