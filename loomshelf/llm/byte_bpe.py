@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the piece memo: entries, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 250_000, 40
-MEMO_PAIRS = 500_000
+MEMO_PIECES, MEMO_CHARS = 120_000, 40
+MEMO_PAIRS = 200_000
 
 
 class ByteBpe:

@@ -85,15 +85,17 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Log probability of every four-gram, seen or not."""
-        p = np.full(1, 1 / SYMBOLS)
+        p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
         for k, (grams, probs, contexts, weights) in enumerate(self.orders, 1):
             back = np.ones(SYMBOLS ** (k - 1), np.float32)
             back[contexts] = weights
             # a gram that was never seen: the weight of its context times the probability of its end
-            lower = np.broadcast_to(p, SYMBOLS) if k == 1 else p
-            p = (back.reshape(-1, 1) * np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS if k > 1 else 1, 1))).astype(np.float32).ravel()
-            p[grams] = probs
-        return np.log(p)
+            ends = p.reshape(1, -1, SYMBOLS)
+            out = np.empty(SYMBOLS**k, np.float32)
+            np.multiply(back.reshape(-1, ends.shape[1], 1), ends, out=out.reshape(-1, ends.shape[1], SYMBOLS))
+            out[grams] = probs
+            p = out
+        return np.log(p, out=p)
 
 
 def _order_tables(c: DataFrame, k: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
