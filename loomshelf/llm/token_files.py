@@ -9,9 +9,11 @@ so a mapped file gives any sequence without a copy; every batch but the last has
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +37,7 @@ LENGTH, BATCH_ROWS = 2048, 64
 #: Characters that the tokenizer takes at once: it holds much more than the ids meanwhile.
 CHARS_AT_ONCE = 500_000
 #: Bounds of the piece memo: entries, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 250_000, 40
+MEMO_PIECES, MEMO_CHARS = 400_000, 40
 # ids travel as text: a NULL would turn a pandas column of longs into floats
 _INDEX = "shard int, path string, doc_id string, at bigint, n_tokens bigint"
 _READ = "doc_id string, shard int, at bigint, n_tokens bigint, ids_crc32 bigint"
@@ -151,22 +153,40 @@ def _memo(path: str, dtype: str) -> dict[str, bytes]:
     return {}
 
 
+@lru_cache(maxsize=2)
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of a pattern. In ASCII texts its classes are plain ranges, which the faster ``re`` can serve."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    every = regex.compile(pattern).findall
+    if r"\p" in plain:
+        return every
+    ascii_only = re.compile(plain, re.ASCII).findall
+    return lambda text: ascii_only(text) if text.isascii() else every(text)
+
+
+#: Characters that stand for bytes in the vocabulary: printable Latin-1 for itself, the rest from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STANDS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+
 def _encoded(texts: list[str], path: str, dtype: np.dtype, pattern: str) -> Iterator[np.ndarray]:
     """Ids of each text. The vocabulary's pre-tokenizer cuts a text into the matches of the pattern and
-    merges never cross them, so the tokenizer is asked once for each piece."""
-    t, memo, split = tokenizer(path), _memo(path, dtype.str), regex.compile(pattern).findall
+    merges never cross them, so the tokenizer's model is asked once for each piece."""
+    model, memo, split = tokenizer(path).model, _memo(path, dtype.str), splitter(pattern)
+    code = {2: "H", 4: "I"}[dtype.itemsize]
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
         if held < CHARS_AT_ONCE and i + 1 < len(texts):
             continue
         pieces = [split(x) for x in texts[start : i + 1]]
-        new = list(set(chain.from_iterable(pieces)).difference(memo))
+        new = set(chain.from_iterable(pieces)).difference(memo)
         if len(memo) + len(new) > MEMO_PIECES:
             memo.clear()
-            new = list(set(chain.from_iterable(pieces)))
-        for piece, e in zip(new, t.encode_batch(new, add_special_tokens=False)):
-            memo[piece] = np.array(e.ids, dtype).tobytes()
+            new = set(chain.from_iterable(pieces))
+        for piece in new:
+            coded = piece.encode("utf-8").decode("latin-1").translate(_STANDS)
+            memo[piece] = array(code, [token.id for token in model.tokenize(coded)]).tobytes()
         for own in pieces:
             yield np.frombuffer(b"".join([memo[x] for x in own]), dtype)
         for piece in new:
