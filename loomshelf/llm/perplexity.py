@@ -1,9 +1,11 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model runs over symbols: a byte of the UTF-8 text falls into one of 64 classes, so an n-gram of order four
+``judge`` scores under the word bigrams of ``word_ngrams``, whose tables grow with the corpus and stay in Spark.
+
+``train`` builds the smaller model of byte classes, which nothing here scores with. It runs over symbols: a byte of the UTF-8 text falls into one of 64 classes, so an n-gram of order four
 is a number under 64^4 and the whole model has a size bound that no corpus can pass (16.8 million grams). Its
 counts, continuation counts, discounts, back-off weights and probabilities are tables of n-grams, joined and
-grouped by n-gram in Spark; only the finished probabilities go to the tasks that score documents.
+grouped by n-gram in Spark; the finished probabilities are held by the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomshelf.llm import word_ngrams
 from loomshelf.llm.common import settle, whole_text
 
 ORDER, BITS = 4, 6
@@ -143,17 +146,6 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
     return Model(tuple(orders))
 
 
-def log_perplexity(text: Column, model: Model) -> Column:
-    """Mean negative log probability of a byte; NULL for an empty text."""
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = model.table()
-        for part in texts:
-            yield pd.Series([float(-table[grams_of(t)].mean(dtype=np.float64)) if len(t) else None for t in part], dtype="float64")
-
-    return run(text.cast("binary"))
-
-
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     """The bound per language: the quantile of the trusted documents' log-perplexity, and room above it.
 
@@ -179,7 +171,7 @@ def judge(
     """Perplexity of every document and whether it is kept: ``doc_id``, ``text_hash``, ``lang``, ``perplexity``, ``threshold``, ``kept``.
 
     Trusted are the documents that ``labels`` (doc_id, quality) gives quality 1. A document is rejected if its
-    perplexity per byte is above the bound of its language: the ``quantile`` of that language's trusted
+    perplexity per word is above the bound of its language: the ``quantile`` of that language's trusted
     documents, and ``margin`` (in log-perplexity) on top. A language with fewer than ``least_texts`` trusted
     texts has the bound of all trusted texts.
 
@@ -190,11 +182,12 @@ def judge(
     text = whole_text(docs, text_col)
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_llm_id"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     # texts are shuffled at every size; the labels are never taken for small
-    model = train(rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks._llm_id, "left_semi"))
-    if model is None:
-        return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = settle(rows.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), log_perplexity(F.col("text"), model).alias("log_perplexity")), "perplexity")
+    table, unknown = word_ngrams.train(rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks._llm_id, "left_semi").where("text <> ''"))
+    if not unknown:
+        return rows.select("doc_id", "text_hash", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+    scored = settle(word_ngrams.log_perplexities(rows, table, unknown), "perplexity")
     marked = scored.join(marks.withColumn("trusted", F.lit(True)), scored.doc_id == marks._llm_id, "left").drop("_llm_id")
     found = settle(thresholds(marked, quantile, margin), "thresholds")
     own = found.where(~F.col("every") & (F.col("texts") >= least_texts)).select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))

@@ -1,0 +1,194 @@
+"""Interpolated modified Kneser-Ney over word bigrams, with counts, probabilities and scores as tables.
+
+Words are what stands between ASCII blanks, unfolded, with a mark before and after each text; a word is the upper
+63 bits of its xxhash64 and a pair a mix of two of them, so no alphabet or vocabulary bounds the model.
+
+Texts are dealt to two models by their hash, and each is scored by the model of the other half: no text is scored
+by a model that counted it, or the trusted ones would all look better than what they are compared with. The model
+is the lowest bit of every gram, so both are one table and one join.
+
+The log probability of a text is a sum of one number per gram. A pair that was seen adds what it gains over its
+back-off; a word adds its gain over the unknown word and, as it comes before the next, its back-off weight. A gram
+that was never seen adds nothing, so an inner join on the gram finds all that counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomshelf.llm.common import settle
+
+#: Bytes of text that are counted at once in a task.
+CHUNK = 4_000_000
+#: Grams in a batch that a task hands back.
+BATCH = 50_000
+#: Marks before and after a text; with a blank in them they are never words.
+START, END = b" <", b" >"
+_ONE = np.uint64(1)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a pair of words, in the model of the second."""
+    x = v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x & ~_ONE | w & _ONE
+
+
+def start_hash(model: int) -> int:
+    """The mark before a text in a model, signed."""
+    return int((word_hashes([START]) & ~_ONE | np.uint64(model)).view(np.int64)[0])
+
+
+def _words(texts: list[bytes], models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts, marks included: the words, the number of their text, and where a pair begins."""
+    words, sizes = [], []
+    for t in texts:
+        own = t.split()  # on bytes: ASCII blanks only
+        words.append(START)
+        words += own
+        words.append(END)
+        sizes.append(len(own) + 2)
+    codes, distinct = pd.factorize(np.array(words, object))
+    at = np.repeat(np.arange(len(texts)), sizes)
+    hashes = word_hashes(list(distinct))[codes] & ~_ONE | models.astype(np.uint64)[at]
+    return hashes, at, np.flatnonzero(at[1:] == at[:-1])
+
+
+def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts, hashes and models, up to ``CHUNK`` bytes at a time."""
+    texts, rows, size = [], [], 0
+    for part in parts:
+        for row in zip(part["text"], part["text_hash"].to_pylist(), part["model"].to_pylist()):
+            text = row[0].as_py()
+            texts.append(text)
+            rows.append(row[1:])
+            size += len(text)
+            if size >= CHUNK:
+                yield texts, *np.array(rows, np.int64).T
+                texts, rows, size = [], [], 0
+    if texts:
+        yield texts, *np.array(rows, np.int64).T
+
+
+def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, _, models in _chunks(parts):
+        words, _, first = _words(texts, models)
+        v, w = words[first], words[first + 1]
+        grams, at, n = np.unique(pair_hashes(v, w), return_index=True, return_counts=True)
+        out = [a.view(np.int64) for a in (grams, v[at], w[at])] + [n.astype(np.int64)]
+        for i in range(0, len(grams), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + BATCH]) for a in out], ["gram", "v", "w", "n"])
+
+
+def _grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each gram of a chunk with the texts it stands in, once for each time."""
+    for texts, names, models in _chunks(parts):
+        words, at, first = _words(texts, models)
+        grams = np.concatenate([words, pair_hashes(words[first], words[first + 1])]).view(np.int64)
+        order = np.argsort(grams, kind="stable")
+        grams, names = grams[order], names[np.concatenate([at, at[first]])[order]]
+        begins = np.append(np.flatnonzero(np.append(True, grams[1:] != grams[:-1])), len(grams))
+        for i in range(0, len(begins) - 1, BATCH):
+            cut = begins[i : i + BATCH + 1]
+            lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(names[cut[0] : cut[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[cut[:-1]]), lists], ["gram", "texts"])
+
+
+def model_of(text_hash: Column) -> Column:
+    """The model that counts a text."""
+    return text_hash.bitwiseAND(F.lit(1)).cast("int")
+
+
+def n_words(text: Column) -> Column:
+    """Words of a text, with the mark after it."""
+    return F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")) + 1
+
+
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Discounts for counts of 1, 2 and 3 or more, by model."""
+    out = {}
+    for r in counts.groupBy("model").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]).collect():  # two rows
+        n1, n2, n3, n4 = r[1:]
+        if min(n1, n2, n3, n4) > 0:
+            y = n1 / (n1 + 2 * n2)
+            # above zero, so that every context leaves something to what was never seen
+            out[r["model"]] = [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        else:  # too few different counts to estimate
+            out[r["model"]] = [0.5, 0.75, 0.75]
+    return out
+
+
+def _discounted(counts: DataFrame) -> DataFrame:
+    d = F.lit(None).cast("double")
+    for model, (one, two, more) in _discounts(counts).items():
+        d = F.when(F.col("model") == model, F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)).otherwise(d)
+    return counts.withColumn("d", d)
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """What each gram adds to a log probability (``gram``, ``adds``), and the unknown word's by model.
+
+    ``trusted``: ``text``, ``text_hash``. Every pair of words of every text is counted, in the model of its text.
+    A model without a text is not among the models.
+    """
+    texts = trusted.select(F.col("text").cast("binary").alias("text"), "text_hash", model_of(F.col("text_hash")).alias("model"))
+    counted = texts.mapInArrow(_pairs, "gram bigint, v bigint, w bigint, n bigint")
+    pairs = settle(counted.groupBy("gram", "v", "w").agg(F.sum("n").alias("n")).withColumn("model", model_of(F.col("gram"))), "pairs")
+    # a word counts the different words before it
+    words = settle(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("model", model_of(F.col("w"))), "words")
+    pairs, words = _discounted(pairs), _discounted(words)
+    unknown, p = {}, F.lit(None).cast("double")
+    for r in words.groupBy("model").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"), F.count(F.lit(1)).alias("size")).collect():  # two rows
+        rest = r["freed"] / r["total"] / (r["size"] + 1)
+        unknown[r["model"]] = float(np.log(rest))
+        p = F.when(F.col("model") == r["model"], (F.col("n") - F.col("d")) / r["total"] + rest).otherwise(p)
+    own = words.select("w", "model", p.alias("q"))
+    left = pairs.groupBy("v").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+    joined = pairs.join(left, "v").join(own.select("w", "q"), "w")
+    gain = F.log(((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")) / (F.col("weight") * F.col("q")))
+    base = F.lit(None).cast("double")
+    for model, value in unknown.items():
+        base = F.when(F.col("model") == model, value).otherwise(base)
+    one = own.select(F.col("w").alias("gram"), (F.log("q") - base).alias("adds")).unionByName(left.select(F.col("v").alias("gram"), F.log("weight").alias("adds")))
+    table = one.groupBy("gram").agg(F.sum("adds").alias("adds")).unionByName(joined.select("gram", gain.alias("adds")))
+    return settle(table, "probabilities"), unknown
+
+
+def scoring_model(text_hash: Column, unknown: dict[int, float]) -> Column:
+    """The model that scores a text: not the one that counts it, unless there is only one."""
+    return 1 - model_of(text_hash) if len(unknown) == 2 else F.lit(next(iter(unknown)))
+
+
+def log_perplexities(docs: DataFrame, table: DataFrame, unknown: dict[int, float]) -> DataFrame:
+    """Mean negative log probability of a word, the end of the text with it: ``doc_id``, ``lang``, ``text_hash``, ``log_perplexity``.
+
+    ``docs`` has these and ``text``; NULL for an empty text. The grams of many texts are gathered into one row each
+    before they meet the model, so a gram that is in every text does not have a row for every text.
+    """
+    own = docs.where("text <> ''")
+    texts = own.select(F.col("text").cast("binary").alias("text"), "text_hash", scoring_model(F.col("text_hash"), unknown).cast("int").alias("model"))
+    grams = texts.mapInArrow(_grams, "gram bigint, texts array<bigint>")
+    found = (
+        grams.join(table.hint("merge"), "gram")
+        .select(F.explode("texts").alias("_text"), "adds", F.col("gram").isin([start_hash(m) for m in unknown]).cast("long").alias("_copy"))
+        .groupBy("_text")
+        .agg((F.sum("adds") / F.sum("_copy")).alias("_adds"))  # repeats of a text add up to so many times its sum
+    )
+    base = F.lit(None).cast("double")
+    for model, value in unknown.items():
+        base = F.when(scoring_model(F.col("text_hash"), unknown) == model, value).otherwise(base)
+    narrow = docs.select("doc_id", "lang", "text_hash", F.when(F.col("text") != "", n_words(F.col("text"))).alias("_words"))
+    joined = narrow.join(found.hint("merge"), narrow.text_hash == found._text, "left")
+    return joined.select("doc_id", "lang", "text_hash", (-(base + F.col("_adds") / F.col("_words"))).alias("log_perplexity"))

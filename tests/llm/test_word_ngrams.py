@@ -1,0 +1,95 @@
+"""Word-bigram perplexity against plain dictionaries."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomshelf.llm import word_ngrams
+from loomshelf.llm.perplexity import judge
+
+
+def plain_model(texts):
+    """Log probability of a word after another under the same model."""
+    pairs = Counter()
+    for t in texts:
+        own = ["<", *t.split(), ">"]
+        pairs.update(zip(own, own[1:]))
+    before = Counter(w for _, w in pairs)
+
+    def discounts(c):
+        n = Counter(c.values())
+        n1, n2, n3, n4 = (n[i] for i in range(1, 5))
+        if not min(n1, n2, n3, n4):
+            return [0.5, 0.75, 0.75]
+        y = n1 / (n1 + 2 * n2)
+        return [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    d2, d1 = discounts(pairs), discounts(before)
+    off = lambda d, n: d[min(n, 3) - 1] if n else 0
+    total = sum(before.values())
+    rest = sum(off(d1, n) for n in before.values()) / total / (len(before) + 1)
+
+    def p(v, w):
+        q = (before[w] - off(d1, before[w])) / total + rest
+        follow = [n for (a, _), n in pairs.items() if a == v]
+        if not follow:
+            return q
+        n = pairs[v, w]
+        return (n - off(d2, n)) / sum(follow) + sum(off(d2, n) for n in follow) / sum(follow) * q
+
+    return p, [*before]
+
+
+def plain_log_perplexity(p, text):
+    own = ["<", *text.split(), ">"]
+    return -sum(math.log(p(v, w)) for v, w in zip(own, own[1:])) / (len(own) - 1)
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_scores_are_modified_kneser_ney_of_the_other_half(spark, size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 2)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(size)]
+    others = [texts[0], texts[0] + "\n", "never seen", "a\x0bb  c", " ", "", "a zzz b ab é a a"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts + others + others)], "doc_id bigint, lang string, text string")
+    docs = docs.withColumn("text_hash", F.xxhash64("text")).repartition(3)
+    trusted = docs.where(F.col("doc_id") < size)
+    table, unknown = word_ngrams.train(trusted)
+    halves = {m: [r.text for r in trusted.collect() if r.text_hash & 1 == m] for m in (0, 1)}
+    models = {m: plain_model(own)[0] for m, own in halves.items() if own}
+    assert set(unknown) == set(models)
+    got = word_ngrams.log_perplexities(docs, table, unknown).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(got) == size + 2 * len(others)
+    for r in got:
+        by = 1 - (r.text_hash & 1) if len(models) == 2 else next(iter(models))
+        assert r.log_perplexity is None if r.text == "" else math.isclose(r.log_perplexity, plain_log_perplexity(models[by], r.text), rel_tol=1e-9)
+
+
+def test_probabilities_add_up_to_one():
+    p, words = plain_model(["a b a c", "b a d d", "c"])
+    rest = p("none", "never seen")
+    for v in ["<", *words, "none"]:
+        assert math.isclose(sum(p(v, w) for w in words) + p(v, "never seen"), 1) and rest > 0
+
+
+def test_gathered_tables_grow_with_the_input(spark):
+    def held(n):
+        texts = spark.range(n).select(F.concat_ws(" ", *[F.md5(F.concat(F.col("id"), F.lit(f"-{k}"))) for k in range(20)]).alias("text"))
+        table, _ = word_ngrams.train(texts.withColumn("text_hash", F.xxhash64("text")))
+        return table.count()
+
+    assert held(400) > 9 * held(40)
+
+
+def test_words_of_the_right_letters_in_no_known_order_are_rejected(spark):
+    """The classes of bytes are those of trusted text; only the words are not."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeiou") + rng.choice("nrst") for _ in range(3)) for _ in range(60)]
+    good = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(120)]
+    bad = [" ".join(w[::-1] for w in t.split()) for t in good[:5]]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(good + bad)], "doc_id bigint, lang string, text string")
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert {r.doc_id for r in judge(docs, labels, margin=0.2).where("NOT kept").collect()} == set(range(120, 125))
