@@ -315,6 +315,13 @@ def ig14(spark, sf):
     return rounded(ig.correct_names(english.where(F.length("name") >= 5), dictionary), "similarity")
 
 
+@query("ig14_correct_all_names")
+def ig14b(spark, sf):
+    """Names of every language, script and length; ``ig14_correct_names`` is held to what its SQL can compare in time."""
+    names = docs(spark, sf).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("name"))
+    return rounded(ig.correct_names(names, known_words(spark, sf, 1)), "similarity")
+
+
 SIMPLE = r"""SELECT * FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, original,
 regexp_replace(CASE WHEN regexp_matches(c, '^CI\d+') THEN c ELSE regexp_replace(c, '\d+$', '') END, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') AS normalized FROM (
 SELECT doc_id, pos, original, regexp_replace(regexp_replace(regexp_replace(original, '\([^)]*\)', '', 'g'), '\[[^\]]*\]', '', 'g'), '[±*★☆※]', '', 'g') AS c FROM (
@@ -554,7 +561,7 @@ def ig25(spark, sf):
 
 @query("ig25_extract_by_mode")
 def ig25b(spark, sf):
-    return ig.extract_by_mode(docs(spark, sf), ["doc_id"], known_words(spark, sf))
+    return ig.extract_by_mode(docs(spark, sf), ["doc_id"], known_words(spark, sf, 1))
 
 
 @query(
