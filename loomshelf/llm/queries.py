@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshelf.llm import byte_bpe, secrets, token_files, toxicity, warc
+from loomshelf.llm import byte_bpe, merkle, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.decontaminate import leaks
 from loomshelf.llm.exact_dedup import exact_dedup
@@ -79,6 +79,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(struck, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, field_cols=fields, presented=merkle.leaf_digest(*[docs[c] for c in fields[:-1]], text))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secrets": op2_secrets,
@@ -90,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
@@ -119,4 +137,38 @@ WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM d
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words, o = q AS kept, q // 1000000000 AS keep_doc_id,
        CAST(q % 1000000000 AS INTEGER) AS keep_line_no
 FROM c JOIN g ON c.k = g.k""",
+    "op13_merkle": r"""
+WITH RECURSIVE d AS (
+       SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i,
+              list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                          lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END) % 2 = 1 AS struck
+       FROM documents),
+     h AS (SELECT doc_id, g, i, struck, replace(text, chr(10), '') AS t,
+                  concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END,
+                                CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                                CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                                CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS head,
+                  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS own FROM d),
+     l AS (SELECT doc_id, g, i, sha256(head || own) AS leaf,
+                  sha256(head || CASE WHEN coalesce(struck, FALSE) AND t IS NOT NULL THEN strlen(t) || ':' || t ELSE own END) AS shown FROM h),
+     u AS (SELECT 0 AS lvl, g, i, leaf AS x, count(*) OVER (PARTITION BY g) AS n FROM l
+           UNION ALL
+           SELECT lvl + 1, g, i // 3, sha256(string_agg(x, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, g, i // 3, n),
+     s AS (SELECT g, x AS subroot FROM u WHERE n = 1),
+     v AS (SELECT 0 AS lvl, g AS i, subroot AS x, count(*) OVER () AS n FROM s
+           UNION ALL
+           SELECT lvl + 1, i // 3, sha256(string_agg(x, '' ORDER BY i)), (n + 2) // 3 FROM v WHERE n > 1 GROUP BY lvl, i // 3, n),
+     a AS (SELECT lvl, g, i, x, n FROM u UNION ALL SELECT lvl + 1000, -1, i, x, n FROM v),
+     r AS (SELECT lvl, g, i, coalesce(string_agg(x, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS le,
+                  coalesce(string_agg(x, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS ri
+           FROM a WHERE n > 1 WINDOW w AS (PARTITION BY lvl, g, i // 3 ORDER BY i)),
+     p AS (SELECT l.doc_id, l.g, l.i, list({'le': r.le, 'ri': r.ri} ORDER BY r.lvl) FILTER (r.lvl IS NOT NULL) AS steps
+           FROM l LEFT JOIN r ON (r.lvl < 1000 AND r.g = l.g AND r.i = l.i // CAST(pow(3, r.lvl) AS BIGINT))
+                              OR (r.lvl >= 1000 AND r.i = l.g // CAST(pow(3, r.lvl - 1000) AS BIGINT)) GROUP BY ALL),
+     f AS (SELECT l.doc_id, leaf, subroot, (SELECT x FROM v WHERE n = 1) AS root, coalesce(steps, []) AS steps,
+                  list_reduce(list_concat([{'le': shown, 'ri': ''}], coalesce(steps, [])), lambda y, z: {'le': sha256(z.le || y.le || z.ri), 'ri': ''}).le AS folded_root
+           FROM l JOIN s ON l.g = s.g JOIN p ON p.g = l.g AND p.i = l.i)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda z: z.le || z.ri), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM f""",
 }
