@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshelf.llm import byte_bpe, merkle, secrets, token_files, toxicity, warc
+from loomshelf.llm import byte_bpe, merkle, secrets, spelling, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.decontaminate import leaks
 from loomshelf.llm.exact_dedup import exact_dedup
@@ -79,6 +79,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), slip=97))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
     "op13_merkle": op13_merkle,
 }
 
@@ -137,6 +142,26 @@ WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM d
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words, o = q AS kept, q // 1000000000 AS keep_doc_id,
        CAST(q % 1000000000 AS INTEGER) AS keep_line_no
 FROM c JOIN g ON c.k = g.k""",
+    "op11_spelling": r"""
+WITH RECURSIVE z AS (SELECT list(list_reduce([k, -1, -1, -1, -1, -1, -1, -1, -1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY k) AS z FROM (SELECT unnest(range(256)) AS k)),
+     r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+     g AS (SELECT doc_id, r, count(*) AS n FROM r WHERE length(r) >= 5 GROUP BY ALL),
+     h AS (SELECT r, n, xor(4294967295, list_reduce(list_concat([4294967295],
+                  flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))),
+                  lambda x, y: xor(x >> 8, z.z[(xor(x, y) & 255) + 1]))) AS h
+           FROM g, z),
+     c AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM h),
+     w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     v AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+     p AS (SELECT a.word, b.word AS near, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+           UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word
+           UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+     q AS (SELECT word, count(*) AS n_near, min({'m': -m, 'near': near}) AS best FROM p GROUP BY word),
+     f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.near END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n
+           FROM w LEFT JOIN q ON w.word = q.word),
+     t AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT t.word, f.form, k + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL),
+     e AS (SELECT word, arg_max(root, k) AS root FROM t GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON f.word = e.word""",
     "op13_merkle": r"""
 WITH RECURSIVE d AS (
        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i,
