@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomshelf.llm import byte_bpe, merkle, secrets, spelling, token_files, toxicity, warc
+from loomshelf.llm import byte_bpe, merkle, pii, secrets, spelling, token_files, toxicity, warc
 from loomshelf.llm.common import read
 from loomshelf.llm.decontaminate import leaks
 from loomshelf.llm.exact_dedup import exact_dedup
@@ -83,6 +83,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), slip=97))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -112,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
+    "op12_pii": op12_pii,
     "op13_merkle": op13_merkle,
 }
 
