@@ -54,6 +54,26 @@ def whole_text(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+#: Bits of the bitmap of ids in ``maybe_among``: 2 MB.
+ID_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """A column ``_maybe``: whether the key may be among ``ids`` (one column). True for all that are, and for others by chance.
+
+    A bitmap of ``ID_BITS`` bits goes to every task, so rows that cannot match need not be shuffled for the exact
+    join that has to follow. Where ids are more than the bitmap can tell apart, more rows pass and nothing is lost.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(ID_BITS - 1))
+    marks = ids.select(place(F.col(ids.columns[0])).alias("_place")).select(F.shiftright("_place", 15).alias("_bucket"), F.col("_place").bitwiseAND(F.lit(32767)).alias("_bit"))
+    bitmaps = marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))  # 512 rows of 4 KB at most
+    placed = df.withColumn("_place", place(key))
+    met = placed.join(F.broadcast(bitmaps), F.shiftright("_place", 15) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST((_place & 32767) >> 3 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("1 << CAST(_place & 7 AS INT)").bitwiseAND(byte) != 0, F.lit(False))
+    return met.withColumn("_maybe", hit).drop("_place", "_bucket", "_bits")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Root (smallest member) of every node that has an edge: columns ``node``, ``root``.
 

@@ -1,151 +1,18 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-``judge`` scores under the word bigrams of ``word_ngrams``, whose tables grow with the corpus and stay in Spark.
-
-``train`` builds the smaller model of byte classes, which nothing here scores with. It runs over symbols: a byte of the UTF-8 text falls into one of 64 classes, so an n-gram of order four
-is a number under 64^4 and the whole model has a size bound that no corpus can pass (16.8 million grams). Its
-counts, continuation counts, discounts, back-off weights and probabilities are tables of n-grams, joined and
-grouped by n-gram in Spark; the finished probabilities are held by the driver.
-"""
+"""Quality by perplexity under the Kneser-Ney model of trusted text in ``byte_ngrams``, with a bound per language."""
 
 from __future__ import annotations
 
-import string
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomshelf.llm import word_ngrams
-from loomshelf.llm.common import settle, whole_text
+from loomshelf.llm import byte_ngrams
+from loomshelf.llm.common import maybe_among, settle, whole_text
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: Symbols counted at once in a task.
-CHUNK = 2_000_000
 #: Width of the bins of log-perplexity in which quantiles are found.
 BIN = 0.001
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte; 0 is what stands before a text."""
-    out = np.zeros(256, np.int32)
-    for i, c in enumerate(string.ascii_lowercase):
-        out[ord(c)] = 1 + i
-    out[[ord(c) for c in string.ascii_uppercase]] = 27
-    out[[ord(c) for c in string.digits]] = 28
-    out[[ord(c) for c in " \t"]] = 29
-    out[[ord(c) for c in "\n\r"]] = 30
-    for i, c in enumerate(".,!?'\"-:;|&%$#*"):
-        out[ord(c)] = 31 + i
-    rest = [i for i in range(128) if out[i] == 0]
-    out[rest] = 46  # other signs and control characters
-    out[0xC0:] = 48
-    out[[0xC2, 0xC3]] = 47
-    out[0x80:0xC0] = 49 + np.arange(64) % 15
-    return out
-
-
-_CLASS = _classes()
-
-
-def grams_of(text: bytes) -> np.ndarray:
-    """Number of the four-gram that ends at each byte of a text."""
-    s = np.concatenate([np.zeros(ORDER - 1, np.int32), _CLASS[np.frombuffer(text, np.uint8)]])
-    code = s[: len(text)].copy()
-    for k in range(1, ORDER):
-        code = (code << BITS) | s[k : k + len(text)]
-    return code
-
-
-def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
-
-    def tally() -> pd.DataFrame:
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"gram": codes.astype(np.int32), "n": n.astype(np.int64)})
-
-    for part in parts:
-        for text in part["text"]:
-            held.append(grams_of(text))
-            size += len(text)
-            if size >= CHUNK:
-                yield tally()
-                held, size = [], 0
-    if size:
-        yield tally()
-
-
-@dataclass(frozen=True)
-class Model:
-    """Per order, from 1: grams and their probabilities, contexts and their back-off weights."""
-
-    orders: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
-
-    def table(self) -> np.ndarray:
-        """Log probability of every four-gram, seen or not."""
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        for k, (grams, probs, contexts, weights) in enumerate(self.orders, 1):
-            back = np.ones(SYMBOLS ** (k - 1), np.float32)
-            back[contexts] = weights
-            # a gram that was never seen: the weight of its context times the probability of its end
-            ends = p.reshape(1, -1, SYMBOLS)
-            out = np.empty(SYMBOLS**k, np.float32)
-            np.multiply(back.reshape(-1, ends.shape[1], 1), ends, out=out.reshape(-1, ends.shape[1], SYMBOLS))
-            out[grams] = probs
-            p = out
-        return np.log(p, out=p)
-
-
-def _order_tables(c: DataFrame, k: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Probabilities (gram, p) and back-off weights (context, weight) of one order out of its counts (gram, n)."""
-    of = c.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]).first()
-    n1, n2, n3, n4 = (of[f"n{i}"] for i in range(1, 5))
-    if min(n1, n2, n3, n4) > 0:
-        y = n1 / (n1 + 2 * n2)
-        # above zero, so that every context leaves something to what was never seen
-        d = [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    else:  # too few different counts to estimate
-        d = [0.5, 0.75, 0.75]
-    c = c.withColumn("context", F.shiftright("gram", BITS)).withColumn(
-        "d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    )
-    weights = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")).withColumn("weight", F.col("freed") / F.col("total"))
-    joined = c.join(weights, "context")
-    if lower is None:
-        joined = joined.withColumn("q", F.lit(1 / SYMBOLS))
-    else:
-        joined = joined.withColumn("end", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(
-            lower.select(F.col("gram").alias("end"), F.col("p").alias("q")), "end"
-        )
-    probs = joined.select("gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
-    return probs, weights.select("context", "weight")
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
-    """The model of all trusted texts; None if they hold nothing. Every gram is counted, over every text."""
-    texts = trusted.select(whole_text(trusted, text_col).cast("binary").alias("text"))
-    counts = settle(texts.mapInPandas(_counts, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    by_order = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # below the highest order a gram counts the different symbols before it
-        higher = by_order[k + 1].select(F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram"))
-        by_order[k] = settle(higher.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
-    orders, lower = [], None
-    for k in range(1, ORDER + 1):
-        probs, weights = _order_tables(by_order[k], k, lower)
-        lower = settle(probs, "probabilities")
-        # at most 64^4 rows by the size of the alphabet
-        p, w = lower.toPandas(), weights.toPandas()
-        if p.empty:
-            return None
-        orders.append((p["gram"].to_numpy(np.int32), p["p"].to_numpy(np.float32), w["context"].to_numpy(np.int32), w["weight"].to_numpy(np.float32)))
-    return Model(tuple(orders))
-
-
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     """The bound per language: the quantile of the trusted documents' log-perplexity, and room above it.
 
@@ -171,7 +38,7 @@ def judge(
     """Perplexity of every document and whether it is kept: ``doc_id``, ``text_hash``, ``lang``, ``perplexity``, ``threshold``, ``kept``.
 
     Trusted are the documents that ``labels`` (doc_id, quality) gives quality 1. A document is rejected if its
-    perplexity per word is above the bound of its language: the ``quantile`` of that language's trusted
+    perplexity per byte is above the bound of its language: the ``quantile`` of that language's trusted
     documents, and ``margin`` (in log-perplexity) on top. A language with fewer than ``least_texts`` trusted
     texts has the bound of all trusted texts.
 
@@ -183,11 +50,13 @@ def judge(
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_llm_id"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].cast("string").alias("lang"), text.alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    # texts are shuffled at every size; the labels are never taken for small
-    table, unknown = word_ngrams.train(rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks._llm_id, "left_semi").where("text <> ''"))
-    if not unknown:
+    # only texts that may be trusted are shuffled to find those that are
+    maybe = maybe_among(rows.where("text <> ''"), F.col("doc_id"), marks).where("_maybe").drop("_maybe")
+    model = byte_ngrams.train(maybe.join(marks.hint("shuffle_hash"), maybe.doc_id == marks._llm_id, "left_semi"))
+    if model is None:
         return rows.select("doc_id", "text_hash", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = settle(word_ngrams.log_perplexities(rows, table, unknown), "perplexity")
+    scored = byte_ngrams.log_perplexities(rows, model)
+    model.forget()
     marked = scored.join(marks.withColumn("trusted", F.lit(True)), scored.doc_id == marks._llm_id, "left").drop("_llm_id")
     found = settle(thresholds(marked, quantile, margin), "thresholds")
     own = found.where(~F.col("every") & (F.col("texts") >= least_texts)).select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
@@ -207,6 +76,9 @@ def judge(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The documents that ``judge`` keeps; same columns. Rows that repeat an id and its text share the verdict."""
     verdicts = judge(docs, labels, id_col, text_col, lang_col, **options)
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct()
+    gone = settle(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash")).distinct(), "rejected")
     own = docs.withColumn("_llm_own", F.xxhash64(whole_text(docs, text_col)))
-    return own.join(gone.hint("shuffle_hash"), own[id_col].eqNullSafe(gone._llm_id) & (own._llm_own == gone._llm_hash), "left_anti").drop("_llm_own")
+    marked = maybe_among(own, F.col("_llm_own"), gone.select("_llm_hash"))
+    # only texts that may be rejected are shuffled
+    left = marked.where("_maybe").join(gone.hint("shuffle_hash"), marked[id_col].eqNullSafe(gone._llm_id) & (marked._llm_own == gone._llm_hash), "left_anti")
+    return marked.where("NOT _maybe").unionByName(left).select(*docs.columns)

@@ -143,14 +143,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = placed.join(names, "_root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(named, rows.fp == named._fp).select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
-    """The documents with one, that of the smallest id, left of each component; same columns.
-
-    Of rows that repeat an id and its text one stays. Rows without an id are all kept.
-    """
-    stay = simhash_components(docs, id_col, text_col, width, bits).select(F.col("component_id").alias("_llm_id")).distinct()
-    own = docs.withColumn("_llm_text", F.xxhash64(whole_text(docs, text_col)))
-    kept = own.join(stay.hint("merge"), own[id_col] == stay._llm_id, "left_semi").dropDuplicates([id_col, "_llm_text"])
-    return kept.unionByName(own.where(own[id_col].isNull())).drop("_llm_text")

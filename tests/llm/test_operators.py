@@ -5,7 +5,6 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -19,8 +18,8 @@ from loomshelf.llm import byte_bpe, decontaminate, secrets, token_files, toxicit
 from loomshelf.llm.common import connected_components
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.line_dedup import drop_lines, line_verdicts
-from loomshelf.llm.perplexity import SYMBOLS, grams_of, judge, keep_good, train
-from loomshelf.llm.simhash import bucket_edges, fingerprint_of, keep_one, simhash_components
+from loomshelf.llm.perplexity import judge, keep_good
+from loomshelf.llm.simhash import bucket_edges, fingerprint_of, simhash_components
 
 # columns with the names the operators use inside
 CLASHING = ["n", "key", "first", "root", "node", "fp", "v", "words", "size", "row", "at", "keys", "spans", "c", "a", "b", "to", "kept", "lines", "text_hash", "line_no", "gram", "bound", "trusted", "token", "h"]
@@ -188,45 +187,6 @@ def test_bpe_is_that_of_tiktoken(spark, awkward, empty):
 # quality
 
 
-def plain_model(texts):
-    """The same model with dictionaries, for one context after the other."""
-    seqs = [[0, 0, 0, *[int(g) & 63 for g in grams_of(t.encode())]] for t in texts]
-    counts = {4: Counter(tuple(s[i : i + 4]) for s in seqs for i in range(len(s) - 3))}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-
-    def discounts(c):
-        n = Counter(c.values())
-        n1, n2, n3, n4 = (n[i] for i in range(1, 5))
-        if not min(n1, n2, n3, n4):
-            return [0.5, 0.75, 0.75]
-        y = n1 / (n1 + 2 * n2)
-        return [max(0.1, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-
-    d = {k: discounts(c) for k, c in counts.items()}
-
-    def p(gram):
-        k = len(gram)
-        lower = p(gram[1:]) if k > 1 else 1 / SYMBOLS
-        follow = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
-        if not follow:
-            return lower
-        total, off = sum(follow.values()), lambda n: d[k][min(n, 3) - 1]
-        own = follow.get(gram, 0)
-        return (own - off(own) if own else 0) / total + sum(map(off, follow.values())) / total * lower
-
-    return p
-
-
-def test_model_is_modified_kneser_ney(spark):
-    texts = ["the cat sat on the mat. the dog sat.", "a cat and a dog, and the rat!", "mats and cats and dogs and rats"] * 2 + ["thin"]
-    table = train(make(spark, list(enumerate(texts)))).table()
-    assert np.allclose(np.exp(table).reshape(-1, SYMBOLS).sum(axis=1), 1, atol=1e-4)
-    p = plain_model(texts)
-    for g in [*{int(x) for t in texts for x in grams_of(t.encode())}, 5, 12345, 16_000_000]:
-        assert np.isclose(np.exp(table[g]), p((g >> 18, g >> 12 & 63, g >> 6 & 63, g & 63)), rtol=1e-3)
-
-
 def test_quality_rejects_what_reads_unlike_trusted_text(spark, awkward, empty):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeiou") + rng.choice("nrst") for _ in range(rng.randint(1, 3)))
@@ -273,15 +233,7 @@ def test_components(spark, awkward, empty):
     got = {(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash_components(awkward).collect()}
     prints = [plain_fingerprint(t or "") for _, t in AWKWARD]
     assert got == set(zip([i for i, _ in AWKWARD], prints, components([i for i, _ in AWKWARD], prints)))
-    assert simhash_components(empty).collect() == [] and keep_one(empty).collect() == []
-
-
-def test_one_of_each_group_stays(spark, awkward):
-    left = keep_one(awkward)
-    assert left.columns == awkward.columns
-    ids = sorted((r.doc_id for r in left.collect()), key=lambda i: (i is None, i))
-    named = {r.component_id for r in simhash_components(awkward).collect()}
-    assert ids == sorted(i for i in named if i is not None) + [None, None]
+    assert simhash_components(empty).collect() == []
 
 
 @pytest.mark.parametrize("size", [3, 60, 700])
