@@ -10,8 +10,8 @@ by a model that counted it, or the trusted ones would all look better than what
 The log probability of a text is a sum of one number per occurrence of an n-gram of any order: what the n-gram gains
 over its back-off, and, as the context of what follows, its own back-off weight. An n-gram that was never seen adds
 nothing, so an inner join on the n-gram finds all that counts. The join is sharded by n-gram and split for its heavy
-hitters: the most frequent ``HOT`` n-grams, a bounded table, are met where the text is read; of the others a text
-sends only those that a filter of fixed size does not rule out, one row for each n-gram of a batch of texts.
+hitters: n-grams that make up ``HOT_SHARE`` or more, ``HOT`` at most, are met where the text is read; of the others a
+text sends only those that a filter of fixed size does not rule out, one row for each n-gram of a batch of texts.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ from loomshelf.llm.common import forget, settle
 ORDER = 6
 #: Bytes before and after a text.
 START, END = 0, 255
-#: N-grams that every task holds, at most, and bits of the filter over the others.
-HOT, FILTER_BITS = 2_000_000, 1 << 26
+#: Share of all counted bytes from which an n-gram is frequent, n-grams that every task holds at most, and bits of
+#: the filter over the others. By the share, what texts send is in proportion to them at every size.
+HOT_SHARE, HOT, FILTER_BITS = 2.5e-8, 2_000_000, 1 << 26
 #: Bytes of text that are counted or scored at once in a task, and rows in a batch that it hands back.
 CHUNK, BATCH = 3_000_000, 50_000
 _MODEL, _TAG = 56, 48
@@ -146,7 +147,7 @@ class Model:
             forget(table)
 
 
-def train(trusted: DataFrame, hot: int = HOT) -> Model | None:
+def train(trusted: DataFrame, hot: int = HOT, hot_share: float = HOT_SHARE) -> Model | None:
     """The model of all trusted texts (``text``, ``text_hash``); None if there is no text.
 
     Every n-gram of every text is counted, in the model of its text, over whole texts of any length.
@@ -161,6 +162,7 @@ def train(trusted: DataFrame, hot: int = HOT) -> Model | None:
     for level in levels[1:]:
         every = every.union(level)
     d = _discounts(every)
+    total = levels[0].agg(F.sum("n")).first()[0] or 0  # one number
     known, probabilities, base = [], None, {}
     for order, level in enumerate(reversed(levels), 1):
         # a context has 256 rows at most
@@ -194,12 +196,13 @@ def train(trusted: DataFrame, hot: int = HOT) -> Model | None:
     # the least heat that every task holds, from the sizes of at most a few hundred bins
     warmth = F.floor(F.log2(F.greatest("heat", F.lit(1))) * 8)
     least, held = None, 0
-    for r in sorted(table.groupBy(warmth.alias("warmth")).count().collect(), reverse=True):
+    frequent = table.where(F.col("heat") >= total * hot_share)
+    for r in sorted(frequent.groupBy(warmth.alias("warmth")).count().collect(), reverse=True):
         held += r["count"]
         if held > hot:
             break
         least = r["warmth"]
-    is_hot = warmth >= least if least is not None else F.lit(False)
+    is_hot = (warmth >= least) & (F.col("heat") >= total * hot_share) if least is not None else F.lit(False)
     frequent = settle(table.where(is_hot).select("key", F.col("adds").cast("float").alias("adds")), "hot-grams")
     rest = settle(table.where(~is_hot).select("key", "adds"), "grams")
     bits = rest.select("key").mapInArrow(_bits, "bucket int, bit bigint")

@@ -57,10 +57,29 @@ def some_texts(seed, size):
     return [" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(size)]
 
 
-@pytest.mark.parametrize(("size", "hot", "chunk"), [(40, 2_000_000, 3_000_000), (40, 0, 3_000_000), (40, 300, 50), (1, 20, 7)])
-def test_scores_are_modified_kneser_ney_of_the_other_half(spark, monkeypatch, size, hot, chunk):
-    """Whether all n-grams are held by every task, none or some, and wherever texts are cut."""
-    monkeypatch.setattr(byte_ngrams, "CHUNK", chunk)
+@pytest.mark.parametrize("lead", [0, 1])
+def test_texts_may_be_cut_anywhere(monkeypatch, lead):
+    texts = [t.encode() for t in some_texts(9, 20)] + [b"", b"\0\0", b"x" * 100]
+
+    def held():
+        grams, symbols = Counter(), Counter()
+        for pieces, names, models in byte_ngrams._pieces((((i,), t, i % 2) for i, t in enumerate(texts)), lead):
+            codes, at = byte_ngrams._codes(pieces, models)
+            grams.update((names[p][0], c) for p, c in zip(at.tolist(), codes.tolist()))
+            for name, n in names:
+                symbols[name] += n
+        return grams, symbols
+
+    whole = held()
+    assert whole[1] == {i: len(t) + 1 for i, t in enumerate(texts)}
+    for chunk in (1, 7, 50):
+        monkeypatch.setattr(byte_ngrams, "CHUNK", chunk)
+        assert held() == whole
+
+
+@pytest.mark.parametrize(("size", "hot"), [(40, 2_000_000), (40, 0), (40, 300), (1, 20)])
+def test_scores_are_modified_kneser_ney_of_the_other_half(spark, size, hot):
+    """Whether all n-grams are held by every task, none or some."""
     texts = some_texts(size, size)
     others = [texts[0], texts[0] + "\n", "never seen", "a\x0bb  c", " ", "", "a zzz b ab é a a", "\0\0\0\0\0\0\0", "x" * 200]
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts + others + others)], "doc_id bigint, lang string, text string")
