@@ -25,6 +25,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: Bytes of records a dictionary is built from, of the dictionary, and of raw records in one archive.
 TRAIN_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 128 << 20
+#: An archive of fewer bytes has no dictionary; with fewer records than this, records are cut into samples.
+LEAST_BYTES, SAMPLES = 8 << 10, 64
 _MANIFEST = "archive string, records bigint, raw_bytes bigint"
 _RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
@@ -58,17 +60,30 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: b
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A trained dictionary, or None where there is too little to learn from."""
-    if len(samples) < 16:
+def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary trained on the first ``TRAIN_BYTES`` of the records; None for less than ``LEAST_BYTES``.
+
+    Where records are few and long, pieces of them are the samples.
+    """
+    samples, size = [], 0
+    for item in records:
+        samples.append(item[: TRAIN_BYTES - size])
+        size += len(samples[-1])
+        if size >= TRAIN_BYTES:
+            break
+    if size < LEAST_BYTES:
         return None
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    while size >= 1024:  # records much alike fill only a smaller one
+    if len(samples) < SAMPLES:
+        piece = size // SAMPLES
+        samples = [x[i : i + piece] for x in samples for i in range(0, len(x), piece)]
+    wanted = min(DICTIONARY_BYTES, size // 8)
+    while wanted >= 256:  # records much alike fill only a smaller one
         try:
-            return zstandard.train_dictionary(size, samples)
+            return zstandard.train_dictionary(wanted, samples)
         except zstandard.ZstdError:
-            size //= 4
-    return None
+            wanted //= 4
+    # nothing repeats enough to be learned: the end of the samples serves as it is
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-min(DICTIONARY_BYTES, size // 8) :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
@@ -176,7 +191,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     payloads move once, by page. A NULL payload is empty, a NULL url is left out, NULL ids are written
     without a number and never are the largest. Rows that repeat an id and a payload share its type. An empty
     table gives no archive. Archives are named anew by each attempt and count only by the manifest, which
-    Spark commits, so a lost executor leaves unlisted files at most.
+    Spark commits, so a lost executor leaves unlisted files at most. Every archive of ``LEAST_BYTES`` or more begins
+    with its dictionary; a record is held whole, however long.
 
     ``folder`` must be one that all executors see; by default it lies in the shared folder.
     """
@@ -214,7 +230,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the archives of a manifest, payloads included (NULL for revisits)."""
+    """The records of the archives of a manifest, payloads included (NULL for revisits).
+
+    Every archive is a task of its own. A row for each record, repeats too; empty payloads come back empty, long
+    ones whole. An empty manifest gives no records; a damaged payload raises. Other columns are not read.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -251,5 +271,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield frame(rows)
 
-    # one archive is one unit of work: deal them out evenly
-    return manifest.select("archive").repartition("archive").mapInPandas(run, _RECORDS)
+    # a number that adaptive execution keeps, and ranges, which give every name a task where hashes would collide
+    n = max(1, manifest.count())
+    return manifest.select("archive").repartitionByRange(n, "archive").mapInPandas(run, _RECORDS)
