@@ -34,13 +34,15 @@ from loomshelf.llm.common import new_path, settle, whole_text
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 LENGTH, BATCH_ROWS = 2048, 64
+#: Ids after which a task goes on in another shard.
+SHARD_IDS = 1 << 28
 #: Characters that the tokenizer takes at once: it holds much more than the ids meanwhile.
 CHARS_AT_ONCE = 500_000
 #: Bounds of the piece memo: entries, and the longest piece that is kept.
 MEMO_PIECES, MEMO_CHARS = 400_000, 40
 # ids travel as text: a NULL would turn a pandas column of longs into floats
-_INDEX = "shard int, path string, doc_id string, at bigint, n_tokens bigint"
-_READ = "doc_id string, shard int, at bigint, n_tokens bigint, ids_crc32 bigint"
+_INDEX = "shard bigint, path string, doc_id string, at bigint, n_tokens bigint"
+_READ = "doc_id string, shard bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 @dataclass(frozen=True)
@@ -142,9 +144,13 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[str, ...]:
+    """What the library cuts out of a text before anything else."""
+    return tuple(token.content for token in tokenizer(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
@@ -171,15 +177,17 @@ _STANDS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumera
 
 def _encoded(texts: list[str], path: str, dtype: np.dtype, pattern: str) -> Iterator[np.ndarray]:
     """Ids of each text. The vocabulary's pre-tokenizer cuts a text into the matches of the pattern and
-    merges never cross them, so the tokenizer's model is asked once for each piece."""
-    model, memo, split = tokenizer(path).model, _memo(path, dtype.str), splitter(pattern)
+    merges never cross them, so the tokenizer's model is asked once for each piece. Texts that hold an added
+    token go through the tokenizer whole."""
+    model, memo, split, added = tokenizer(path).model, _memo(path, dtype.str), splitter(pattern), added_tokens(path)
     code = {2: "H", 4: "I"}[dtype.itemsize]
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
         if held < CHARS_AT_ONCE and i + 1 < len(texts):
             continue
-        pieces = [split(x) for x in texts[start : i + 1]]
+        whole = {k: tokenizer(path).encode(x, add_special_tokens=False).ids for k, x in enumerate(texts[start : i + 1]) if any(a in x for a in added)}
+        pieces = [() if k in whole else split(x) for k, x in enumerate(texts[start : i + 1])]
         new = set(chain.from_iterable(pieces)).difference(memo)
         if len(memo) + len(new) > MEMO_PIECES:
             memo.clear()
@@ -187,8 +195,8 @@ def _encoded(texts: list[str], path: str, dtype: np.dtype, pattern: str) -> Iter
         for piece in new:
             coded = piece.encode("utf-8").decode("latin-1").translate(_STANDS)
             memo[piece] = array(code, [token.id for token in model.tokenize(coded)]).tobytes()
-        for own in pieces:
-            yield np.frombuffer(b"".join([memo[x] for x in own]), dtype)
+        for k, own in enumerate(pieces):
+            yield np.array(whole[k], dtype) if k in whole else np.frombuffer(b"".join([memo[x] for x in own]), dtype)
         for piece in new:
             if len(piece) > MEMO_CHARS:
                 del memo[piece]
@@ -205,7 +213,8 @@ def write_tokens(
     committed by Spark, and shards are named anew by each attempt, so a lost executor leaves unlisted files at
     most.
 
-    NULL and empty texts give the end id alone. NULL ids come first; rows that repeat an id follow each other
+    A text is cut as the tokenizer as loaded cuts it, the strings of its added tokens included. NULL and empty texts
+    give the end id alone; a long text runs on over as many sequences as it needs. NULL ids come first; rows that repeat an id follow each other
     by their text. An empty table gives an empty index. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -215,8 +224,11 @@ def write_tokens(
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.array([end], layout.dtype)
-        writer, shard = None, TaskContext.get().partitionId()
+        writer, shard = None, TaskContext.get().partitionId() << 32  # the shards of a task follow each other
         for part in parts:
+            if writer and writer.at >= SHARD_IDS:
+                writer.close()
+                writer, shard = None, shard + 1
             writer = writer or ShardWriter(folder, layout)
             found = []
             for ids in _encoded(part["text"].tolist(), path, layout.dtype, pattern):
@@ -235,7 +247,8 @@ def write_tokens(
 def read_tokens(index: DataFrame) -> DataFrame:
     """Read the shards back by their index: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids_crc32``.
 
-    The checksum is that of the document's ids as little-endian unsigned 32-bit integers.
+    The checksum is that of the document's ids as little-endian unsigned 32-bit integers. A row for each row of
+    the index, repeats and NULL ids too; an empty index gives none. Other columns of the index are not read.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
