@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomshelf.llm.common import settle, whole_text
+from loomshelf.llm.common import forget, settle, whole_text
 
 LEAST_WORDS = 5
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -50,7 +50,7 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.withColumn("n", F.size("words")).where("n > 0")
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, hot_share: float = 0.001) -> DataFrame:
     """Which lines go, one row per line with a word: the earliest of equal or near lines stays.
 
     Columns: ``doc_id``, ``text_hash``, ``line_no`` (from 0), ``n_words``, ``kept``, ``keep_doc_id``,
@@ -63,7 +63,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for an edit, is emitted as a hashed key. Lines
     with the same variant at the same place differ in that word alone; a variant equal to a whole line has one
     word more. In either case each line is joined to the earliest of its key only, never to all, and the pair
-    is verified word by word.
+    is verified word by word. A line that makes up more than ``hot_share`` of all lines is broadcast with its verdict.
 
     NULL and empty texts have no lines; lines without a word are not judged and stay. Rows that repeat an id
     and its text are one document and share the verdict; NULL ids come last. An empty table gives an empty
@@ -74,7 +74,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "lines",
     )
     different = settle(
-        lines.groupBy("key").agg(F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "different-lines"
+        lines.groupBy("key").agg(F.min(_order()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "different-lines"
     )
     # lines that share a half with another line
     halves = different.select("key", "n", F.posexplode("halves").alias("k", "half"))
@@ -139,8 +139,16 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         .select("key", "to")
     )
-    keep = different.select("key", "first").join(verified, "key", "left").select("key", F.coalesce("to", "first").alias("keep"))
-    return lines.join(keep, "key").select(
+    keep = different.select("key", "first", "copies").join(verified, "key", "left").select("key", F.coalesce("to", "first").alias("keep"), "copies")
+    keep = settle(keep, "kept-lines")
+    for done in (different, spelled, variants):
+        forget(done)
+    # rows of a very common line get their verdict where they are read, the others by a shuffle
+    total = keep.agg(F.sum("copies")).first()[0] or 0  # one number
+    is_hot = F.col("copies") > total * hot_share
+    hot = F.broadcast(keep.where(is_hot).select("key", "keep"))  # 1 / hot_share rows at most
+    rest = lines.join(hot.select("key"), "key", "left_anti").join(keep.where(~is_hot).select("key", "keep"), "key")
+    return lines.join(hot, "key").unionByName(rest).select(
         "doc_id",
         "text_hash",
         "line_no",
@@ -154,7 +162,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents without the lines that ``line_verdicts`` drops; same columns, order of lines kept.
 
-    Documents that lose every word go; documents that had none stay.
+    Documents that lose every word go; documents that had none stay. NULL texts and long ones, repeated rows and NULL
+    ids are handled as by ``line_verdicts``; an empty table stays empty.
     """
     verdicts = line_verdicts(docs, id_col, text_col, least_words)
     gone = (
