@@ -23,7 +23,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, words=secrets.ranks(secrets.corpus_words(docs))).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and credential-context values that would take many guesses.
 
 How many guesses a value takes is the cheapest way to put it together from words, dates, repeats, keyboard
-walks and brute-force characters, found by dynamic programming over its positions. A value that is cheap to
-guess is prose or a placeholder; a costly one is likely a real secret.
+walks and brute-force characters, found by dynamic programming over its positions; spans of each kind may start
+anywhere. Words are ranked by how often the corpus has them. A value that is cheap to guess is prose or a
+placeholder; a costly one is likely a real secret.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshelf.llm.common import whole_text
+from loomshelf.llm.spelling import word_counts
 
 #: The base patterns and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -46,11 +48,14 @@ COMMON = (
 ).split()
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("430157$@!", "aeolstsai")
-_DATE = re.compile(
-    r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)"
-)
+_DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+#: Dates: a year, a year with month and day, day and month with a year; what stands between the parts is the same.
+_DATES = [re.compile(p) for p in (_YEAR, rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}", rf"{_DAY}([-/._]?){_MONTH}\1{_YEAR}")]
 _DATE_COST = {4: log10(130), 8: log10(130 * 366), 10: log10(130 * 366 * 5)}
-MAX_WORD, MAX_BLOCK = 24, 16
+#: Longest block that a repeat is made of.
+MAX_BLOCK = 16
+#: Words of the corpus that are known, at most, and how often a word must occur.
+CORPUS_WORDS, CORPUS_LEAST = 50_000, 5
 
 
 _PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -68,53 +73,89 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else log10(26) if c.isalpha() else log10(33)
 
 
-def guess_cost(value: str, words: Mapping[str, int]) -> float:
-    """Log10 of the guesses for a value: the cheapest segmentation. Linear in its length.
+def word_cost(word: str, words: Mapping[str, int]) -> float | None:
+    """Log10 of the guesses for a word in any case, or with figures for letters; None if it is not known."""
+    low = word.lower()
+    rank, leet = words.get(low), 0.0
+    if rank is None:
+        rank, leet = words.get(low.translate(_LEET)), log10(2)
+    if rank is None:
+        return None
+    upper = sum(c.isupper() for c in word)
+    case = 0.0 if not upper else log10(2) if upper in (1, len(word)) else upper * log10(2)
+    return log10(rank + 1) + case + leet
+
+
+def spans_from(value: str, words: Mapping[str, int], longest: int) -> list[list[tuple[int, float]]]:
+    """By place: end and cost of every word, date, repeat and keyboard walk that starts there.
 
-    ``words`` maps a lower-case word to its rank, from 1. A hexadecimal value costs 16 guesses a character.
+    A walk goes on as far as it can; a repeat has as many whole blocks as follow each other.
+    """
+    n, low = len(value), value.lower()
+    out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for i in range(n):
+        for end in range(i + 3, min(n, i + longest) + 1):
+            cost = word_cost(value[i:end], words)
+            if cost is not None:
+                out[i].append((end, cost))
+        for pattern in _DATES:
+            if m := pattern.match(value, i):
+                out[i].append((m.end(), _DATE_COST[m.end() - i]))
+    end, turns = n, [0] * (n + 1)  # how often the way turns from a place on to the end of its walk
+    steps = [_step(low[i], low[i + 1]) for i in range(n - 1)]
+    for i in range(n - 2, -1, -1):  # three keys or more: a start, and where the walk turns
+        if steps[i] is None:
+            end = i + 1
+            continue
+        turns[i] = turns[i + 1] + (steps[i + 1] != steps[i]) if i + 2 < end else 1
+        if end - i >= 3:
+            out[i].append((end, log10(47) + turns[i] * log10(4) + log10(end - i)))
+    for size in range(1, min(MAX_BLOCK, n // 2) + 1):  # a block, and how often
+        same = 0  # places from here on that equal the one a block further on
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if value[i] == value[i + size] else 0
+            times = same // size + 1
+            if times >= 2 and times * size >= 3:
+                block = value[i : i + size]
+                cost = min(sum(map(_brute, block)), word_cost(block, words) or float("inf"))
+                out[i].append((i + times * size, cost + log10(times)))
+    return out
+
+
+def guess_cost(value: str, words: Mapping[str, int], longest: int | None = None) -> float:
+    """Log10 of the guesses for a value: the cheapest of all segmentations. Linear in its length.
+
+    ``words`` maps a lower-case word to its rank, from 1; ``longest`` is the length of the longest of them. A
+    hexadecimal value costs 16 guesses a character.
     """
     n = len(value)
+    longest = max(map(len, words), default=0) if longest is None else longest
     hexadecimal = n >= 16 and all(c in "0123456789abcdefABCDEF" for c in value)
-    low = value.lower()
-    plain = low.translate(_LEET)
-    starts: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by place: end and cost of a span
-    for m in _DATE.finditer(value):
-        starts[m.start()].append((m.end(), _DATE_COST[m.end() - m.start()]))
-    i = 0
-    while i < n - 2:  # keyboard walks of three keys or more: a start, and where the walk turns
-        j, turns, way = i + 1, 0, None
-        while j < n and (step := _step(low[j - 1], low[j])):
-            turns += step != way
-            j, way = j + 1, step
-        if j - i >= 3:
-            starts[i].append((j, log10(47) + turns * log10(4) + log10(j - i)))
-        i = max(j - 1, i + 1)
-    for m in re.finditer(rf"(.{{1,{MAX_BLOCK}}}?)\1+", value, re.DOTALL):  # a block, and how often
-        if m.end() - m.start() >= 3:
-            block = m[1]
-            cost = min(sum(map(_brute, block)), log10(words.get(block.lower(), 10**9)))
-            starts[m.start()].append((m.end(), cost + log10((m.end() - m.start()) / len(block))))
+    spans = spans_from(value, words, longest)
     best = [0.0] + [float("inf")] * n
     for i in range(n):
-        here = best[i]
-        one = here + (log10(16) if hexadecimal else _brute(value[i]))
-        if one < best[i + 1]:
-            best[i + 1] = one
-        for end, cost in starts[i]:
-            best[end] = min(best[end], here + cost)
-        for end in range(i + 3, min(n, i + MAX_WORD) + 1):
-            rank = words.get(low[i:end])
-            leet = 0.0
-            if rank is None:
-                rank, leet = words.get(plain[i:end]), log10(2)
-            if rank is not None:
-                upper = sum(c.isupper() for c in value[i:end])
-                case = 0.0 if not upper else log10(2) if upper in (1, end - i) else upper * log10(2)
-                best[end] = min(best[end], here + log10(rank + 1) + case + leet)
+        best[i + 1] = min(best[i + 1], best[i] + (log10(16) if hexadecimal else _brute(value[i])))
+        for end, cost in spans[i]:
+            best[end] = min(best[end], best[i] + cost)
     return best[n]
 
 
-def find_secrets(text: str, words: Mapping[str, int], least: float) -> list[tuple[str, int, int, float]]:
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS, least: int = CORPUS_LEAST) -> list[str]:
+    """The ``most`` words of three letters or more that all texts have most often, ``least`` times or more; ties by word.
+
+    Every text is counted whole. The list is bounded by ``most`` and taken to the driver. NULL and empty texts have no
+    words, rows that repeat count each time, an empty table has none.
+    """
+    counts = word_counts(docs, text_col, text_col, least_letters=3, least_count=least)
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def ranks(words: list[str]) -> dict[str, int]:
+    """Rank of each word, the common words of passwords before all others."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))}
+
+
+def find_secrets(text: str, words: Mapping[str, int], least: float, longest: int | None = None) -> list[tuple[str, int, int, float]]:
     """Spans of one text by start and kind: kind, start, end (code points), log10 guesses (NaN for base spans)."""
     raw = text.encode("utf-8", "surrogatepass")
     nan = float("nan")
@@ -123,7 +164,7 @@ def find_secrets(text: str, words: Mapping[str, int], least: float) -> list[tupl
     if any(h in low for h in _HINTS):
         spans += [("assign", m.start(), m.end(), nan) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1], words)
+            cost = guess_cost(m[1], words, longest)
             if cost >= least:
                 spans.append(("guess", m.start(1), m.end(1), cost))
     if b"AKIA" in raw:
@@ -137,20 +178,26 @@ def secret_spans(text: Column, words: Mapping[str, int] | None = None, least: fl
     """Array of ``kind``, ``start``, ``end``, ``guesses`` for a text column.
 
     Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns; ``guess`` is a credential-context value
-    that takes 10^``least`` guesses or more. NULL and empty texts have no spans.
+    that takes 10^``least`` guesses or more; ``words`` gives the rank of each known word (``ranks``). NULL and empty
+    texts have no spans; a text, and a value in it, is read whole in time linear in its length.
     """
-    ranks = dict(words) if words is not None else {w: i + 1 for i, w in enumerate(COMMON)}
+    known = dict(words) if words is not None else ranks([])
+    longest = max(map(len, known), default=0)
 
     @F.pandas_udf("array<struct<kind: string, start: bigint, end: bigint, guesses: double>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield pd.Series(
-                [[{"kind": k, "start": s, "end": e, "guesses": g} for k, s, e, g in find_secrets(t, ranks, least)] for t in part], dtype=object
+                [[{"kind": k, "start": s, "end": e, "guesses": g} for k, s, e, g in find_secrets(t, known, least, longest)] for t in part], dtype=object
             )
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "spans", **options) -> DataFrame:
-    """The documents with a column of secret spans (see ``secret_spans``); rows and other columns stay as they are."""
+    """The documents with a column of secret spans (see ``secret_spans``), a row for each row.
+
+    Spans that start together stand by kind. Rows that repeat have the same spans; an empty table stays empty. Other
+    columns stay as they are, but one named ``out_col`` is replaced.
+    """
     return docs.withColumn(out_col, secret_spans(whole_text(docs, text_col), **options))

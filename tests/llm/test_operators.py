@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomshelf.llm import byte_bpe, decontaminate, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import connected_components
@@ -128,6 +130,72 @@ def test_guess_costs_are_the_cheapest_segmentation():
     assert cost("x" * 5000 + "Zq9") < 10  # long values take linear time
 
 
+def plain_guess_cost(value, words):
+    """The cheapest of all ways to cut a value, each piece by the cheapest reading that it has as a whole."""
+    hexadecimal = len(value) >= 16 and re.fullmatch("[0-9a-fA-F]*", value)
+
+    def walk(piece):
+        low, turns, way = piece.lower(), 0, None
+        for a, b in zip(low, low[1:]):
+            step = secrets._step(a, b)
+            if step is None:
+                return None
+            turns, way = turns + (step != way), step
+        return turns
+
+    def whole(i, j):
+        piece, costs = value[i:j], []
+        if len(piece) == 1:
+            costs.append(math.log10(16) if hexadecimal else secrets._brute(piece))
+        if len(piece) >= 3 and (word := secrets.word_cost(piece, words)) is not None:
+            costs.append(word)
+        if re.fullmatch(r"(19|20)\d\d", piece, re.A):
+            costs.append(math.log10(130))
+        for pattern in (r"(?:19|20)\d\d([-/._]?)(0[1-9]|1[0-2])\1(0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(0[1-9]|1[0-2])\1(?:19|20)\d\d"):
+            if re.fullmatch(pattern, piece, re.A):
+                costs.append(math.log10(130 * 366 * (5 if len(piece) == 10 else 1)))
+        if len(piece) >= 3 and (turns := walk(piece)) is not None and (j == len(value) or secrets._step(*value[j - 1 : j + 1].lower()) is None):
+            costs.append(math.log10(47) + turns * math.log10(4) + math.log10(len(piece)))
+        for size in range(1, min(16, len(piece) // 2) + 1):
+            block, times = piece[:size], len(piece) // size
+            if len(piece) >= 3 and piece == block * times and value[j : j + size] != block:
+                known = secrets.word_cost(block, words)
+                costs.append(min(sum(map(secrets._brute, block)), math.inf if known is None else known) + math.log10(times))
+        return min(costs, default=math.inf)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + whole(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_costs_equal_those_of_all_segmentations():
+    rng = random.Random(6)
+    words = secrets.ranks(["beautiful", "straße", "aab", "environment"])
+    parts = ["192020-01-15", "xaabaabaab", "qwe", "rty", "asdf", "2020", "01.02.1999", "P@ss", "word", "aaa", "abab", "beautiful", "straße", "Zq9", "-", "1", "zzzzz", "fdsa", "0123456789abcdef", "__"]
+    for value in [*parts, *("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(300)), *("".join(rng.choices("ab1q", k=rng.randint(1, 14))) for _ in range(300))]:
+        assert secrets.guess_cost(value, words) == pytest.approx(plain_guess_cost(value, words)), value
+    assert secrets.guess_cost("192020-01-15", words) < 8 and secrets.guess_cost("xaabaabaab", words) < 6.5
+
+
+def test_ordinary_words_of_the_corpus_are_no_secrets(spark):
+    prose = ["The beautiful environment of this verdict", "Die Verantwortung liegt beim Unternehmen", "La responsabilidad es de todos", "L'environnement réel reste magnifique"]
+    rows = [(i, prose[i % 4]) for i in range(40)] + [(50, "token: beautiful secret = Verantwortung password: environment"), (51, "token: responsabilidad auth: magnifique"), (52, "token: k8Jq2Zx9Lw4T"), (53, None), (54, "")]
+    docs = make(spark, rows)
+    words = secrets.corpus_words(docs)
+    assert {"beautiful", "verantwortung", "responsabilidad", "réel"} <= set(words) and secrets.corpus_words(docs, most=2) == sorted(words, key=words.index)[:2]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan_secrets(docs, words=secrets.ranks(words)).where("doc_id >= 50").collect()}
+    assert found == {50: ["assign"] * 3, 51: ["assign"], 52: ["assign", "guess"], 53: [], 54: []}
+
+
+def test_secrets_of_awkward_rows(spark, awkward, empty):
+    long = "x " * 50_000 + "pwd: " + "xyz" * 3000 + " pwd: k8Jq2Zx9Lw4T" + " y" * 50_000
+    docs = make(spark, [*AWKWARD, (20, long), (20, long)])
+    got = secrets.scan_secrets(docs).select("doc_id", "spans").collect()
+    assert len(got) == len(AWKWARD) + 2 and [len(r.spans) for r in got if r.doc_id == 20] == [1, 1]
+    assert secrets.corpus_words(empty) == []
+
+
 def test_guess_spans_are_costly_values(spark):
     r = secrets.scan_secrets(make(spark, [(1, "pwd: k8Jq2Zx9Lw4T password=changeme auth = password123")])).first()
     assert [s.kind for s in r.spans] == ["guess", "assign"] and r.spans[0].guesses > 12
@@ -164,6 +232,27 @@ def test_archive_begins_with_its_dictionary(spark, tmp_path):
     assert int.from_bytes(head[:4], "little") == warc.DICTIONARY_FRAME and head[8:12] == bytes.fromhex("37a430ec")
 
 
+def test_archives_of_few_long_records_have_a_dictionary_too(spark, tmp_path):
+    rng = random.Random(4)
+    pages = [(i, "u", " ".join(f"<li>{rng.randrange(10**6)}</li>" for _ in range(16_000))) for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(6, "page_id")
+    manifest = warc.write_archives(df, f"file://{tmp_path}/l")
+    archives = [r.archive for r in manifest.collect()]
+    assert len(archives) > 1
+    for uri in archives:
+        assert int.from_bytes(open(uri.removeprefix("file://"), "rb").read(4), "little") == warc.DICTIONARY_FRAME
+    back = warc.read_archives(manifest)
+    assert back.rdd.getNumPartitions() == len(archives)  # as many tasks as archives
+    assert {r.page_id: bytes(r.payload).decode() for r in back.collect()} == {i: h for i, _, h in pages}
+
+
+def test_noise_gives_a_dictionary_and_reads_back(spark, tmp_path):
+    noise = "".join(chr(random.Random(i).randrange(0x4E00, 0x9FFF)) for i in range(30_000))
+    df = spark.createDataFrame([(1, "u", noise)], "page_id bigint, url string, html string")
+    manifest = warc.write_archives(df, f"file://{tmp_path}/n")
+    assert bytes(warc.read_archives(manifest).first().payload).decode() == noise
+
+
 # byte-level BPE
 
 
@@ -360,13 +449,15 @@ def test_recall_of_the_sampling(share):
 # token files
 
 
-def test_token_files_round_trip(spark, awkward, empty):
-    tokenizer = token_files.tokenizer(public_tokenizers.path(token_files.VOCABULARY))
+def test_token_files_round_trip(spark, empty, monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))  # as the library loads it
+    rows = [*AWKWARD, (11, "end of it <|endoftext|> and more"), (12, "x<|endoftext|><|endoftext|>"), (13, "<|endoftext|"), (14, "  <|endoftext|>\n")]
+    awkward = make(spark, rows)
     layout = token_files.Layout(length=16, batch_rows=4)
     index = token_files.write_tokens(awkward, layout=layout)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(index).collect())
     at, want = 0, []
-    for i, t in sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -378,6 +469,18 @@ def test_token_files_round_trip(spark, awkward, empty):
         assert sum(int(m.sum()) for m in masks) == n and all(len(m) == 16 for m in masks)
 
 
+def test_a_task_goes_on_in_another_shard(spark, awkward, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        one = sorted(map(tuple, token_files.read_tokens(token_files.write_tokens(awkward)).collect()), key=str)
+        monkeypatch.setattr(token_files, "SHARD_IDS", 10)
+        index = token_files.write_tokens(awkward.coalesce(1))
+        assert index.select("path").distinct().count() > 3
+        assert sorted(map(tuple, token_files.read_tokens(index).collect()), key=str) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # line dedup
 
 
@@ -425,6 +528,8 @@ def test_lines(spark, awkward, empty):
     for table in (rows, [r for r in AWKWARD if r[0] is not None]):
         got = {(r.doc_id, r.line_no, r.kept, r.keep_doc_id, r.keep_line_no) for r in line_verdicts(make(spark, table)).collect()}
         assert got == plain_lines(table)
+        hot = {(r.doc_id, r.line_no, r.kept, r.keep_doc_id, r.keep_line_no) for r in line_verdicts(make(spark, table), hot_share=0.02).collect()}
+        assert hot == got
     assert line_verdicts(empty).collect() == [] and drop_lines(empty).collect() == []
 
 
