@@ -196,10 +196,60 @@ def with_promo(
     )
 
 
-def with_promo_range(reviews: DataFrame, products: DataFrame, promos: DataFrame) -> DataFrame:
-    """Range form: promotions carry start_date and end_date; expanded by day, then matched as above."""
-    points = promos.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
-    return with_promo(reviews, products, points, days=0)
+#: Levels of day intervals: 2^20 days are longer than any promotion.
+LEVELS = 20
+
+
+def day_number(day: str | Column) -> Column:
+    """Days since a day before all others, so that no interval is cut at zero."""
+    return (F.unix_date(day) + (1 << 21)).cast("long")
+
+
+def range_pieces(promos: DataFrame) -> DataFrame:
+    """Every promotion as whole day intervals of 1, 2, 4, ... days: ``_level`` and ``_block``.
+
+    Two intervals a level at most, so a promotion has as many rows as its length has binary digits, twice. A range
+    whose end is before its start covers the days between both.
+    """
+    first, last = F.least("start_date", "end_date"), F.greatest("start_date", "end_date")
+    known = promos.where(F.col("start_date").isNotNull() & F.col("end_date").isNotNull())
+    level = known.withColumns({"_from": day_number(first), "_to": day_number(last) + 1}).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    # the next interval of a level on either side of what larger ones can cover
+    low = level.withColumns({"_low": F.expr("(_from + shiftleft(1L, _level) - 1) >> _level"), "_high": F.expr("_to >> _level")}).where("_low < _high")
+    ends = F.array(F.when(F.col("_low") % 2 == 1, F.col("_low")), F.when(F.col("_high") % 2 == 1, F.col("_high") - 1))
+    return low.withColumn("_block", F.explode(F.filter(ends, lambda b: b.isNotNull()))).drop("_from", "_to", "_low", "_high")
+
+
+def with_promo_range(
+    reviews: DataFrame, products: DataFrame, promos: DataFrame, priority: Sequence[str] = ("promotion_id",), everyone: str = "-"
+) -> DataFrame:
+    """Range form: promotions carry start_date and end_date, both included; matched as ``with_promo`` matches days.
+
+    Ranges and dates meet by equality: a promotion stands for the day intervals it is made of, a date for those it
+    lies in, one of each length. Only the different dates and brands of the reviews are looked up.
+    """
+    pieces = range_pieces(with_promo_type(promos)).select("_level", "_block", F.col("brand").alias("promo_brand"), "promo_type_category", *priority)
+    placed = reviews.join(products.select("product_code", "brand"), "product_code", "left")
+
+    def met(asked: DataFrame, by: Sequence[str], rows: DataFrame, name: str) -> DataFrame:
+        levels = asked.where(F.col("date").isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        blocks = levels.withColumn("_block", F.expr(f"({1 << 21} + unix_date(date)) >> _level").cast("long"))
+        joined = blocks.join(rows, ["_level", "_block", *by[1:]])
+        # the earliest in priority
+        best = joined.groupBy(*by).agg(F.min_by("promo_type_category", F.struct(*priority)).alias(name))
+        return best
+
+    dates = placed.select("date").distinct()
+    shared = met(dates, ["date"], pieces.where(F.col("promo_brand") == everyone).drop("promo_brand"), "_shared")
+    brands = placed.select("date", "brand").distinct()
+    own = met(brands, ["date", "brand"], pieces.where(F.col("promo_brand") != everyone).withColumnRenamed("promo_brand", "brand"), "_own")
+    return (
+        placed.join(shared, "date", "left")
+        .join(own, ["date", "brand"], "left")
+        .withColumn("promo_type_category", F.coalesce("_own", "_shared", F.lit(NO_PROMO)))
+        .withColumn("is_during_promo", F.col("promo_type_category") != NO_PROMO)
+        .drop("_own", "_shared")
+    )
 
 
 def with_promo_day(reviews: DataFrame, promos: DataFrame) -> DataFrame:
