@@ -54,6 +54,21 @@ for _c in ("category_1", "category_2"):
     query(f"ts3_totals_{_c}", with_views(f"SELECT {_c}, {NEW_RE} FROM joined GROUP BY 1", "products", "reviews", joined=JOINED))(totals_by(_c))
 
 
+@query(
+    "ts3_monthly_with_totals",
+    with_views(
+        f"""SELECT category_2, month, CASE g WHEN 0 THEN 'month' WHEN 1 THEN 'category' ELSE 'all' END AS level, n_new, n_reorder, total, reorder_pct FROM (
+        SELECT {MONTH} AS month, category_2, GROUPING(category_2, {MONTH}) AS g, {NEW_RE} FROM joined GROUP BY ROLLUP (category_2, {MONTH}))""",
+        "products",
+        "reviews",
+        joined=JOINED,
+    ),
+)
+def ts3r(spark, sf):
+    """Both the monthly series and the totals from one pass."""
+    return rounded(ts.monthly_with_totals(v.reviews(spark, sf), v.products(spark, sf), "category_2"), "reorder_pct")
+
+
 @query(
     "ts4_biggest_categories",
     with_views(

@@ -48,6 +48,21 @@ def monthly_by_category(reviews: DataFrame, products: DataFrame, category: str)
     return new_vs_reorder(placed, month_of(), category)
 
 
+def monthly_with_totals(reviews: DataFrame, products: DataFrame, category: str) -> DataFrame:
+    """Months of each category, the whole period of each category and the whole of both, from one aggregate.
+
+    ``level`` says which a row is: ``month``, ``category`` or ``all``; what a total leaves open is NULL, and so is the
+    category of reviews of unknown products in rows of their own.
+    """
+    placed = reviews.join(products.select("product_code", category), "product_code", "left").select(category, month_of(), F.coalesce("is_reorder", F.lit(False)).alias("_re"))
+    rolled = placed.rollup(category, "month").agg(
+        F.grouping_id().alias("_level"), F.count_if(~F.col("_re")).alias("n_new"), F.count_if("_re").alias("n_reorder"), F.count(F.lit(1)).alias("total")
+    )
+    level = F.when(F.col("_level") == 0, "month").when(F.col("_level") == 1, "category").otherwise("all")
+    share = ratio(F.col("n_reorder") * 100.0, "total")
+    return rolled.select(category, "month", level.alias("level"), "n_new", "n_reorder", "total", share.alias("reorder_pct"))
+
+
 def category_totals(by_month: DataFrame, category: str) -> DataFrame:
     """Whole-period totals, re-aggregated from the monthly frame instead of scanning reviews again."""
     return (
