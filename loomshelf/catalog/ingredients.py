@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomshelf.catalog.loading import WORDS, word_rows
 from loomshelf.catalog.registry import query, rounded
 from loomshelf.functions import ingredient_lexicon as lex
+from loomshelf.operators import closest
 from loomshelf.operators import ingredients as ig
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
@@ -322,6 +323,13 @@ def ig14b(spark, sf):
     return rounded(ig.correct_names(names, known_words(spark, sf, 1)), "similarity")
 
 
+@query("ig14_closest_names")
+def ig14c(spark, sf):
+    """By longest matching blocks, after the known misreadings; names of every language, script and length."""
+    names = docs(spark, sf).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("name"))
+    return rounded(closest.closest_names(names, known_words(spark, sf, 1), misreadings=lex.MISREADINGS), "similarity")
+
+
 SIMPLE = r"""SELECT * FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, original,
 regexp_replace(CASE WHEN regexp_matches(c, '^CI\d+') THEN c ELSE regexp_replace(c, '\d+$', '') END, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') AS normalized FROM (
 SELECT doc_id, pos, original, regexp_replace(regexp_replace(regexp_replace(original, '\([^)]*\)', '', 'g'), '\[[^\]]*\]', '', 'g'), '[±*★☆※]', '', 'g') AS c FROM (
