@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomshelf.catalog.registry import query, rounded
 from loomshelf.catalog.reviews import KEY, KEYS
 from loomshelf.operators import dimensions as dim
-from loomshelf.sources import files, tables
+from loomshelf.sources import files, tables, versioned
 from loomshelf.sources import views as v
 from loomshelf.sources.views import with_views
 
@@ -17,9 +17,12 @@ from loomshelf.sources.views import with_views
     """SELECT doc_id, source || ' ' || lang AS category FROM documents""",
 )
 def io1(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", "source", "lang")
-    path = F.concat(F.lit("/drop/product_"), "source", F.lit(" "), "lang", F.lit(".csv"))
-    return d.select("doc_id", files.category_of(path).alias("category"))
+    """One CSV file, or folder of parts, for each category, read back by a pattern."""
+    drop = tables.new_path(spark, "drop")
+    file = F.concat(F.lit("product_"), "source", F.lit(" "), "lang", F.lit(".csv"))
+    docs = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("name"), file.alias("file"))
+    docs.write.partitionBy("file").option("header", True).option("escape", '"').csv(drop)
+    return files.read_category_csv(spark, f"{drop}/file=*", "doc_id bigint, name string").select("doc_id", "category")
 
 
 PARTS = {
@@ -77,6 +80,55 @@ def io4(spark, sf):
     return dim.upsert(a, b, ["product_code"])
 
 
+def versioned_table(spark, sf):
+    """The first part of the products as a table of 32 buckets."""
+    a, b = parts(spark, sf)
+    path = tables.new_path(spark, "versioned")
+    versioned.create(a, path, ["product_code"], 32)
+    return path, b
+
+
+@query(
+    "io4_upsert_buckets",
+    with_views(
+        """SELECT coalesce(a.product_code, b.product_code) AS product_code, CASE WHEN b.product_code IS NOT NULL THEN b.name ELSE a.name END AS name,
+        CASE WHEN b.product_code IS NOT NULL THEN b.brand ELSE a.brand END AS brand, a.likes
+        FROM a FULL JOIN b ON a.product_code = b.product_code""",
+        "products",
+        **PARTS,
+    ),
+)
+def io4v(spark, sf):
+    """In two changes, each of which rewrites the buckets of its keys only."""
+    path, b = versioned_table(spark, sf)
+    versioned.upsert(b.where("product_code % 2 = 0"), path)
+    versioned.upsert(b.where("product_code % 2 <> 0"), path)
+    return versioned.read(spark, path)
+
+
+DELETED = with_views("SELECT * FROM a WHERE product_code NOT IN (SELECT product_code FROM b)", "products", **PARTS)
+
+
+def deleted(spark, sf):
+    path, b = versioned_table(spark, sf)
+    versioned.delete(b.where("product_code % 3 = 0"), path)
+    versioned.delete(b.where("product_code % 3 <> 0"), path)
+    return path
+
+
+@query("io5_delete_marks", DELETED)
+def io5v(spark, sf):
+    """Two deletes as bitmaps of row positions, left out when the table is read."""
+    return versioned.read(spark, deleted(spark, sf))
+
+
+@query("io5_delete_compacted", DELETED)
+def io5w(spark, sf):
+    path = deleted(spark, sf)
+    versioned.compact(spark, path)
+    return versioned.read(spark, path)
+
+
 @query("io5_delete_by_key", with_views("SELECT * FROM a WHERE product_code NOT IN (SELECT product_code FROM b)", "products", **PARTS))
 def io5(spark, sf):
     a, b = parts(spark, sf)

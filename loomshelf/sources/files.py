@@ -15,8 +15,8 @@ BOM = "﻿"
 
 
 def category_of(path: Column, kind: str = "product") -> Column:
-    """``product_<category>.csv`` → category."""
-    return F.regexp_extract(path, rf"{kind}_([^/]+)\.csv$", 1)
+    """``product_<category>.csv``, a file or a folder of parts → category."""
+    return F.regexp_extract(path, rf"{kind}_([^/]+)\.csv(?:/part-[^/]*)?$", 1)
 
 
 def read_category_csv(spark: SparkSession, pattern: str, schema: str, kind: str = "product", category: str = "category") -> DataFrame:
