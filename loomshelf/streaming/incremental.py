@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from loomshelf.functions.ranking import keep_first
 from loomshelf.operators.dimensions import analysis_rows, key_reviews, new_members
 from loomshelf.operators.labels import Labeller, explode_labels, label_reviews
+from loomshelf.streaming import id_filters
 
 REVIEW_KEY = ["product_code", "user_masked", "date", "text"]
 
@@ -112,14 +113,20 @@ LABELS = (
 
 
 def stream_labels(reviews: DataFrame, labels: str, checkpoint: str, labeller: Labeller | None = None) -> DataStreamWriter:
-    """Label reviews that have no label yet, each once even if its batch holds it twice; one row per review and aspect."""
+    """Label reviews that have no label yet, each once even if its batch holds it twice; one row per review and aspect.
+
+    Which reviews are labelled is told by the filters beside the labels (``id_filters``): a batch opens the ids of
+    those earlier batches only that may hold one of its own, and no label.
+    """
     columns = [c.split()[0] for c in LABELS.split(", ") if not c.startswith("batch_id")]
 
     def load(batch: DataFrame, number: int) -> None:
         staged = _put(batch, f"{labels}_staging", number)
-        done = _earlier(batch.sparkSession, labels, LABELS, number).select("order_id").distinct()
+        done = id_filters.handled(staged, "order_id", f"{labels}_handled", number)
         todo = keep_first(staged, ["order_id"], [c for c in staged.columns if c != "order_id"]).join(done, "order_id", "left_anti")
-        _put(explode_labels(label_reviews(todo, labeller)).select(*columns), labels, number)
+        written = _put(explode_labels(label_reviews(todo, labeller)).select(*columns), labels, number)
+        # only now, so that a batch that failed before is labelled when it runs again
+        id_filters.remember(written, "order_id", f"{labels}_handled", number)
         _drop(batch.sparkSession, f"{labels}_staging", number)
 
     return reviews.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
