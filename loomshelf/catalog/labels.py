@@ -200,7 +200,7 @@ def lb8(spark, sf):
 # Korean reviews by rule: two or three of the shipped keywords, picked by the id and the length of the text
 KEYWORDS = [w for words in lb.ASPECT_KEYWORDS.values() for w in words]
 PICKS = ["order_id", "order_id * 13 + length(text)"]
-KOREAN_LOW = f"SELECT order_id, lower(concat_ws(' ', {', '.join(f'ws[1 + ({p}) % {len(KEYWORDS)}]' for p in PICKS)}, CASE WHEN order_id % 9 = 0 THEN '그냥' END)) AS low FROM doc_reviews, (SELECT [{', '.join(repr(w) for w in KEYWORDS)}] AS ws)"
+KOREAN_LOW = f"SELECT order_id, lower(concat_ws(' ', text, {', '.join(f'ws[1 + ({p}) % {len(KEYWORDS)}]' for p in PICKS)}, CASE WHEN order_id % 9 = 0 THEN '그냥' END)) AS low FROM doc_reviews, (SELECT [{', '.join(repr(w) for w in KEYWORDS)}] AS ws)"
 
 
 @query(
@@ -214,10 +214,10 @@ KOREAN_LOW = f"SELECT order_id, lower(concat_ws(' ', {', '.join(f'ws[1 + ({p}) %
     ),
 )
 def lb8k(spark, sf):
-    """The shipped Korean keyword lists over Korean sentences."""
+    """The shipped Korean keyword lists over whole texts that end in Korean words."""
     words = F.array(*[F.lit(w) for w in KEYWORDS])
     picked = [F.element_at(words, (F.expr(p) % len(KEYWORDS) + 1).cast("int")) for p in PICKS]
-    korean = v.doc_reviews(spark, sf).select("order_id", F.concat_ws(" ", *picked, F.when(F.col("order_id") % 9 == 0, "그냥")).alias("text"))
+    korean = v.doc_reviews(spark, sf).select("order_id", F.concat_ws(" ", "text", *picked, F.when(F.col("order_id") % 9 == 0, "그냥")).alias("text"))
     found = lb.with_rule_aspects(korean)
     return found.select("order_id", F.explode_outer("aspects").alias("a")).select("order_id", "a.*")
 

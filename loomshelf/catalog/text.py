@@ -220,10 +220,10 @@ def korean_counts() -> str:
     ),
 )
 def tx10k(spark, sf):
-    """The shipped Korean patterns, look-around included, over Korean sentences."""
+    """The shipped Korean patterns, look-around included, over whole texts that end in a Korean sentence."""
     counts = tx.pattern_counts()
     pick = ((F.col("order_id") * 7 + F.length("text")) % len(KOREAN) + 1).cast("int")
-    korean = v.doc_reviews(spark, sf).withColumn("text", F.element_at(F.array(*[F.lit(t) for t in KOREAN]), pick))
+    korean = v.doc_reviews(spark, sf).withColumn("text", F.concat_ws("\n", "text", F.element_at(F.array(*[F.lit(t) for t in KOREAN]), pick)))
     return korean.select("order_id", *[c.alias(n) for n, c in counts.items()])
 
 
