@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from loomshelf.functions.columns import any_of, col, ratio, unnest
 from loomshelf.functions.lexicon import KEYWORDS, NEGATIVE_SUFFIX, PATTERNS, POSITIVE_SUFFIX, STOP_WORDS, rule_frame
+from loomshelf.functions.literals import required_literals
 from loomshelf.functions.ranking import top_per_group
 
 Rules = Mapping[str, Sequence[str]]
@@ -144,16 +145,36 @@ def mentioning(df: DataFrame, patterns: Sequence[str], text: str = "text") -> Da
 
 
 def matches(text: str | Column, pattern: str) -> Column:
-    """Non-overlapping matches of one pattern; 0 for NULL."""
-    return F.coalesce(F.regexp_count(col(text), F.lit("(?U)" + pattern)), F.lit(0))
+    """Non-overlapping matches of one pattern; 0 for NULL. A text without any literal that the pattern needs is not searched."""
+    found = F.regexp_count(col(text), F.lit("(?U)" + pattern))
+    signs = required_literals(pattern)
+    if signs is not None:
+        holds = _tree([F.contains(col(text), F.lit(s)) for s in sorted(signs)], lambda a, b: a | b)
+        found = F.when(holds, found)
+    return F.coalesce(found, F.lit(0))
+
+
+def _tree(parts: Sequence[Column], join: Callable[[Column, Column], Column]) -> Column:
+    """Columns joined in pairs, and the pairs again: an expression no deeper than the digits of their number."""
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+#: Patterns that are added in one compiled expression.
+COMPILED = 24
 
 
 def pattern_counts(rules: Rules = PATTERNS, text: str | Column = "text") -> dict[str, Column]:
     """Per text: matches of each category, summed over its patterns."""
+    add = lambda a, b: a + b
+    small = sum(map(len, rules.values())) <= COMPILED
     out = {}
     for category, patterns in rules.items():
-        # an array and not a chain of additions: hundreds of patterns would make one expression too deep to compile
-        out[category] = F.aggregate(F.array(*[matches(text, p) for p in patterns]), F.lit(0), lambda total, n: total + n)
+        found = [F.lit(0), *[matches(text, p) for p in patterns]]
+        # hundreds of patterns make more code than can be compiled; an array of them is evaluated in parts
+        out[category] = _tree(found, add) if small else F.aggregate(F.array(*found), F.lit(0), add)
     return out
 
 
