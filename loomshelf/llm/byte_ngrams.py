@@ -40,7 +40,7 @@ START, END = 0, 255
 #: the filter over the others. By the share, what texts send is in proportion to them at every size.
 HOT_SHARE, HOT, FILTER_BITS = 2.5e-8, 2_000_000, 1 << 26
 #: Bytes of text that are counted or scored at once in a task, and rows in a batch that it hands back.
-CHUNK, BATCH = 3_000_000, 50_000
+CHUNK, BATCH = 1_000_000, 50_000
 _MODEL, _TAG = 56, 48
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
 
@@ -92,8 +92,10 @@ def _codes(pieces: list[bytes], models: np.ndarray) -> tuple[np.ndarray, np.ndar
     own = np.ones(len(code), bool)  # windows that lie within one piece
     for i in range(1, ORDER):
         own[ends[:-1] - i] = False
-    at = np.repeat(np.arange(len(pieces)), sizes - ORDER + 1)
-    return code[own] | (models.astype(np.int64) << _MODEL | ORDER << _TAG)[at], at
+    at = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes - ORDER + 1)
+    code = code[own]
+    code |= (models.astype(np.int64) << _MODEL | ORDER << _TAG)[at]
+    return code, at
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def _added(codes: np.ndarray, at: np.ndarray, texts: int, tables: tuple[np.ndarr
         maybe = ~hit & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
         if maybe.any():
             where = np.flatnonzero(maybe[back][each])
-            pairs, times = np.unique(back[each[where]] * texts + at[where], return_counts=True)
+            pairs, times = np.unique(back[each[where]].astype(np.int64) * texts + at[where], return_counts=True)
             sent.append((keys[pairs // texts], pairs % texts, times))
     return np.bincount(at, value[each], texts), sent
 
