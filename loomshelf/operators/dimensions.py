@@ -23,10 +23,12 @@ def lookup_id(df: DataFrame, dim: DataFrame, name: str, dim_name: str, dim_id: s
 
 
 def new_members(
-    dim: DataFrame, incoming: DataFrame, name: str, dim_name: str, dim_id: str, order_by: Sequence[str], buckets: Sequence[Column]
+    dim: DataFrame, incoming: DataFrame, name: str, dim_name: str, dim_id: str, order_by: Sequence[str], buckets: Sequence[Column], last: DataFrame | None = None
 ) -> DataFrame:
     """Names not yet in the dimension with ids max+1, max+2, … in order of first appearance.
 
+    ``last`` (one row, one column) gives the maximum where ``dim`` holds only the part that names are looked up in.
+
     ``buckets`` are expressions over ``order_by`` columns that rise along the order, so that ranking
     a large member set is spread over tasks.
     """
@@ -38,7 +40,8 @@ def new_members(
     )
     unseen = first.join(dim.select(dim_name), dim_name, "left_anti")
     ranked = bucketed_row_number(unseen, [*order_by, dim_name], buckets, name="_rn")
-    last = dim.agg(F.coalesce(F.max(dim_id).cast("long"), F.lit(0).cast("long")).alias("_max"))
+    last = dim.agg(F.max(dim_id)) if last is None else last
+    last = last.toDF("_max").select(F.coalesce(F.col("_max").cast("long"), F.lit(0).cast("long")).alias("_max"))
     return with_row(ranked, last).select((F.col("_max") + F.col("_rn")).alias(dim_id), dim_name)
 
 

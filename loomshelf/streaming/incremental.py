@@ -21,7 +21,8 @@ from loomshelf.streaming import id_filters
 REVIEW_KEY = ["product_code", "user_masked", "date", "text"]
 
 TABLES = {
-    "users": "user_id bigint, user_masked string, batch_id bigint",
+    "users": "user_id bigint, user_masked string, batch_id bigint, bucket int",
+    "user_ids": "user_id bigint, batch_id bigint",
     "reviews": "order_id bigint, product_code bigint, user_id bigint, write_date date, rating double, text string, "
     "image_count int, is_reorder boolean, batch_id bigint, write_month string",
     "review_ids": "order_id bigint, batch_id bigint",
@@ -54,6 +55,20 @@ def _drop(spark: SparkSession, path: str, batch: int) -> None:
     staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
 
 
+#: Folders that the users of each batch are dealt to, by the hash of their name.
+USER_BUCKETS = 256
+
+
+def _user_bucket() -> Column:
+    return F.pmod(F.xxhash64("user_masked"), F.lit(USER_BUCKETS)).cast("int")
+
+
+def known_users(spark: SparkSession, tables: str, rows: DataFrame, batch: int) -> DataFrame:
+    """Users of earlier batches in the buckets of the users in ``rows``; other folders are not opened."""
+    own = [r["b"] for r in rows.select(_user_bucket().alias("b")).distinct().collect()]  # at most one for each folder
+    return _earlier(spark, f"{tables}/users", TABLES["users"], batch).where(F.col("bucket").isin(own) if own else F.lit(False)).drop("bucket")
+
+
 def stream_reviews(
     reviews: DataFrame,
     tables: str,
@@ -66,8 +81,8 @@ def stream_reviews(
 
     Copies inside a batch collapse to the first in ``order_by``; copies of loaded reviews are found by a
     join with the loaded rows of the batch's dates, however late they come. Reviews are kept in folders by
-    month, so that join reads the months of the batch only, and the largest id per batch in a table of its
-    own, so numbering reads one row a batch. ``lateness`` adds a stateful
+    month and users in folders by hash, so that join reads the months and the users' folders of the batch only, and
+    the largest ids per batch in tables of their own, so numbering reads one row a batch. ``lateness`` adds a stateful
     filter in front that drops copies within a watermark sooner; which copy survives it is not defined.
     """
     unique = reviews
@@ -82,7 +97,8 @@ def stream_reviews(
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         staged = _put(batch, f"{tables}/_staging", number)
-        old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in TABLES}
+        old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in TABLES if t != "users"}
+        old["users"] = known_users(spark, tables, staged, number)
         first, last = staged.agg(F.min("date"), F.max("date")).first()
         if first is None:  # nothing with a date: nothing to compare with
             months = F.lit(False)
@@ -94,8 +110,11 @@ def stream_reviews(
         )
         fresh = staged.join(loaded, REVIEW_KEY, "left_anti")
         # each table is written before the next is derived from it, so nothing is computed twice
-        added = new_members(old["users"], fresh, "user_masked", "user_masked", "user_id", order_by, buckets)
-        users = old["users"].unionByName(_put(added, f"{tables}/users", number))
+        last = old["user_ids"].agg(F.max("user_id"))
+        added = new_members(old["users"], fresh, "user_masked", "user_masked", "user_id", order_by, buckets, last)
+        added = _put(added.withColumn("bucket", _user_bucket()), f"{tables}/users", number, "bucket").drop("bucket")
+        _put(added.agg(F.max("user_id").alias("user_id")), f"{tables}/user_ids", number)
+        users = old["users"].unionByName(added)
         keyed = key_reviews(fresh, users, old["review_ids"].agg(F.max("order_id")), order_by, buckets)
         monthly = keyed.withColumn("write_month", F.date_format("write_date", "yyyy-MM"))
         written = _put(monthly, f"{tables}/reviews", number, "write_month").drop("write_month")

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomshelf.streaming import id_filters as f
+from loomshelf.streaming import incremental as st
 
 
 def ids(spark, values):
@@ -40,3 +43,39 @@ def test_no_handled_id_is_missed_and_replays_overwrite(spark, tmp_path):
     assert f.handled(ids(spark, own), "order_id", root, 0).count() == 0  # the batch itself is not earlier
     f.remember(ids(spark, []), "order_id", root, 1)
     assert f.handled(ids(spark, own[:10]), "order_id", root, 2).count() == 10
+
+
+CRAWL = "row_no bigint, user_masked string, product_code bigint, date date, text string, rating double, image_count int"
+
+
+def dropped(spark, path, rows):
+    """One more file in the drop folder."""
+    days = spark.createDataFrame(rows, "row_no bigint, user_masked string, product_code bigint, day string, text string")
+    out = days.select("row_no", "user_masked", "product_code", F.to_date("day").alias("date"), "text", F.lit(5.0).alias("rating"), F.lit(0).alias("image_count"))
+    out.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_reviews_of_several_drops(spark, tmp_path):
+    drops, target, progress = f"{tmp_path}/drops", f"{tmp_path}/star", f"{tmp_path}/progress"
+    batches = [
+        [(1, "a", 1, "2024-01-05", "x"), (2, "b", 1, "2024-01-06", "y"), (3, "a", 1, "2024-01-05", "x")],
+        [(4, "c", 1, "2024-02-01", "z"), (5, "a", 1, "2024-01-05", "x"), (6, None, 1, "2024-02-02", "w"), (7, "", 2, "2024-02-02", "w")],  # a late copy
+        [(8, "b", 1, "2024-01-06", "y"), (9, "b", 2, "2024-01-06", "y"), (10, "d", 1, "2024-03-01", "v")],
+    ]
+    for rows in batches:
+        dropped(spark, drops, rows)
+        stream = st.read_drops(spark, drops, CRAWL)
+        st.stream_reviews(stream, target, progress, ["row_no"], [F.expr("row_no div 100")]).trigger(availableNow=True).start().awaitTermination()
+    users = {r.user_masked: r.user_id for r in spark.read.parquet(f"{target}/users").collect()}
+    assert users == {"a": 1, "b": 2, "c": 3, "d": 4}
+    got = [(r.order_id, r.user_id, r.product_code, str(r.write_date), r.text) for r in spark.read.parquet(f"{target}/reviews").collect()]
+    assert len({g[0] for g in got}) == len(got)
+    assert sorted(g[1:] for g in got if g[1]) == [(1, 1, "2024-01-05", "x"), (2, 1, "2024-01-06", "y"), (2, 2, "2024-01-06", "y"), (3, 1, "2024-02-01", "z"), (4, 1, "2024-03-01", "v")]
+    # the next batch would open the folders of its users and no others
+    asked = spark.createDataFrame([("b",), ("nobody",)], "user_masked string")
+    want = {r.b for r in asked.select(st._user_bucket().alias("b")).collect()}
+    found = st.known_users(spark, target, asked, 99)
+    opened = {int(r.p.split("bucket=")[1].split("/")[0]) for r in found.select(F.input_file_name().alias("p")).collect()}
+    assert opened <= want and "b" in {r.user_masked for r in found.collect()}
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line)
+    assert all(part in scan.split("PartitionFilters")[1].split("PushedFilters")[0] for part in ("batch_id", "bucket"))
