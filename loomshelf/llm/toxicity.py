@@ -170,7 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, ordinary_r
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The documents with the probability that they are toxic. NULL counts as the empty text, which is scored too."""
+    """The documents with the probability that they are toxic, a row for each row.
+
+    NULL counts as the empty text, which is scored too; a long text is scored over all its windows; rows that repeat
+    have the same score; an empty table stays empty. Other columns stay as they are, but one named ``out_col`` is
+    replaced.
+    """
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
