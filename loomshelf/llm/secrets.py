@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomshelf.llm.common import whole_text
+from loomshelf.llm.common import forget, settle, whole_text
 from loomshelf.llm.spelling import word_counts
 
 #: The base patterns and the least length of what they must find.
@@ -141,13 +141,23 @@ def guess_cost(value: str, words: Mapping[str, int], longest: int | None = None)
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS, least: int = CORPUS_LEAST) -> list[str]:
-    """The ``most`` words of three letters or more that all texts have most often, ``least`` times or more; ties by word.
+    """The words of three letters or more that all texts have most often, by count and word: ``most`` at most.
 
-    Every text is counted whole. The list is bounded by ``most`` and taken to the driver. NULL and empty texts have no
-    words, rows that repeat count each time, an empty table has none.
+    Every text is counted whole. Counts fall into eight steps for each doubling; the list ends before the step with
+    which it would pass ``most`` and never goes below ``least``, so no more than ``most`` words reach the driver from all
+    tasks together. NULL and empty texts have no words, rows that repeat count each time, an empty table has none.
     """
-    counts = word_counts(docs, text_col, text_col, least_letters=3, least_count=least)
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = settle(word_counts(docs, text_col, text_col, least_letters=3, least_count=least), "corpus-words")
+    step = F.floor(F.log2("n") * 8)
+    first, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # a few hundred rows at most
+        held += r["count"]
+        if held > most:
+            break
+        first = r["step"]
+    found = counts.where(step >= first).select("n", "word").collect() if first is not None else []
+    forget(counts)
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def ranks(words: list[str]) -> dict[str, int]:

@@ -183,7 +183,9 @@ def test_ordinary_words_of_the_corpus_are_no_secrets(spark):
     rows = [(i, prose[i % 4]) for i in range(40)] + [(50, "token: beautiful secret = Verantwortung password: environment"), (51, "token: responsabilidad auth: magnifique"), (52, "token: k8Jq2Zx9Lw4T"), (53, None), (54, "")]
     docs = make(spark, rows)
     words = secrets.corpus_words(docs)
-    assert {"beautiful", "verantwortung", "responsabilidad", "réel"} <= set(words) and secrets.corpus_words(docs, most=2) == sorted(words, key=words.index)[:2]
+    assert {"beautiful", "verantwortung", "responsabilidad", "réel"} <= set(words)
+    few = secrets.corpus_words(docs, most=12)
+    assert 0 < len(few) <= 12 and few == words[: len(few)]
     found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan_secrets(docs, words=secrets.ranks(words)).where("doc_id >= 50").collect()}
     assert found == {50: ["assign"] * 3, 51: ["assign"], 52: ["assign", "guess"], 53: [], 54: []}
 
