@@ -17,42 +17,33 @@ def draw_hash(key: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string")))
 
 
-def hash_block(h: str | Column, digits: int = 3, start: int = 1) -> Column:
-    """``digits`` hex digits of a hash from place ``start``: 16^digits even blocks that rise with the hash."""
-    return F.substring(col(h), start, digits)
+def hash_block(h: str | Column, digits: int = 3) -> Column:
+    """The first hex digits: 16^digits even blocks that rise with the hash.
 
-
-def _cut(rows: DataFrame, keys: Sequence[str], quotas: DataFrame, block: Column, name: str) -> DataFrame:
-    """Per group the block in which the quota is passed, and what is still wanted of it; no row where it never is."""
-    sizes = rows.groupBy(*keys, block.alias(name)).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = null_safe_join(sizes.withColumn("_end", F.sum("_n").over(upto)), quotas, keys, "inner").where(F.col("_end") > F.col("_left"))
-    first = F.min(F.struct(name, (F.col("_left") - F.col("_end") + F.col("_n")).alias("_left")))
-    return ends.groupBy(*keys).agg(first.alias("_c")).select(*keys, f"_c.{name}", "_c._left")
+    A block of one group is ranked in one task, so take digits enough that rows / 16^digits fit one.
+    """
+    return F.substring(col(h), 1, digits)
 
 
 def take_per_group(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: str, seed: int | str, quota: str = "quota", digits: int = 3) -> DataFrame:
     """The first ``quota`` rows of each group in draw order, without replacement.
 
-    The hash at which a group is cut is found digit by digit from counts: the block of the first ``digits`` that
-    passes the quota, then the block of the next ones inside it. Rows before the cut pass a plain filter; only those
-    of the last block, one in 16^(2 ``digits``), are ranked.
+    The block of the hash in which a group passes its quota is found from counts. Rows of the blocks before it pass a
+    plain filter; only those of that block, one in 16^``digits`` of the group, are shuffled and ranked.
     """
-    hashed = df.withColumn("_h", draw_hash(key, seed))
-    one, two = hash_block("_h", digits), hash_block("_h", digits, digits + 1)
-    narrow = hashed.select(*keys, "_h")
-    wanted = quotas.select(*keys, F.col(quota).cast("long").alias("_left")).where(F.col(quota) > 0)
-    outer = _cut(narrow, keys, wanted, one, "_one")
-    inside = null_safe_join(narrow, outer.select(*keys, "_one"), keys, "inner").where(one == F.col("_one"))
-    inner = _cut(inside, keys, outer.drop("_one"), two, "_two")
+    hashed = df.withColumn("_h", draw_hash(key, seed)).withColumn("_blk", hash_block("_h", digits))
+    sizes = hashed.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = quotas.select(*keys, F.col(quota).cast("long").alias("_quota")).where(F.col(quota) > 0)
+    ends = null_safe_join(sizes.withColumn("_end", F.sum("_n").over(upto)), wanted, keys, "inner")
+    passed = F.min(F.when(F.col("_end") > F.col("_quota"), F.struct("_blk", (F.col("_quota") - F.col("_end") + F.col("_n")).alias("_left"))))
     # one row for each group: where it is cut, if it is
-    cuts = null_safe_join(null_safe_join(wanted.select(*keys), outer.select(*keys, "_one"), keys), inner, keys)
+    cuts = ends.groupBy(*keys).agg(passed.alias("_cut")).select(*keys, F.col("_cut._blk").alias("_last"), F.col("_cut._left").alias("_left"))
     placed = null_safe_join(hashed, cuts, keys, "inner")
-    before = F.col("_one").isNull() | (one < F.col("_one")) | ((one == F.col("_one")) & (F.col("_two").isNull() | (two < F.col("_two"))))
-    taken = placed.where(before)
+    whole = placed.where(F.col("_last").isNull() | (F.col("_blk") < F.col("_last")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key))
-    last = placed.where((one == F.col("_one")) & (two == F.col("_two"))).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
-    return taken.select(*df.columns).unionByName(last.select(*df.columns))
+    part = placed.where(F.col("_blk") == F.col("_last")).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
 def draw_rank(df: DataFrame, key: str, seed: int | str, keys: Sequence[str] = (), name: str = "draw_rank", digits: int = 5) -> DataFrame:
