@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -154,6 +155,21 @@ def matches(text: str | Column, pattern: str) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def may_match(rules: Rules = PATTERNS, text: str | Column = "text") -> Column:
+    """Whether a text holds a literal that some pattern needs, in one reading; True if a pattern names none."""
+    signs = [required_literals(p) for patterns in rules.values() for p in patterns]
+    if any(s is None for s in signs):
+        return F.lit(True)
+    words = sorted(frozenset().union(*signs))
+    if not words:
+        return F.lit(False)
+    # first letters beyond ASCII as one range: a set of hundreds of letters is tried one by one
+    first = sorted({w[0] for w in words})
+    far = [c for c in first if not c.isascii()]
+    opens = "".join(re.escape(c) for c in first if c.isascii()) + (f"{far[0]}-{far[-1]}" if far else "")
+    return col(text).rlike(f"(?=[{opens}])(?:" + "|".join(map(re.escape, words)) + ")")
+
+
 def _tree(parts: Sequence[Column], join: Callable[[Column, Column], Column]) -> Column:
     """Columns joined in pairs, and the pairs again: an expression no deeper than the digits of their number."""
     parts = list(parts)

@@ -3,12 +3,14 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomshelf import catalog
 from loomshelf.functions.lexicon import PATTERNS
 from loomshelf.functions.literals import required_literals
-from loomshelf.operators.text import pattern_counts
+from loomshelf.operators.text import may_match, pattern_counts
 
 
 @pytest.mark.parametrize(
@@ -66,3 +68,22 @@ def test_counts_are_those_of_all_patterns(spark):
 def test_a_pattern_without_its_sign_is_not_searched(spark):
     plan = spark.range(1).select(pattern_counts({"c": ["가격"]}, F.lit("x"))["c"])._jdf.queryExecution().analyzed().toString().lower()
     assert "contains" in plan and "case when" in plan
+
+
+def test_one_reading_tells_which_texts_may_match(spark):
+    rules = {"a": ["MAC|3ce"], "b": ["별로[.]?"]}
+    texts = ["d3cee", "an emac", "MA C", "별 로", "꽤 별로", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(may_match(rules).alias("may"), may_match({"c": ["x?"]}).alias("all")).collect()
+    assert [r.may for r in got] == [True, False, False, False, True, False, None]
+    assert all(r["all"] for r in got)
+
+
+def test_korean_counts_leave_out_what_the_text_before_holds(spark, tmp_path):
+    texts = ["token d3cee76 MAC", "", "안", "MAC 별로", "plain " * 9, "닥터", "A'pieu YSL\n"] * 6 + [None]
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    known = con.execute(catalog.SQL["tx10_pattern_counts_korean"]).fetchall()
+    got = catalog.QUERIES["tx10_pattern_counts_korean"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(known)
