@@ -15,7 +15,7 @@ from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
@@ -157,11 +157,11 @@ def encode(text: Column, path: str | None = None, pattern: str | None = None) ->
     """Ids of a text column as little-endian unsigned 32-bit integers; an empty or NULL text has none."""
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
-    @F.pandas_udf("binary")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for part in texts:
-            yield pd.Series([bpe.encode(t) for t in part], dtype=object)
+            yield pa.array((bpe.encode(t.as_py()) for t in part), pa.binary())
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -170,15 +170,30 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     """Bytes of a column of ids as ``encode`` gives them; NULL ids give no bytes."""
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for part in parts:
-            yield pd.Series([bpe.decode(i) for i in part], dtype=object)
+            yield pa.array((bpe.decode(i.as_py()) for i in part), pa.binary())
 
     return run(F.coalesce(ids, F.lit(b"")))
 
 
+def round_trip(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """``token_ids`` as ``encode`` and ``decoded`` as ``decode`` give them, by one worker with one set of tables."""
+    path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+
+    @F.arrow_udf("struct<token_ids: binary, decoded: binary>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = tokenizer(path, pattern)
+        for part in texts:
+            ids = pa.array((bpe.encode(t.as_py()) for t in part), pa.binary())
+            back = pa.array((bpe.decode(i.as_py()) for i in ids), pa.binary())
+            yield pa.StructArray.from_arrays([ids, back], ["token_ids", "decoded"])
+
+    return run(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def encode_documents(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", **vocabulary: str) -> DataFrame:
     """The documents with a column of ids (binary, see ``encode``) in place of any column of that name.
 

@@ -42,8 +42,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = byte_bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return ids.select("doc_id", "token_ids", byte_bpe.decode(F.col("token_ids")).alias("decoded")).select(
+    coded = read(spark, sf_dir, "documents").select("doc_id", byte_bpe.round_trip(F.col("text")).alias("coded"))
+    return coded.select("doc_id", "coded.*").select(
         "doc_id",
         F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

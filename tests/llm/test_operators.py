@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomshelf.llm import byte_bpe, decontaminate, secrets, token_files, toxicity, warc
+from loomshelf.llm import byte_bpe, decontaminate, queries, secrets, token_files, toxicity, warc
 from loomshelf.llm.common import connected_components
 from loomshelf.llm.exact_dedup import exact_dedup
 from loomshelf.llm.line_dedup import drop_lines, line_verdicts
@@ -275,6 +275,15 @@ def test_bpe_is_that_of_tiktoken(spark, awkward, empty):
     assert byte_bpe.encode_documents(empty).collect() == []
 
 
+def test_bpe_both_ways_by_one_worker(spark, awkward):
+    both = awkward.select("text", byte_bpe.encode(F.col("text")).alias("ids"), byte_bpe.round_trip(F.col("text")).alias("coded"))
+    for r in both.collect():
+        assert r.coded.token_ids == r.ids
+        assert bytes(r.coded.decoded) == (r.text or "").encode()
+    plan = queries.op4_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 # quality
 
 
