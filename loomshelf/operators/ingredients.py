@@ -706,9 +706,12 @@ def acceptance_threshold(source: str | Column) -> Column:
 
 def extract_by_mode(df: DataFrame, keys: Sequence[str], known: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """Items cut by the text's own separator, scored, and accepted by the source's threshold."""
-    spaced = F.regexp_replace(text, r"(?i)\(\s*\d+\s*(ppm|ppb|%)\s*\)", "")
-    items = F.when(separator_mode(text) == "space", F.split(strip(spaced), r"\s+")).otherwise(split_items(repair_breaks(text)))
-    rows = df.select(*keys, source, F.posexplode_outer(items).alias("pos", "raw")).where(F.col("raw").isNotNull())
+    spaced = strip(F.regexp_replace("_text", r"(?i)\(\s*\d+\s*(ppm|ppb|%)\s*\)", ""))
+    # both are columns of their own, as the cutting below names them many times
+    read = df.select(*keys, source, (separator_mode(text) == "space").alias("_space"), F.col(text).alias("_text"))
+    read = read.select(*keys, source, "_space", F.when(F.col("_space"), spaced).otherwise(repair_breaks("_text")).alias("_list"))
+    items = F.when(F.col("_space"), F.split("_list", r"\s+")).otherwise(split_items("_list"))
+    rows = read.select(*keys, source, F.posexplode_outer(items).alias("pos", "raw")).where(F.col("raw").isNotNull())
     # the name rules are long, so they run once per distinct spelling
     marks = known.select(F.trim(known.columns[0]).alias("_known")).distinct()
     judged = (
@@ -717,6 +720,7 @@ def extract_by_mode(df: DataFrame, keys: Sequence[str], known: DataFrame, text:
         .withColumn("ingredient", normalise_name("_raw"))
         .join(marks, F.col("ingredient") == F.col("_known"), "left")
         .select("_raw", "ingredient", validity_reason("ingredient", F.col("_known").isNotNull()).alias("reason"))
+        .where(F.col("reason").isin(*ACCEPTING))  # no threshold takes a refused name
     )
     named = rows.join(judged, F.col("raw") == F.col("_raw")).withColumn("confidence", reason_confidence("reason"))
     return named.drop("_raw").where(F.col("confidence") >= acceptance_threshold(source))
