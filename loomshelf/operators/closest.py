@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 
@@ -9,18 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomshelf.functions.letters import pairs_in_order
 from loomshelf.operators.ingredients import replace_all
 
 #: Fixed value: the least similarity of a correction.
 CUTOFF = 0.75
 
 
-def _letters(word: str) -> Column:
-    """The letters of a word as a set: each with the number of times it stood before."""
-    ordered = F.array_sort(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)))
-    return F.transform(ordered, lambda c, i: F.concat(c, (i - F.array_position(ordered, c)).cast("string")))
-
-
 def block_ratio(entry: Column, name: Column) -> Column:
     """Twice the letters in matching blocks over the letters of both, blocks found in the name for the entry."""
 
@@ -40,34 +36,13 @@ def block_ratio(entry: Column, name: Column) -> Column:
     return run(entry, name)
 
 
-def _ranked(words: DataFrame, word: str, counts: DataFrame) -> DataFrame:
-    """Every word with its letters, the rarest first, and its length."""
-    letters = words.select(word, F.explode(_letters(word)).alias("_t")).join(counts, "_t")
-    return letters.groupBy(word).agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "_t"))), lambda x: x["_t"]).alias("_ts"), F.count(F.lit(1)).cast("int").alias("_size"))
-
-
 def candidate_pairs(names: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame:
     """Pairs ``_a``, ``_b`` of a name and an entry whose letters would allow a ratio of ``cutoff``; all that reach it are among them.
 
-    Blocks cannot hold more letters than both words have in common, so a pair must share ``cutoff`` times half of
-    both lengths. For given lengths one of the rarest letters of each must then be the same: as many as could be
-    missing, and one. Names and entries meet by both lengths and such a letter, counted by its repeats, and the
-    letters that they share are counted before any block is looked for.
+    Blocks stand in the same order in both words, so a pair must have ``cutoff`` times half of both lengths of letters
+    in the same order.
     """
-    both = names.select(F.col("_a").alias("_w")).union(entries.select(F.col("_b").alias("_w")))
-    counts = both.select(F.explode(_letters("_w")).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    low, high = cutoff / (2 - cutoff), (2 - cutoff) / cutoff
-
-    def posted(words: DataFrame, word: str, mine: str, other: str) -> DataFrame:
-        sizes = F.sequence(F.ceil(F.col("_size") * low - 1e-9).cast("int"), F.floor(F.col("_size") * high + 1e-9).cast("int"))
-        met = _ranked(words, word, counts).select(word, "_ts", F.col("_size").alias(mine), F.explode(sizes).alias(other))
-        common = F.ceil((F.col(mine) + F.col(other)) * (cutoff / 2) - 1e-9).cast("int")
-        return met.where(common <= F.least(mine, other)).select(word, mine, other, F.explode(F.slice("_ts", F.lit(1), F.col(mine) - common + 1)).alias("_t"))
-
-    left, right = posted(names, "_a", "_x", "_y"), posted(entries, "_b", "_y", "_x")
-    pairs = left.join(right, ["_x", "_y", "_t"]).select("_a", "_b", "_x", "_y").distinct()
-    shared = F.size(F.array_intersect(_letters("_a"), _letters("_b")))
-    return pairs.where(shared >= (F.col("_x") + F.col("_y")) * (cutoff / 2) - 1e-9).select("_a", "_b")
+    return pairs_in_order(names, entries, cutoff / (2 - cutoff), lambda x, y: math.ceil((x + y) * (cutoff / 2) - 1e-9))
 
 
 def closest_names(

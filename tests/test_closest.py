@@ -86,3 +86,22 @@ def test_the_query_reads_every_language(spark, tmp_path):
     got = {r.name: (r.corrected, r.similarity, r.is_known) for r in catalog.QUERIES["ig14_closest_names"](spark, path).collect()}
     want = {n: plain(n, words, 0.75, lex.MISREADINGS) for n in names}
     assert got == {n: (c, round(s, 8), k) for n, (c, s, k) in want.items()}
+
+
+def test_equal_letters_in_another_order_are_no_candidates(spark):
+    rng = random.Random(4)
+    shuffled = sorted({"".join(rng.sample("abcdefghijkl", 12)) for _ in range(300)})
+    names, entries = shuffled[:200], [*shuffled[200:], "lkjihgfedcba" * 7, "x" * 80]
+    a, b = spark.createDataFrame([(n,) for n in [*names, "lkjihgfedcab" * 7]], "_a string"), spark.createDataFrame([(e,) for e in entries], "_b string")
+    got = {tuple(r) for r in candidate_pairs(a, b, 0.75).collect()}
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for p in x:
+            last = 0
+            for j, q in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if p == q else max(row[j], row[j - 1])
+        return row[-1]
+
+    # words of more than 63 letters are told apart by their letters alone
+    assert got == {(x, y) for x in names for y in entries if common(x, y) >= 0.75 * 12 and len(y) == 12} | {("lkjihgfedcab" * 7, "lkjihgfedcba" * 7)}
