@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from loomshelf.functions import ingredient_lexicon as lex
 from loomshelf.functions.columns import any_of, col, unnest
+from loomshelf.functions.letters import pairs_in_order
 from loomshelf.functions.ranking import keep_first
 
 DECOMPOSED = "[̀-ͯᄀ-ᇿ]"
@@ -423,59 +424,32 @@ def unify_spellings(item: str | Column, pairs: Mapping[str, str], patterns: Sequ
 def correct_names(names: DataFrame, dictionary: DataFrame, cutoff: float = 0.8, name: str = "name", entry: str = "entry") -> DataFrame:
     """Closest dictionary entry per name: exact, exact without spaces, else edit similarity ≥ cutoff.
 
-    Edit similarity is 1 - distance / longer length. Candidates come from an exact filter: with at
-    most k edits, one of an entry's k+1 segments stands unchanged in the name, shifted by at most k. So
-    no close pair is missed and no pair is formed without a shared segment.
+    Edit similarity is 1 - distance / longer length. With at most k edits all but k letters of the longer word
+    stand in the same order in the other one, so candidates are the pairs that have as many (``functions.letters``).
     """
+    if not 0.5 < cutoff <= 1:
+        raise ValueError("cutoff must lie above 0.5 and not above 1")
     a = names.select(F.col(name).alias("_n")).where(F.length("_n") > 0).distinct().withColumn("_a", F.replace(F.col("_n"), F.lit(" ")))
     b = dictionary.select(F.col(entry).alias("_e")).where(F.length("_e") > 0).distinct().withColumn("_b", F.replace(F.col("_e"), F.lit(" ")))
     by_text = b.groupBy(F.col("_b").alias("_a")).agg(F.min("_e").alias("_stripped"))
     exact = b.select(F.col("_e").alias("_n"), F.col("_e").alias("_same"))
     direct = a.join(exact, "_n", "left").join(by_text, "_a", "left").withColumn("_hit", F.coalesce("_same", "_stripped"))
 
-    rest = direct.where(F.col("_hit").isNull()).select("_n", "_a").where(F.length("_a") > 0)
-    # a pair with lengths (x, y) may differ by floor((1 - cutoff) * max(x, y)) edits
-    if not 0.5 < cutoff <= 1:
-        raise ValueError("cutoff must lie above 0.5 and not above 1")
+    # names and entries meet without their spaces, which several of each may share
+    rest = direct.where(F.col("_hit").isNull()).select("_a").distinct()
     share = round(1 - cutoff, 9)
-
-    def edits(longer: str) -> str:
-        return f"cast(floor({share}D * ({longer}) + 1e-9) as int)"
-
-    # entries are cut for every name length they could meet; cut-offs above one half leave no empty segment
-    cut = "(_i * _y) div (_k + 1)", "((_i + 1) * _y) div (_k + 1)"
-    lengths = "sequence(cast(ceil({0} * {1}D) as int), cast(floor({0} / {1}D) as int))"
-
-    def shapes(df: DataFrame, mine: str, other: str) -> DataFrame:
-        return (
-            df.withColumn(other, F.explode(F.expr(lengths.format(mine, 1 - share))))
-            .withColumn("_k", F.expr(edits("greatest(_x, _y)")))
-            .where("abs(_x - _y) <= _k")
-            .withColumn("_i", F.explode(F.expr("sequence(0, _k)")))
-            .withColumns({"_p": F.expr(f"cast({cut[0]} as int)"), "_l": F.expr(f"cast({cut[1]} - {cut[0]} as int)")})
-        )
-
-    segments = shapes(b.withColumn("_y", F.length("_b")), "_y", "_x").select(
-        "_e", "_b", "_x", "_y", "_p", F.expr("substring(_b, _p + 1, _l)").alias("_seg")
-    )
-    probes = (
-        shapes(rest.withColumn("_x", F.length("_a")), "_x", "_y")
-        .where("_l <= _x")
-        .withColumn("_at", F.explode(F.expr("sequence(greatest(0, least(_p - _k, _x - _l)), least(_x - _l, _p + _k))")))
-        .select("_n", "_a", "_x", "_y", "_p", F.expr("substring(_a, _at + 1, _l)").alias("_seg"))
-        .distinct()
-    )
-    pairs = probes.join(segments, ["_x", "_y", "_p", "_seg"]).select("_n", "_a", "_e", "_b").distinct()
+    pairs = pairs_in_order(rest, b.select("_b").distinct(), 1 - share, lambda x, y: max(x, y) - int(share * max(x, y) + 1e-9))
     ratio = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"))
     best = (
         pairs.withColumn("_r", ratio)
         .where(F.col("_r") >= cutoff - 1e-9)
-        .groupBy("_n")
-        .agg(F.min_by(F.struct("_e", "_b"), F.struct(-F.round("_r", 9), F.col("_e"))).alias("_best"))
+        .join(by_text.withColumnRenamed("_a", "_b"), "_b")
+        .groupBy("_a")
+        .agg(F.min_by(F.struct(F.col("_stripped").alias("_e"), "_b"), F.struct(-F.round("_r", 9), F.col("_stripped"))).alias("_best"))
     )
     letters = lambda c: F.array_distinct(F.split(c, ""))
     jaccard = F.size(F.array_intersect(letters("_a"), letters(F.col("_best._b")))) / F.size(F.array_union(letters("_a"), letters(F.col("_best._b"))))
-    return direct.join(best, "_n", "left").select(
+    return direct.join(best, "_a", "left").select(
         F.col("_n").alias(name),
         F.coalesce("_hit", F.col("_best._e"), "_n").alias("corrected"),
         F.when(F.col("_hit").isNotNull(), 1.0).when(F.col("_best").isNotNull(), jaccard).otherwise(0.0).alias("similarity"),

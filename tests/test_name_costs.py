@@ -10,3 +10,13 @@ def test_an_item_is_cleaned_once(spark):
     assert plan.count("자외선") == 1
     got = sorted((r.pos, r.ingredient, r.concentration) for r in parsed.collect())
     assert got == [(0, "글리세린", None), (1, "판테놀오일", None), (2, "나이아신아마이드", None), (3, "알란토인", None), (4, "정제수", "95%"), (5, "티이에이", None)]
+
+
+def test_a_name_is_no_row_for_each_piece_of_it(spark):
+    names = spark.createDataFrame([("glyzerin",), ("gly cerin",), ("ab c",)], "name string")
+    entries = spark.createDataFrame([("glycerin",), ("a bd",), ("glyceral",), ("gl yceral",)], "entry string")
+    corrected = ig.correct_names(names, entries)
+    # entries alone are laid out, by the lengths that they may meet and by part
+    assert corrected._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+    got = {r.name: (r.corrected, r.is_known) for r in corrected.collect()}
+    assert got == {"glyzerin": ("glycerin", False), "gly cerin": ("glycerin", True), "ab c": ("ab c", False)}
