@@ -129,7 +129,9 @@ def ig7(spark, sf):
     ),
 )
 def ig8(spark, sf):
-    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), F.posexplode_outer(F.split("text", " ")).alias("pos", "ingredient"))
+    # a text is dealt out whole, by the product, so that its words are grouped where they are cut
+    dealt = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), "text").repartition("product_id")
+    d = dealt.select("product_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "ingredient"))
     return ig.dedup_items(d.where("ingredient <> ''").withColumn("pos", F.col("pos").cast("long")), ["product_id"])
 
 

@@ -45,3 +45,9 @@ def test_no_table_is_dealt_out_by_its_size(spark, sf):
     from loomshelf.sources import views
 
     assert "Exchange" not in plan(views.table(spark, sf, "documents"))
+
+
+def test_words_are_grouped_where_their_text_is_cut(spark, sf):
+    """Texts are shuffled whole; their words, one row each, are not."""
+    plan = catalog.QUERIES["ig8_dedup_items"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
