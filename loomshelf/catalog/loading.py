@@ -381,8 +381,10 @@ SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SEL
 MASTER = "SELECT dense_rank() OVER (ORDER BY ingredient) AS ingredient_id, ingredient AS name FROM (SELECT DISTINCT ingredient FROM words WHERE length(ingredient) >= 4)"
 
 
-def word_rows(spark, sf):
-    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), F.posexplode_outer(F.split("text", " ")).alias("pos", "word"))
+def word_rows(spark, sf, dealt=False):
+    texts = v.table(spark, sf, "documents").select(F.col("doc_id").alias("product_id"), "text")
+    texts = texts.repartition("product_id") if dealt else texts
+    d = texts.select("product_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "word"))
     return d.where("word <> ''").select("product_id", F.col("pos").cast("long").alias("pos"), F.lower("word").alias("ingredient"))
 
 
@@ -396,9 +398,10 @@ def word_rows(spark, sf):
     ),
 )
 def dim7(spark, sf):
-    rows = word_rows(spark, sf)
-    names = rows.where(F.length("ingredient") >= 4).select(F.col("ingredient").alias("name")).distinct()
+    names = word_rows(spark, sf).where(F.length("ingredient") >= 4).select(F.col("ingredient").alias("name")).distinct()
     master = names.withColumn("ingredient_id", F.col("name"))
+    # a text is dealt out whole, by the product, so that its words are ranked where they are cut
+    rows = word_rows(spark, sf, dealt=True)
     d = dim.product_ingredients(rows, master, "product_id", "ingredient", ["pos"], [F.expr("pos div 4096")])
     return d.select("product_id", F.col("ingredient_id").alias("ingredient"), "rank")
 

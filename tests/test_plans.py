@@ -51,3 +51,11 @@ def test_words_are_grouped_where_their_text_is_cut(spark, sf):
     """Texts are shuffled whole; their words, one row each, are not."""
     plan = catalog.QUERIES["ig8_dedup_items"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
+
+
+def test_words_are_ranked_where_their_text_is_cut(spark, sf):
+    """Below the window over a product's words only whole texts are shuffled."""
+    lines = plan(catalog.QUERIES["dim7_product_ingredients"](spark, sf)).split("\n")
+    window = next(i for i, line in enumerate(lines) if "row_number()" in line and "Window" in line)
+    below = [line for line in lines[window:] if "Exchange" in line or "Generate" in line]
+    assert "Generate" in below[0] and "Exchange" in below[1]
