@@ -1,8 +1,9 @@
 """Near-dedup of whole texts by the Jaccard similarity of their word shingles.
 
-Two texts at 0.8 differ in 5 to 7 of 64 SimHash bits in the median, where the inverted index of ``simhash`` has no
-shared bytes left to look up, and keys of enough bits of a wider fingerprint would have to be hundreds per text.
-Candidates therefore come from bands of minima (MinHash), and every link is verified on the shingles themselves.
+Texts whose SimHash fingerprints differ in two bits or fewer meet through the inverted index over byte positions of
+``simhash``. Two texts at 0.8 differ in 5 to 7 of 64 bits in the median, where that index has no shared bytes left to
+look up, and keys of enough bits of a wider fingerprint would have to be hundreds per text. The other candidates
+therefore come from bands of minima (MinHash), and every link is verified on the shingles themselves.
 What a band leaves undecided is settled by a join over the rarest shingles of each text, which is exact and does not
 pair texts that only share a template.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomshelf.llm.common import connected_components, forget, maybe_among, settle, whole_text
+from loomshelf.llm.simhash import near_fingerprints, print_of
 
 SEED = 42
 #: A pair at similarity s has a band in common with probability 1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8.
@@ -53,7 +55,7 @@ def _arrays(text: Column, width: int, bands: bool) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             found = (shingles_of(t, width) for t in part)
-            yield pd.Series([bands_of(s) if bands else s.view(np.int64) for s in found], dtype=object)
+            yield pd.Series([np.append(np.int64(print_of(s.astype(">u8").view(np.uint8))), bands_of(s)) if bands else s.view(np.int64) for s in found], dtype=object)
 
     return run(text.cast("binary"))
 
@@ -102,20 +104,37 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFr
     return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
 
 
+def index_pairs(prints: DataFrame, bits: int = 2) -> DataFrame:
+    """Pairs ``a``, ``b`` of text hashes whose closure holds every two texts with fingerprints at ``bits`` or fewer bits.
+
+    ``prints``: ``text_hash``, ``fp``. Texts of one fingerprint meet its smallest text, which stands for them in the
+    inverted index over byte positions.
+    """
+    heads = settle(prints.groupBy("fp").agg(F.min("text_hash").alias("head"), F.count(F.lit(1)).alias("_n")), "prints")
+    same = prints.join(heads.where("_n > 1"), "fp").where("text_hash <> head").select(F.col("head").alias("_x"), F.col("text_hash").alias("_y"))
+    edges = near_fingerprints(heads, "fp", bits)
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("_x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("_y"))
+    met = same.unionByName(edges.join(left, "a").join(right, "b").select("_x", "_y"))
+    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 def near_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Root of every text that is linked to another: ``node``, ``root``. ``texts``: ``text``, ``text_hash``.
 
-    Every pair that shares a band is decided: either it is verified, or both are already in one component, or the
+    Candidates of the inverted index are verified first. Every pair that shares a band is decided: either it is verified, or both are already in one component, or the
     pair cannot reach the similarity. First the members of a bucket meet its smallest and largest only, which ties
     a large group together by a number of pairs that grows with its size. Members of buckets that still hold
     different components then meet through their rarest shingles (``prefix_pairs``), never all with all.
 
     Texts that repeat are one; an empty text has one empty shingle. No texts give no rows.
     """
-    postings = settle(texts.select("text_hash", F.explode(_arrays(F.col("text"), width, True)).alias("band")).distinct(), "postings")
+    signed = settle(texts.select("text_hash", F.posexplode(_arrays(F.col("text"), width, True)).alias("_at", "band")).select("text_hash", (F.col("_at") == 0).alias("_print"), "band").distinct(), "postings")
+    postings = signed.where("NOT _print").drop("_print")
+    by_index = index_pairs(signed.where("_print").select("text_hash", F.col("band").alias("fp")))
     buckets = postings.groupBy("band").agg(F.min("text_hash").alias("_low"), F.max("text_hash").alias("_high")).where("_low < _high")
     meets = postings.join(buckets.hint("merge"), "band").select("text_hash", F.explode(F.array("_low", "_high")).alias("_end")).where("text_hash <> _end")
-    first = settle(meets.select(F.least("text_hash", "_end").alias("a"), F.greatest("text_hash", "_end").alias("b")).distinct(), "candidates")
+    by_band = meets.select(F.least("text_hash", "_end").alias("a"), F.greatest("text_hash", "_end").alias("b"))
+    first = settle(by_index.unionByName(by_band).distinct(), "candidates")
     sets = _sets(first.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), texts, width)
     links = _verified(first, sets, similarity)
     roots = settle(connected_components(links), "roots")
@@ -125,7 +144,7 @@ def near_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         .select("band", "text_hash", F.coalesce("root", "text_hash").alias("root")),
         "placed",
     )
-    forget(postings)
+    forget(signed)
     mixed = placed.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("band")
     open_ = settle(placed.join(mixed.hint("merge"), "band").select("text_hash", "root").distinct(), "open")
     forget(placed)

@@ -20,6 +20,13 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _EDGES = "array<struct<a: bigint, b: bigint>>"
 
 
+def print_of(digests: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of 64-bit hashes, given as bytes, most significant first: bits that over half of them have."""
+    hashes = digests.reshape(-1, BYTES)
+    counts = np.concatenate([np.bincount(hashes[:, i], minlength=256) @ _BITS for i in range(BYTES)])
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint_of(text: bytes, width: int = 3) -> int:
     """Signed 64-bit fingerprint of a UTF-8 text: a bit is set if over half of the shingle hashes have it."""
     words = text.lower().split()  # on bytes both touch ASCII only: A-Z, and \x20 \x09-\x0D
@@ -28,9 +35,7 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
     digest = xxhash.xxh64_digest
     n = max(1, len(words) - width + 1)
     joined = [b" ".join(words)] if n == 1 else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in joined]), np.uint8).reshape(-1, BYTES)
-    counts = np.concatenate([np.bincount(hashes[:, i], minlength=256) @ _BITS for i in range(BYTES)])
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
+    return print_of(np.frombuffer(b"".join([digest(s, SEED) for s in joined]), np.uint8))
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:

@@ -2,10 +2,12 @@
 
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomshelf.llm.shingle_dedup import keep_one, near_texts, prefix_pairs, shingles_of
+from loomshelf.llm.shingle_dedup import index_pairs, keep_one, near_texts, prefix_pairs, shingles_of
+from loomshelf.llm.simhash import print_of
 
 
 def plain_shingles(text):
@@ -95,3 +97,28 @@ def test_no_similar_pair_escapes_the_prefixes(spark):
     assert want <= got and len(want) > 50
     # texts of one component do not meet
     assert prefix_pairs(sets, sets.select("text_hash", F.lit(0).cast("long").alias("root")), 0.8).count() == 0
+
+
+def test_index_pairs_tie_together_what_two_bits_tie(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    prints += [p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in prints[:40]] + prints[:20]
+    rows = [(1000 + i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    got = [(r.a - 1000, r.b - 1000) for r in index_pairs(spark.createDataFrame(rows, "text_hash bigint, fp bigint")).collect()]
+    plain = [(i, j) for j in range(len(prints)) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= 2]
+
+    def classes(pairs):
+        label = list(range(len(prints)))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [min(i for i, y in enumerate(label) if y == x) for x in label]
+
+    assert len(plain) >= 60
+    assert classes(got) == classes(plain)
+
+
+def test_print_of_shingles_is_a_simhash():
+    digests = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c d e", b"b c d e f", b"c d e f g")]
+    plain = sum(1 << k for k in range(64) if 2 * sum(d >> k & 1 for d in digests) > 3)
+    shingles = shingles_of(b"a b c d e f g")
+    assert print_of(shingles.astype(">u8").view("u1")) & (1 << 64) - 1 == plain
