@@ -41,11 +41,11 @@ def st1(spark, sf):
         writer.trigger(availableNow=True).start().awaitTermination()
     users = spark.read.parquet(f"{target}/users").select("user_id", "user_masked")
     lengths = spark.read.parquet(f"{target}/review_analysis").select("order_id", "length")
+    reviews = spark.read.parquet(f"{target}/reviews").select("order_id", "product_code", "user_id", "write_date", F.md5("text").alias("text_md5"))
     return (
-        spark.read.parquet(f"{target}/reviews")
-        .join(users, "user_id")
+        reviews.join(users, "user_id")
         .join(lengths, "order_id")
-        .select("product_code", "user_masked", "write_date", F.md5("text").alias("text_md5"), "length")
+        .select("product_code", "user_masked", "write_date", "text_md5", "length")
     )
 
 

@@ -122,20 +122,24 @@ def analysis_length_class(length: str) -> Column:
 
 
 def key_reviews(
-    crawl: DataFrame, users: DataFrame, last: DataFrame, order_by: Sequence[str], buckets: Sequence[Column]
+    crawl: DataFrame, users: DataFrame, last: DataFrame, order_by: Sequence[str], buckets: Sequence[Column], text: Sequence[str] = ("text",)
 ) -> DataFrame:
-    """Crawled rows as review rows: known user, first copy only, ids after ``last`` (one row, one column)."""
+    """Crawled rows as review rows: known user, first copy only, ids after ``last`` (one row, one column).
+
+    ``text`` names the columns that stand for the text, which may be its digest and the place it is read from; the
+    first of them tells copies.
+    """
     keyed = lookup_id(crawl, users.select("user_masked", "user_id"), "user_masked", "user_masked", "user_id")
     if "is_reorder" not in crawl.columns:
         keyed = keyed.withColumn("is_reorder", F.lit(False))
-    unique = keep_first(keyed, ["product_code", "user_id", "date", "text"], order_by)
+    unique = keep_first(keyed, ["product_code", "user_id", "date", text[0]], order_by)
     return assign_ids(unique, last, order_by, buckets).select(
         "order_id",
         "product_code",
         "user_id",
         F.col("date").cast("date").alias("write_date"),
         "rating",
-        "text",
+        *text,
         "image_count",
         F.coalesce("is_reorder", F.lit(False)).alias("is_reorder"),
     )

@@ -19,6 +19,8 @@ from loomshelf.operators.labels import Labeller, explode_labels, label_reviews
 from loomshelf.streaming import id_filters
 
 REVIEW_KEY = ["product_code", "user_masked", "date", "text"]
+#: Columns of the staged rows: digest of the text, which stands for it in joins and groups, and the place of the row.
+DIGEST, PLACE = "_digest", "_place"
 
 TABLES = {
     "users": "user_id bigint, user_masked string, batch_id bigint, bucket int",
@@ -27,6 +29,7 @@ TABLES = {
     "image_count int, is_reorder boolean, batch_id bigint, write_month string",
     "review_ids": "order_id bigint, batch_id bigint",
 }
+REVIEW_COLUMNS = ["order_id", "product_code", "user_id", "write_date", "rating", "text", "image_count", "is_reorder"]
 
 
 def read_drops(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -59,6 +62,11 @@ def _drop(spark: SparkSession, path: str, batch: int) -> None:
 USER_BUCKETS = 256
 
 
+def _text_digest() -> Column:
+    """SHA-256 of the text; a NULL text has none and meets no other, as NULL itself."""
+    return F.unhex(F.sha2(F.col("text"), 256))
+
+
 def _user_bucket() -> Column:
     return F.pmod(F.xxhash64("user_masked"), F.lit(USER_BUCKETS)).cast("int")
 
@@ -82,7 +90,8 @@ def stream_reviews(
     Copies inside a batch collapse to the first in ``order_by``; copies of loaded reviews are found by a
     join with the loaded rows of the batch's dates, however late they come. Reviews are kept in folders by
     month and users in folders by hash, so that join reads the months and the users' folders of the batch only, and
-    the largest ids per batch in tables of their own, so numbering reads one row a batch. ``lateness`` adds a stateful
+    the largest ids per batch in tables of their own, so numbering reads one row a batch. Copies are told by digests of
+    the texts; a text moves once, to the row that stays, by its place in the staged batch. ``lateness`` adds a stateful
     filter in front that drops copies within a watermark sooner; which copy survives it is not defined.
     """
     unique = reviews
@@ -96,7 +105,7 @@ def stream_reviews(
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        staged = _put(batch, f"{tables}/_staging", number)
+        staged = _put(batch.withColumns({DIGEST: _text_digest(), PLACE: F.monotonically_increasing_id()}), f"{tables}/_staging", number)
         old = {t: _earlier(spark, f"{tables}/{t}", TABLES[t], number) for t in TABLES if t != "users"}
         old["users"] = known_users(spark, tables, staged, number)
         first, last = staged.agg(F.min("date"), F.max("date")).first()
@@ -104,23 +113,28 @@ def stream_reviews(
             months = F.lit(False)
         else:
             months = F.col("write_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}") & F.col("write_date").between(F.lit(first), F.lit(last))
-        same_days = old["reviews"].where(months)
+        same_days = old["reviews"].where(months).withColumn(DIGEST, _text_digest()).drop("text")
         loaded = same_days.join(old["users"], "user_id").select(
-            "product_code", "user_masked", F.col("write_date").alias("date"), "text"
+            "product_code", "user_masked", F.col("write_date").alias("date"), DIGEST
         )
-        fresh = staged.join(loaded, REVIEW_KEY, "left_anti")
+        # no row carries its text through what follows
+        fresh = staged.drop("text").join(loaded, [*REVIEW_KEY[:-1], DIGEST], "left_anti")
         # each table is written before the next is derived from it, so nothing is computed twice
         last = old["user_ids"].agg(F.max("user_id"))
         added = new_members(old["users"], fresh, "user_masked", "user_masked", "user_id", order_by, buckets, last)
         added = _put(added.withColumn("bucket", _user_bucket()), f"{tables}/users", number, "bucket").drop("bucket")
         _put(added.agg(F.max("user_id").alias("user_id")), f"{tables}/user_ids", number)
         users = old["users"].unionByName(added)
-        keyed = key_reviews(fresh, users, old["review_ids"].agg(F.max("order_id")), order_by, buckets)
-        monthly = keyed.withColumn("write_month", F.date_format("write_date", "yyyy-MM"))
+        keyed = key_reviews(fresh, users, old["review_ids"].agg(F.max("order_id")), order_by, buckets, [DIGEST, PLACE])
+        # written first, so that a batch of known reviews is seen to be empty and moves no text
+        keyed = _put(keyed, f"{tables}/_staging_ids", number)
+        texts = keyed.join(staged.select(PLACE, "text"), PLACE).select(*REVIEW_COLUMNS)
+        monthly = texts.withColumn("write_month", F.date_format("write_date", "yyyy-MM"))
         written = _put(monthly, f"{tables}/reviews", number, "write_month").drop("write_month")
         _put(written.agg(F.max("order_id").alias("order_id")), f"{tables}/review_ids", number)
         _put(analysis_rows(written), f"{tables}/review_analysis", number)
         _drop(spark, f"{tables}/_staging", number)
+        _drop(spark, f"{tables}/_staging_ids", number)
 
     return unique.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
 
