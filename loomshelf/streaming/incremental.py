@@ -7,13 +7,13 @@ checkpoint takes the place of a progress file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from loomshelf.functions.ranking import keep_first
+from loomshelf.functions.ranking import null_safe_join
 from loomshelf.operators.dimensions import analysis_rows, key_reviews, new_members
 from loomshelf.operators.labels import Labeller, explode_labels, label_reviews
 from loomshelf.streaming import id_filters
@@ -145,6 +145,33 @@ LABELS = (
 )
 
 
+#: Places of staged rows that one bitmap covers.
+WORD = 1 << 15
+
+
+def _first_copies(staged: DataFrame, done: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """The rows of ids that are not ``done``, of each id the first in the order of all its other columns.
+
+    Copies are told apart by digests. Only ids whose copies differ bring their texts along to be put in order; which
+    rows stay is then told by bitmaps of places, one bit a row, so that no other text is shuffled. ``stage`` writes what
+    is joined to texts first, as Spark sees only then that it is small.
+    """
+    rest = [c for c in staged.columns if c not in ("order_id", DIGEST, PLACE)]
+    narrow = staged.drop("text")
+    alike = narrow.groupBy("order_id", *[c for c in rest if c != "text"], DIGEST).agg(F.min(PLACE).alias(PLACE))
+    todo = alike.join(done, "order_id", "left_anti").select("order_id", PLACE)
+    # the NULL id is a group like any other
+    copies = stage(todo.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias(PLACE)), "copies")
+    several = stage(copies.where("_n > 1").select("order_id"), "several")
+    ordered = null_safe_join(staged, several, ["order_id"], "inner").groupBy("order_id").agg(F.min_by(PLACE, F.struct(*rest)).alias(PLACE))
+    stay = copies.where("_n = 1").select(PLACE).unionByName(ordered.select(PLACE))
+    marks = stay.groupBy(F.expr(f"{PLACE} div {WORD}").alias("_word")).agg(F.bitmap_construct_agg(F.col(PLACE) % WORD).alias("_bits"))
+    marks = stage(marks, "marks")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, CAST(({PLACE} % {WORD}) div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    placed = staged.join(marks, F.expr(f"{PLACE} div {WORD}") == F.col("_word"))
+    return placed.where(F.expr(f"1 << CAST({PLACE} % 8 AS INT)").bitwiseAND(byte) != 0).drop("_word", "_bits")
+
+
 def stream_labels(reviews: DataFrame, labels: str, checkpoint: str, labeller: Labeller | None = None) -> DataStreamWriter:
     """Label reviews that have no label yet, each once even if its batch holds it twice; one row per review and aspect.
 
@@ -154,12 +181,13 @@ def stream_labels(reviews: DataFrame, labels: str, checkpoint: str, labeller: La
     columns = [c.split()[0] for c in LABELS.split(", ") if not c.startswith("batch_id")]
 
     def load(batch: DataFrame, number: int) -> None:
-        staged = _put(batch, f"{labels}_staging", number)
+        staged = _put(batch.withColumns({DIGEST: _text_digest(), PLACE: F.monotonically_increasing_id()}), f"{labels}_staging", number)
         done = id_filters.handled(staged, "order_id", f"{labels}_handled", number)
-        todo = keep_first(staged, ["order_id"], [c for c in staged.columns if c != "order_id"]).join(done, "order_id", "left_anti")
+        todo = _first_copies(staged, done, lambda df, name: _put(df, f"{labels}_{name}", number)).drop(DIGEST, PLACE)
         written = _put(explode_labels(label_reviews(todo, labeller)).select(*columns), labels, number)
         # only now, so that a batch that failed before is labelled when it runs again
         id_filters.remember(written, "order_id", f"{labels}_handled", number)
-        _drop(batch.sparkSession, f"{labels}_staging", number)
+        for name in ("staging", "copies", "several", "marks"):
+            _drop(batch.sparkSession, f"{labels}_{name}", number)
 
     return reviews.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

@@ -110,3 +110,14 @@ def test_a_text_moves_once_and_null_texts_are_kept_apart(spark, tmp_path):
     keyed = [plan for name, plan in plans if name in ("users", "_staging_ids")]
     assert len(keyed) == 4 and not any(" min(struct" in p and "text#" in p.split("Aggregate", 1)[1].split("\n", 1)[0] for p in keyed)
     assert not any(line for plan in keyed for line in plan.splitlines() if "Join" in line and "text#" in line)
+
+
+def test_labels_take_the_first_copy_without_moving_texts(spark):
+    rows = [(1, 7, 2.0, "b"), (1, 7, 2.0, "a"), (1, 7, 2.0, "a"), (2, 7, 1.0, "x"), (2, 7, 1.0, "x"), (3, 7, 1.0, "done"), (4, 1, None, None), (4, 1, None, "y"), (None, 1, 1.0, "n"), (None, 1, 1.0, "m")]
+    rows += [(i, 1, 5.0, f"text {i}") for i in range(10, 200)] * 2
+    staged = spark.createDataFrame(rows, "order_id bigint, product_code bigint, rating double, text string").repartition(3)
+    staged = staged.withColumns({st.DIGEST: st._text_digest(), st.PLACE: F.monotonically_increasing_id()}).localCheckpoint()
+    done = spark.createDataFrame([(3,)], "order_id bigint")
+    got = sorted(((r.order_id, r.product_code, r.rating, r.text) for r in st._first_copies(staged, done).collect()), key=str)
+    want = [(1, 7, 2.0, "a"), (2, 7, 1.0, "x"), (4, 1, None, None), (None, 1, 1.0, "m"), *[(i, 1, 5.0, f"text {i}") for i in range(10, 200)]]
+    assert got == sorted(want, key=str)
