@@ -102,18 +102,21 @@ def with_tendency(reviews: DataFrame) -> DataFrame:
 
 
 def with_repurchase(reviews: DataFrame, products: DataFrame) -> DataFrame:
-    """Among a user's reorder reviews, does the brand (the category) occur at least twice?"""
+    """Among a user's reorder reviews, does the brand (the category) occur at least twice?
+
+    The repeated brands and categories of a user are one row, so that reviews are joined once.
+    """
     placed = reviews.join(products.select("product_code", "brand", "category_2"), "product_code", "left")
-    reorders = placed.where("is_reorder")
-    out = placed
-    for key, name in (("brand", "is_brand_repurchase"), ("category_2", "is_category_repurchase")):
-        repeats = reorders.groupBy("user_id", key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        out = (
-            null_safe_join(out, repeats, ["user_id", key])
-            .withColumn(name, F.when(F.col("is_reorder") & F.col("_n").isNotNull(), 1).otherwise(0))
-            .drop("_n")
-        )
-    return out
+    both = placed.where("is_reorder").groupBy("user_id", "brand", "category_2").agg(F.count(F.lit(1)).alias("_n"))
+    # values are held in structs, so that a list finds NULL like any other
+    kinds = F.array(*[F.struct(F.lit(k == "brand").alias("b"), F.col(k).alias("v")) for k in ("brand", "category_2")])
+    kept = both.select("user_id", "_n", F.explode(kinds).alias("_k")).groupBy("user_id", "_k.b", "_k.v").agg(F.sum("_n").alias("_n")).where("_n > 1")
+    lists = [F.collect_list(F.when(F.col("b") == b, F.struct("v"))).alias(name) for b, name in ((True, "_brands"), (False, "_categories"))]
+    out = null_safe_join(placed, kept.groupBy("user_id").agg(*lists), ["user_id"])
+    for key, name, found in (("brand", "is_brand_repurchase", "_brands"), ("category_2", "is_category_repurchase", "_categories")):
+        again = F.coalesce(F.array_contains(found, F.struct(F.col(key).alias("v"))), F.lit(False))
+        out = out.withColumn(name, F.when(F.col("is_reorder") & again, 1).otherwise(0))
+    return out.drop("_brands", "_categories")
 
 
 def season_of(month: str | Column, seasons: dict[str, list[int]] = SEASONS) -> Column:

@@ -12,6 +12,7 @@ from loomshelf.functions.ranking import bucketed_row_number, keep_first
 from loomshelf.functions.draws import take_per_group
 from loomshelf.operators import dimensions as dim
 from loomshelf.operators import ingredients as ig
+from loomshelf.operators import review_features as rf
 from loomshelf.operators import sampling as sm
 
 
@@ -176,3 +177,20 @@ def test_a_brand_on_every_name_brings_no_pairs(spark):
         if hits:
             want[f"Brandname product number {i}"] = min(hits)
     assert got == want
+
+
+def test_repurchases_join_reviews_once_and_take_null_keys(spark):
+    products = spark.createDataFrame([(1, "A", "x"), (2, "A", "y"), (3, None, "y"), (4, "B", None)], "product_code bigint, brand string, category_2 string")
+    reviews = spark.createDataFrame(
+        [(1, u, p, r) for u in (1, None) for p, r in ((1, True), (2, True), (2, False), (3, True), (9, True), (4, False), (4, True))] + [(1, 2, 1, True), (1, 2, 2, None)],
+        "n int, user_id bigint, product_code bigint, is_reorder boolean",
+    )
+    out = rf.with_repurchase(reviews, products)
+    rows = [(r.user_id, r.product_code, r.brand, r.category_2, r.is_reorder, r.is_brand_repurchase, r.is_category_repurchase) for r in out.collect()]
+    for user, _, brand, category, again, b, c in rows:
+        mine = [r for r in rows if r[0] == user and r[4]]
+        assert b == int(bool(again) and sum(r[2] == brand for r in mine) > 1)
+        assert c == int(bool(again) and sum(r[3] == category for r in mine) > 1)
+    assert len(rows) == 16 and {r[5] for r in rows} == {r[6] for r in rows} == {0, 1}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3  # reviews with products, twice, and with the users' lists
