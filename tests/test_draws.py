@@ -32,3 +32,15 @@ def test_no_row_is_ranked_but_those_of_the_last_block(spark):
     ranked = [line for line in text.splitlines() if "row_number()" in line]
     assert len(ranked) == 1 and text.count("Union") == 1  # the branch of whole blocks has no window but that of the counts
     assert "(_blk" in text and "= _last" in text
+
+
+def test_blocks_are_counted_in_two_steps(spark):
+    """No count is kept for every block of a group, only for 16 and for the parts of one of them."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 4).cast("string").alias("g")).repartition(3)
+    wanted = spark.createDataFrame([(str(i), 2500 * i) for i in range(4)] + [("4", 9)], "g string, quota int")
+    got = take_per_group(df, wanted, ["g"], "k", "s")
+    assert sorted(map(tuple, got.collect()), key=str) == plain([(i, str(i % 4)) for i in range(40_000)], {str(i): 2500 * i for i in range(4)}, "s")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 1, 1) AS _blk" in plan and ", 1, 3) AS _blk" in plan
+    # the drawn rows meet the cuts where they are read
+    assert plan.count("strategy=broadcast") >= 3
