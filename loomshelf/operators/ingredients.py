@@ -478,7 +478,12 @@ def simple_extract(
     n = F.regexp_replace(n, "[±*★☆※]", "")
     n = F.when(n.rlike(r"^CI\d+"), n).otherwise(F.regexp_replace(n, r"\d+$", ""))
     n = F.regexp_replace(n, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
-    return pieces.withColumn("normalized", n).where(F.length("normalized") >= min_length)
+    # a piece of ASCII letters alone is left as it is by every pattern; the generator keeps the test of the length from
+    # working everything out once more
+    plain = replace_all(F.col("original"), misreadings)
+    n = F.when(plain.rlike("^[A-Za-z]+$") & ~plain.endswith("\n"), plain).otherwise(n)
+    named = pieces.select("*", unnest(F.array(n), "normalized"))
+    return named.where(F.length("normalized") >= min_length)
 
 
 def merge_sources(finds: DataFrame, keys: Sequence[str] = ("product_id", "ingredient"), minimum: float = 0.5) -> DataFrame:

@@ -194,3 +194,13 @@ def test_repurchases_join_reviews_once_and_take_null_keys(spark):
     assert len(rows) == 16 and {r[5] for r in rows} == {r[6] for r in rows} == {0, 1}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 3  # reviews with products, twice, and with the users' lists
+
+
+def test_simple_extract_works_each_piece_out_once(spark):
+    words = ["abc", "CI77891", "Ab12", "(x)abc", "[q]", "é1", "±abc*", "-ab-", "a", "42", "CI", "A(b", "Zz​"]
+    df = spark.createDataFrame([(1, " ".join(words) + ",Last;x|yy")], "doc_id bigint, text string")
+    out = ig.simple_extract(df, ["doc_id"], remove=[], phrases=[], misreadings={})
+    got = {r.original: r.normalized for r in out.collect()}
+    assert got == {"abc": "abc", "CI77891": "CI77891", "Ab12": "Ab", "(x)abc": "abc", "±abc*": "abc", "-ab-": "ab", "CI": "CI", "A(b": "A(b", "Zz​": "Zz", "Last": "Last", "yy": "yy"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CI\\d+") == 1
