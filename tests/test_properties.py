@@ -204,3 +204,14 @@ def test_simple_extract_works_each_piece_out_once(spark):
     assert got == {"abc": "abc", "CI77891": "CI77891", "Ab12": "Ab", "(x)abc": "abc", "±abc*": "abc", "-ab-": "ab", "CI": "CI", "A(b": "A(b", "Zz​": "Zz", "Last": "Last", "yy": "yy"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CI\\d+") == 1
+
+
+def test_rules_are_applied_where_rows_are_read(spark):
+    rows = [(1, "a"), (1, "a"), (1, "gone"), (2, "old"), (2, "new"), (2, " "), (3, "xhead"), (3, "headx"), (3, "both"), (3, None), (None, "a"), (4, "dot.x")]
+    df = spark.createDataFrame(rows, "product_id bigint, ingredient string").repartition("product_id")
+    out = ig.apply_rules(df, ["gone"], {"old": "mid", "mid": "new"}, ["^head", r"^dot\.", "zz"], {"both": ["p ", "", "q"]}, keys=["product_id"])
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "new"), (3, "xhead"), (3, "x"), (3, "p"), (3, "q"), (None, "a"), (4, "x")], key=str)
+    # rows that are dealt out by product are not shuffled again, neither to their names nor to drop repeats
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
