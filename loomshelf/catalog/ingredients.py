@@ -283,7 +283,7 @@ def ruled_rows() -> str:
 def ig12k(spark, sf):
     """The shipped rule table over names it knows and words it does not."""
     known = F.element_at(F.array(*[F.lit(w) for w in RULED]), ((F.col("pos") + F.length("ingredient")) % len(RULED) + 1).cast("int"))
-    rows = word_rows(spark, sf).withColumn("ingredient", F.when(F.col("pos") % 2 == 0, known).otherwise(F.col("ingredient")))
+    rows = word_rows(spark, sf, dealt=True).withColumn("ingredient", F.when(F.col("pos") % 2 == 0, known).otherwise(F.col("ingredient")))
     return ig.apply_rules(rows, keys=["product_id"])
 
 
