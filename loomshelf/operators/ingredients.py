@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from loomshelf.functions import ingredient_lexicon as lex
 from loomshelf.functions.columns import any_of, col, unnest
 from loomshelf.functions.letters import pairs_in_order
+from loomshelf.functions.literals import required_literals
 from loomshelf.functions.ranking import keep_first
 
 DECOMPOSED = "[̀-ͯᄀ-ᇿ]"
@@ -36,6 +39,13 @@ def strip(text: Column, chars: str | None = None) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\x0b" if chars is None else chars))
 
 
+def holds(text: Column, literals: Iterable[str]) -> Column:
+    """Whether a text holds one of some literals; one that holds another of them need not be looked for."""
+    every = list(literals)
+    least = [a for a in every if not any(b != a and b in a for b in every)]
+    return reduce(operator.or_, [text.contains(a) for a in least], F.lit(False))
+
+
 def normalise_text(df: DataFrame, text: str = "text", out: str = "text", misreadings: Mapping[str, str] = lex.MISREADINGS) -> DataFrame:
     """NFC, exotic spaces, ordered substitutions of misread syllables, single spaces.
 
@@ -142,6 +152,8 @@ def pick_product_section(
 
 
 COMMA = "\u0001"
+# what \s matches beside the space
+OTHER_BLANKS = "\t\n\x0b\f\r"
 
 
 def split_items(text: str | Column, kits: Sequence[str] = lex.KIT_HEADINGS, long_over: int = 50) -> Column:
@@ -149,12 +161,18 @@ def split_items(text: str | Column, kits: Sequence[str] = lex.KIT_HEADINGS, long
     t = col(text)
     cut = F
     for heading in kits:
-        cut = cut.when(t.rlike(heading), F.regexp_replace(t, heading, ",$1,"))
+        signs = required_literals(heading)
+        found = t.rlike(heading)
+        cut = cut.when(found if signs is None else holds(t, signs) & found, F.regexp_replace(t, heading, ",$1,"))
     whole = cut.otherwise(t) if kits else t
     kept = F.regexp_replace(whole, r"(\d),(\d)", "$1" + COMMA + "$2")
     parts = F.transform(F.split(kept, "[,，;；\n]"), lambda p: F.replace(strip(p), F.lit(COMMA), F.lit(",")))
     wide = r"(?<=[가-힣])\s{2,}(?=[가-힣])"
-    split = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > long_over, F.split(p, wide)).otherwise(F.array(p))))
+    # two blanks in a row are two spaces, or one of them is another blank
+    blanks = ["  ", *OTHER_BLANKS]
+    split = F.flatten(
+        F.transform(parts, lambda p: F.when((F.length(p) > long_over) & holds(p, blanks), F.split(p, wide)).otherwise(F.array(p)))
+    )
     return F.filter(F.transform(split, lambda p: strip(p)), lambda p: p != "")
 
 
@@ -255,29 +273,73 @@ def parse_ingredients(df: DataFrame, keys: Sequence[str], text: str = "text", mi
     )
 
 
+def _if(test, step):
+    """A step that is only taken where a cheap test holds, which holds for every name that the step changes."""
+    return lambda t: F.when(test(t), step(t)).otherwise(t)
+
+
+def _without_prefixes(prefixes: Sequence[str], after: str = ""):
+    """Prefixes dropped one after the other, each once; tried where the name begins with one of them."""
+
+    def drop(t: Column) -> Column:
+        for p in prefixes:
+            t = F.regexp_replace(t, f"^{p}{after}", "")
+        return t
+
+    return _if(lambda t: t.rlike(f"^(?:{'|'.join(prefixes)}){after}"), drop)
+
+
+def _respelled(pairs: Mapping[str, str]):
+    return _if(lambda t: holds(t, pairs), lambda t: replace_all(t, pairs))
+
+
+SYLLABLE = "[가-힣]"
+
+
+def _naming(misreadings: Mapping[str, str], korean: bool):
+    """The steps of a name, each with the result of the one before as its argument; those that act on syllables if wanted."""
+    units = "ppb|ppm|%|mg/kg|µg/kg|mg/L|µg/L|g/L|w/w|w/v|v/v|mg|g|ml|L|kg"
+    edge = r"(?U)^[^\w()]+"
+    phrases = "|".join(re.escape(p) for p in lex.EMBEDDED_PHRASES)
+    opening = (
+        _without_prefixes([re.escape(p) for p in lex.NAME_PREFIXES]),
+        _if(lambda t: holds(t, lex.EMBEDDED_PHRASES), lambda t: F.regexp_replace(t, phrases, "")),
+        _without_prefixes(lex.ENGLISH_PREFIXES, f"(?={SYLLABLE})"),
+        _without_prefixes(lex.KOREAN_PREFIXES, "(?=.{3})"),
+    )
+    return (
+        *(opening if korean else ()),
+        lambda t: F.when(holds(t, OTHER_BLANKS), F.regexp_replace(t, r"\s+", "")).otherwise(F.replace(t, F.lit(" "), F.lit(""))),
+        *([_respelled(misreadings)] if korean else ()),
+        _if(lambda t: holds(t, "±·�"), lambda t: F.regexp_replace(t, "[±·�]", "")),
+        lambda t: F.regexp_replace(t, r"^(?!\d,\d-)[0-9=|!@#$%^&*<>]+", ""),
+        _replaced(rf"(?i)\(\s*[\d,\.]+\s*({units})?\s*\)", "", "("),
+        _replaced(r"\((?!(?:(?i:CI)\s*\d+\)|C\d+|\d+-\d+))[^)]*\)", "", "("),
+        _replaced(r"\[[^\]]*\]", "", "["),
+        _if(lambda t: holds(t, "*★☆※"), lambda t: F.regexp_replace(t, r"[*★☆※]", "")),
+        lambda t: F.regexp_replace(t, edge, ""),
+        # the other end is the beginning of the reversed name, so that no search runs through the whole of it
+        _if(lambda t: F.substring(t, -1, 1).rlike(edge), lambda t: F.reverse(F.regexp_replace(F.reverse(t), edge, ""))),
+        *([_respelled(lex.LATE_SPELLINGS)] if korean else ()),
+        lambda t: strip(t),
+    )
+
+
 def normalise_name(name: str | Column, misreadings: Mapping[str, str] = lex.MISREADINGS) -> Column:
     """Ingredient name without prefixes, embedded phrases, amounts, notes and edge symbols.
 
     Brackets with a colour index or a carbon chain (CI 77891, C6-14, 6-14) stay.
     """
-    n = col(name)
-    for p in lex.NAME_PREFIXES:
-        n = F.regexp_replace(n, "^" + re.escape(p), "")
-    n = F.regexp_replace(n, "|".join(re.escape(p) for p in lex.EMBEDDED_PHRASES), "")
-    for p in lex.ENGLISH_PREFIXES:
-        n = F.regexp_replace(n, "^" + p + "(?=[가-힣])", "")
-    for p in lex.KOREAN_PREFIXES:
-        n = F.regexp_replace(n, "^" + p + "(?=.{3})", "")
-    n = replace_all(F.regexp_replace(n, r"\s+", ""), misreadings)
-    n = F.regexp_replace(n, "[±·�]", "")
-    n = F.regexp_replace(n, r"^(?!\d,\d-)[0-9=|!@#$%^&*<>]+", "")
-    units = "ppb|ppm|%|mg/kg|µg/kg|mg/L|µg/L|g/L|w/w|w/v|v/v|mg|g|ml|L|kg"
-    n = F.regexp_replace(n, rf"(?i)\(\s*[\d,\.]+\s*({units})?\s*\)", "")
-    n = F.regexp_replace(n, r"\((?!(?:(?i:CI)\s*\d+\)|C\d+|\d+-\d+))[^)]*\)", "")
-    n = F.regexp_replace(n, r"\[[^\]]*\]", "")
-    n = F.regexp_replace(n, r"[*★☆※]", "")
-    n = F.regexp_replace(n, r"(?U)^[^\w()]+|[^\w()]+$", "")
-    return strip(replace_all(n, lex.LATE_SPELLINGS))
+
+    def through(t: Column, korean: bool) -> Column:
+        return F.get(_each(F.array(t), _naming(misreadings, korean)), F.lit(0))
+
+    # a name without syllables meets no literal that has one, and the steps left to it only delete
+    literals = [*lex.NAME_PREFIXES, *lex.EMBEDDED_PHRASES, *lex.KOREAN_PREFIXES, *misreadings, *lex.LATE_SPELLINGS]
+    every = not all(re.search(SYLLABLE, w) for w in literals)
+    named = lambda t: through(t, True) if every else F.when(t.rlike(SYLLABLE), through(t, True)).otherwise(through(t, False))
+    # literals are sought among bytes, patterns among characters: both read the same once broken bytes are U+FFFD
+    return F.get(F.transform(F.array(F.make_valid_utf8(col(name))), named), F.lit(0))
 
 
 # Confidence of every reason that accepts a name; all other reasons reject it.
